@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.scratch import new_path
-from tidemark.llm import archive, chat, mixing, quality, tokens
+from tidemark.llm import archive, chat, mixing, neardup, quality, tokens
 from tidemark.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
