@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.scratch import new_path
-from tidemark.llm import archive, chat, mixing, neardup, quality, tokens
+from tidemark.llm import archive, chat, decontam, mixing, neardup, quality, tokens
 from tidemark.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item_words", "score", "share")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 

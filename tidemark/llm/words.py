@@ -18,6 +18,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = _SPACE.copy()
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -49,13 +51,13 @@ class _Powers:
                 setattr(cls, name, np.multiply.accumulate(steps))
 
 
-def _hash(buf: np.ndarray, first: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash(buf: np.ndarray, first: np.ndarray, lower: bool, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words in ``buf``; texts begin at ``first``."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
     _Powers.grow(max(len(buf), PIECE))
-    solid = ~_SPACE[buf]
+    solid = ~apart[buf]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     at = first[first < len(buf)]
@@ -75,10 +77,11 @@ def _hash(buf: np.ndarray, first: np.ndarray, lower: bool) -> tuple[np.ndarray,
     return starts, ends + 1, mix(h)
 
 
-def pieces(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, lower: bool = False, punctuation: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For consecutive texts i..j: (i, j, hashes of all their words, first word of each text and the end).
 
-    Null texts have no words. A text longer than a piece is a piece of its own.
+    With ``punctuation``, ASCII punctuation parts words as space does. Null texts have no
+    words. A text longer than a piece is a piece of its own.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -94,7 +97,7 @@ def pieces(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
         first = off[i : j + 1] - off[i]
-        starts, _, h = _hash(raw[off[i] : off[j]], first[:-1], lower)
+        starts, _, h = _hash(raw[off[i] : off[j]], first[:-1], lower, _MARKS if punctuation else _SPACE)
         yield i, j, h, np.searchsorted(starts, first)
         i = j
 
