@@ -51,11 +51,15 @@ class _Powers:
                 setattr(cls, name, np.multiply.accumulate(steps))
 
 
-def _hash(buf: np.ndarray, first: np.ndarray, lower: bool, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words in ``buf``; texts begin at ``first``."""
+def _hash(buf: np.ndarray, first: np.ndarray, lower: bool, apart: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in ``buf``; texts begin at ``first``.
+
+    With ``heads``, the hashes have a column for each length: of the first bytes of words
+    that are longer, 0 for others.
+    """
     if not len(buf):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
+        return none, np.zeros((0, 1 + len(heads)) if heads else 0, np.uint64)
     _Powers.grow(max(len(buf), PIECE))
     solid = ~apart[buf]
     begins = solid.copy()
@@ -71,13 +75,16 @@ def _hash(buf: np.ndarray, first: np.ndarray, lower: bool, apart: np.ndarray) ->
         v = _VALUE[_LOWER[buf] if lower else buf]
         v *= _Powers.down[: len(buf)]
         total = np.cumsum(v)
-        h = total[ends] - total[starts] + v[starts]
-        h *= _Powers.up[starts]
-        h += (ends - starts + 1).astype(np.uint64)
-    return starts, ends + 1, mix(h)
+        size = ends - starts + 1
+        before = v[starts] - total[starts]
+        h = mix((total[ends] + before) * _Powers.up[starts] + size.astype(np.uint64))
+        if heads:
+            cut = [np.where(size > k, mix((total[np.minimum(starts + k - 1, len(buf) - 1)] + before) * _Powers.up[starts] + np.uint64((k << 32) + 1)), np.uint64(0)) for k in heads]
+            h = np.stack([h, *cut], axis=1)
+    return starts, h
 
 
-def pieces(texts: pa.Array, lower: bool = False, punctuation: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, lower: bool = False, punctuation: bool = False, heads: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For consecutive texts i..j: (i, j, hashes of all their words, first word of each text and the end).
 
     With ``punctuation``, ASCII punctuation parts words as space does. Null texts have no
@@ -97,7 +104,7 @@ def pieces(texts: pa.Array, lower: bool = False, punctuation: bool = False) -> I
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
         first = off[i : j + 1] - off[i]
-        starts, _, h = _hash(raw[off[i] : off[j]], first[:-1], lower, _MARKS if punctuation else _SPACE)
+        starts, h = _hash(raw[off[i] : off[j]], first[:-1], lower, _MARKS if punctuation else _SPACE, heads)
         yield i, j, h, np.searchsorted(starts, first)
         i = j
 
