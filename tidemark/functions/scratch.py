@@ -28,9 +28,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once and return the written table; what follows never recomputes ``df``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
