@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import new_path
-from tidemark.llm import archive, chat, decontam, langid, mixing, neardup, quality, tokens, toxicity
+from tidemark.llm import archive, chat, decontam, katz, langid, mixing, neardup, quality, tokens, toxicity
 from tidemark.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "severity", "grade", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op5_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (~langid.held_out(F.col("doc_id"), 10)).alias("train"))
+    out, _ = katz.score_texts(docs)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit(docs))
