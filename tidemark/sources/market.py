@@ -1,6 +1,6 @@
 """The test tables seen as a market: suppliers are entities, shipped lines are trades.
 
-Unit prices are rounded so that ranks do not hang on the order of floating-point sums.
+Sums are rounded to the digits that they have, so that nothing hangs on the order of adding.
 """
 
 from __future__ import annotations
@@ -42,21 +42,21 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = F.round(F.col(EXT) / F.col(QTY), 6)
+    unit = F.col(EXT) / F.col(QTY)
     first = F.min_by(unit, F.struct("l_orderkey", "l_linenumber", "l_partkey"))
     return lines(spark, sf_dir).groupBy("stock_id", "date").agg(
-        first.alias("open"), F.max(unit).alias("max"), F.min(unit).alias("min"), F.round(F.sum(EXT) / F.sum(QTY), 6).alias("close"), F.sum(QTY).alias("Trading_Volume"), F.round(F.sum(EXT), 2).alias("Trading_money")
+        first.alias("open"), F.max(unit).alias("max"), F.min(unit).alias("min"), (F.round(F.sum(EXT), 2) / F.sum(QTY)).alias("close"), F.sum(QTY).alias("Trading_Volume"), F.round(F.sum(EXT), 2).alias("Trading_money")
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).filter((F.round(DISC, 2) == 0.1) & (F.round(TAX, 2) == 0))
-    return rows.groupBy("stock_id", "date").agg(F.round(F.sum(EXT), 2).alias("before_price"), F.round(F.sum(F.col(EXT) * (1 - F.col(DISC))), 2).alias("after_price"))
+    return rows.groupBy("stock_id", "date").agg(F.round(F.sum(EXT), 2).alias("before_price"), F.round(F.sum(F.col(EXT) * (1 - F.col(DISC))), 4).alias("after_price"))
 
 
 def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lines(spark, sf_dir).groupBy("stock_id", F.year("date").alias("revenue_year"), F.month("date").alias("revenue_month"))
-    return df.agg(F.round(F.sum(F.col(EXT) * (1 - F.col(DISC))), 2).alias("month_revenue"))
+    return df.agg(F.round(F.sum(F.col(EXT) * (1 - F.col(DISC))), 4).alias("month_revenue"))
 
 
 def _quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,13 @@ def _quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.last_day(F.add_months(F.trunc("date", "quarter"), 2))
 
     def total(x: Column) -> Column:
-        return F.round(F.coalesce(F.sum(x), F.lit(0.0)), 2)
+        return F.round(F.coalesce(F.sum(x), F.lit(0.0)), 4)
 
     return lines(spark, sf_dir).groupBy("stock_id", end.alias("date")).agg(
         total(F.col(EXT)).alias("ext"), total(net).alias("net"), total(fee).alias("fee"), total(F.when(F.col("l_returnflag") != "R", fee)).alias("pre"),
         F.sum(QTY).alias("qty"), total(F.when(F.col("l_linestatus") == "F", net)).alias("cash"), total(F.col(EXT) * F.col(TAX)).alias("tax"),
         total(F.when(F.col("l_linestatus") == "O", F.col(EXT))).alias("open"), total(F.when(F.col("l_linestatus") == "F", F.col(EXT))).alias("closed"),
+        *[total(F.when(F.col("l_returnflag") == k, F.col(EXT))).alias(f"flag_{k}") for k in "RAN"], total(F.when(F.col("l_linenumber") == 1, F.col(EXT))).alias("first"),
     )
 
 
@@ -78,25 +79,25 @@ def _stack(df: DataFrame, items: dict[str, Column]) -> DataFrame:
     return wide.unpivot(["stock_id", "date"], list(items), "type", "value")
 
 
-INCOME = ("Revenue", "GrossProfit", "OperatingIncome", "PreTaxIncome", "NetIncome", "EPS")
-BALANCE = ("TotalAssets", "Equity", "Liabilities", "CapitalStock", "CurrentAssets", "CurrentLiabilities", "EquityAttributableToOwnersOfParent")
+INCOME = ("Revenue", "GrossProfit", "OperatingIncome", "PreTaxIncome", "NetIncome", "IncomeAfterTaxes", "EPS", "EquityAttributableToOwnersOfParent")
+BALANCE = ("TotalAssets", "Equity", "Liabilities", "CapitalStock", "CurrentAssets", "CurrentLiabilities", "EquityAttributableToOwnersOfParent", "Inventories", "AccountsReceivableNet", "CashAndCashEquivalents", "PropertyPlantAndEquipment", "IntangibleAssets", "RetainedEarnings")
 CASH = ("CashFlowsFromOperatingActivities", "PropertyAndPlantAndEquipment")
 
 
 def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return _stack(_quarterly(spark, sf_dir), {"Revenue": c("ext"), "GrossProfit": c("net"), "OperatingIncome": c("fee"), "PreTaxIncome": c("pre"), "NetIncome": c("pre") * 0.8, "EPS": c("pre") * 0.8 / c("qty"), "-": c("ext"), "Revenue_per": c("ext") * 0 + 100})
+    return _stack(_quarterly(spark, sf_dir), {"Revenue": c("ext"), "GrossProfit": c("net"), "OperatingIncome": c("fee"), "PreTaxIncome": c("pre"), "NetIncome": c("pre") * 0.8, "IncomeAfterTaxes": c("pre") * 0.8, "EquityAttributableToOwnersOfParent": c("net") * 0.9, "EPS": c("pre") * 0.8 / c("qty"), "-": c("ext"), "Revenue_per": c("ext") * 0 + 100})
 
 
 def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = W.partitionBy("stock_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
 
     def run(x: str) -> Column:
-        return F.round(F.sum(x).over(past), 2)
+        return F.round(F.sum(x).over(past), 4)
 
-    q = _quarterly(spark, sf_dir).select("stock_id", "date", run("ext").alias("a"), run("net").alias("e"), run("qty").alias("k"), run("open").alias("ca"), run("closed").alias("cl"))
+    q = _quarterly(spark, sf_dir).select("stock_id", "date", run("ext").alias("a"), run("net").alias("e"), run("qty").alias("k"), run("open").alias("ca"), run("closed").alias("cl"), run("flag_R").alias("r"), run("flag_A").alias("ar"), run("flag_N").alias("n"), run("tax").alias("t"), run("first").alias("i"))
     c = F.col
-    return _stack(q, {"TotalAssets": c("a"), "Equity": c("e"), "Liabilities": c("a") - c("e"), "CapitalStock": c("k") * 10, "CurrentAssets": c("ca"), "CurrentLiabilities": c("cl"), "EquityAttributableToOwnersOfParent": c("e") * 0.9})
+    return _stack(q, {"TotalAssets": c("a"), "Equity": c("e"), "Liabilities": c("a") - c("e"), "CapitalStock": c("k") * 10, "CurrentAssets": c("ca"), "CurrentLiabilities": c("cl"), "EquityAttributableToOwnersOfParent": c("e") * 0.9, "Inventories": c("r"), "AccountsReceivableNet": c("ar"), "CashAndCashEquivalents": c("n"), "PropertyPlantAndEquipment": c("t"), "IntangibleAssets": c("i"), "RetainedEarnings": c("e") * 0.3})
 
 
 def cashflow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,16 +114,29 @@ def lending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).filter(F.round(TAX, 2) == 0).select("stock_id", "date", F.col(QTY).alias("volume"))
 
 
+def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running quantities of open and closed lines by day."""
+    past = W.partitionBy("stock_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    df = lines(spark, sf_dir).groupBy("stock_id", "date").agg(*[F.sum(F.when(F.col("l_linestatus") == k, F.col(QTY)).otherwise(0)).alias(k) for k in "OF"])
+    return df.select("stock_id", "date", F.sum("O").over(past).alias("MarginPurchaseTodayBalance"), F.sum("F").over(past).alias("ShortSaleTodayBalance"))
+
+
+def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price-like ratios by day, as text."""
+    df = lines(spark, sf_dir).groupBy("stock_id", "date").agg(F.round(F.sum(DISC), 2).alias("d"), F.round(F.sum(TAX), 2).alias("t"))
+    return df.select("stock_id", "date", (F.col("d") * 100 - 5).cast("string").alias("PER"), (F.col("t") * 10).cast("string").alias("PBR"), F.when(F.col("d") > 0, F.col("d").cast("string")).otherwise("-").alias("dividend_yield"))
+
+
 def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name (order priority), date, price: the mean order of a day."""
     df = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").alias("date"))
-    return df.agg(F.round(F.avg("o_totalprice"), 4).alias("price"))
+    return df.agg((F.round(F.sum("o_totalprice"), 2) / F.count("*")).alias("price"))
 
 
 def part_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense cross-section: parts by month with unit price ``close``, ``amt_21`` (money) and their type as group."""
     df = table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("ym"))
-    months = df.agg(F.round(F.sum(EXT) / F.sum(QTY), 6).alias("close"), F.round(F.sum(EXT), 2).alias("amt_21"), F.sum(QTY).alias("volume"), F.round(F.avg(DISC), 8).alias("discount"))
+    months = df.agg((F.round(F.sum(EXT), 2) / F.sum(QTY)).alias("close"), F.round(F.sum(EXT), 2).alias("amt_21"), F.sum(QTY).alias("volume"), (F.round(F.sum(DISC), 2) / F.count("*")).alias("discount"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_p"), F.col("p_type").alias("group"), F.col("p_name").alias("stock_name"))
     out = months.join(part, F.col("l_partkey") == F.col("_p"))
     return out.select(F.col("l_partkey").cast("string").alias("stock_id"), "ym", "group", "stock_name", "close", "amt_21", "volume", "discount")
