@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
+from tidemark.llm.bits import bitmap, contained
 from tidemark.llm.words import pieces, shingles
 
 WIDTH = 3
 SHARE, LONG, SHORT = 0.4, 25, 8
-#: Bits of the bitmap: 8 MB, whatever the size of the benchmark.
-BITS = 26
 _U = np.uint64
 
 
@@ -38,25 +37,6 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield i, j, h, first, *shingles(h, first, WIDTH, whole=False)
 
 
-def bitmap(grams: DataFrame) -> np.ndarray:
-    """A bit for each hash in ``gram``, set by the upper BITS bits."""
-    place = F.shiftrightunsigned("gram", 64 - BITS)
-    words = (
-        grams.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or("bit").alias("bits"))
-    )
-    got = words.toArrow()  # at most 2 ** (BITS - 6) rows
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(_U)
-
-
-def _in(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    place = g >> _U(64 - BITS)
-    return (bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) > 0
-
-
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -74,12 +54,12 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 def frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """gram, df: the number of texts that hold each of ``grams``; counted within tasks first."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(grams))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(grams, "gram"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, _, _, g, runs in _runs(batch):
-                hit = np.flatnonzero(_in(bits.value, g))
+                hit = np.flatnonzero(contained(bits.value, g))
                 if len(hit):
                     text = np.searchsorted(runs, hit, "right")
                     found = np.unique(np.stack([g[hit], text.astype(_U)]), axis=1)[0]
@@ -100,12 +80,12 @@ def seeds(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 def suspects(docs: DataFrame, seed_grams: DataFrame) -> DataFrame:
     """uid, doc_id, node (hash of the text), grams (seed-like runs found) and words of texts with any."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(seed_grams))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(seed_grams, "gram"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, first, g, runs in _runs(batch):
-                hit = np.flatnonzero(_in(bits.value, g))
+                hit = np.flatnonzero(contained(bits.value, g))
                 if len(hit):
                     text = np.searchsorted(runs, hit, "right") - 1
                     which, start = np.unique(text, return_index=True)

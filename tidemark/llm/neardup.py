@@ -7,10 +7,15 @@ is its signature, and two texts agree in a coordinate with the probability of th
 Jaccard similarity. Only darts up to a rank that yields about ``K (ln K + 3)`` of them are
 thrown, whatever the text's length; texts with an empty coordinate throw up to twice the rank.
 
-Equal texts are one node. Nodes that share a band are candidates; each band's bucket is tested
-against its smallest node, then pairs of a bucket that are still in different classes are
-tested too, so that no bucket needs all its pairs. Every candidate's similarity is computed
-exactly from the runs before it counts as a link; classes are connected components of links.
+Equal texts are one node. Nodes that share a band are candidates. In each band's bucket the
+node that shares most buckets with others is the hub, and all others are compared with it,
+which yields the runs that each adds to the hub's and lacks of them. Of the other pairs of a
+bucket only those that may join two classes are compared: by their signatures they may be
+similar, and they share an added run or have so few added and lacking runs that they need not.
+(Without a shared added run, two texts differ in at least what both add and in the difference
+of what they lack.) So copies of one text with edits of their own need no comparison among
+each other. Every candidate's similarity is computed exactly from the runs before it counts as
+a link; classes are connected components of links.
 
 Null texts and texts without words are linked to nothing and form classes of their own rows.
 Texts of 1 to 4 words are one run. Class ids are the smallest doc_id of a class (null only if
@@ -23,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
+from tidemark.llm.bits import bitmap, contained
 from tidemark.llm.graph import components
 from tidemark.llm.words import mix, pieces, shingles
 
 WIDTH = 5
 SIMILAR = 0.8
 K, BANDS, ROWS = 128, 25, 5
-#: Of 128 one-bit agreements, most mismatches of a candidate: 12.8 +- 3.4 are expected at 0.8.
-MOST_BITS = 34
+#: Coordinates enter a sketch by four bits, of which 15/16 of the unequal ones differ: at a
+#: similarity of 0.8, 24 +- 4.5 of 128. Most of them for a pair in a bucket, and for a hub's pair.
+MOST_PAIR, MOST_HUB = 40, 66
+SKETCH = [f"k{i}" for i in range(K // 16)]
 _U = np.uint64
 
 
@@ -112,91 +120,118 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the text), n_runs, bands and a two-word sketch of every row."""
+    """doc_id, node (hash of the text), n_runs, bands and the sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, g, runs in grouped(batch.column("text")):
                 sig = darts(*cells(g, runs), j - i)
-                bits = np.packbits((sig & _U(1)).astype(np.uint8), axis=1).view(_U).view(np.int64)
+                four = (sig & _U(15)).astype(np.uint8)
+                sketch = np.ascontiguousarray(four[:, ::2] << 4 | four[:, 1::2]).view(np.int64)
                 offsets = pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), batch.column("node").slice(i, j - i), pa.array(np.diff(runs)), pa.ListArray.from_arrays(offsets, pa.array(bands(sig).reshape(-1).view(np.int64))), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
-                    names=["doc_id", "node", "n_runs", "bands", "bits1", "bits2"],
+                    [batch.column("doc_id").slice(i, j - i), batch.column("node").slice(i, j - i), pa.array(np.diff(runs)), pa.ListArray.from_arrays(offsets, pa.array(bands(sig).reshape(-1).view(np.int64))), *[pa.array(x.copy()) for x in sketch.T]],
+                    names=["doc_id", "node", "n_runs", "bands", *SKETCH],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("node")).mapInArrow(run, "doc_id long, node long, n_runs long, bands array<long>, bits1 long, bits2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node")).mapInArrow(run, f"doc_id long, node long, n_runs long, bands array<long>, {', '.join(f'{k} long' for k in SKETCH)}")
 
 
-def run_sets(texts: DataFrame) -> DataFrame:
-    """node and its cells as sorted 32-bit hashes, from node and text."""
+def run_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and its cells as sorted 32-bit hashes, for the texts whose node is in ``wanted``.
+
+    Tasks read all texts and keep those that pass the bitmap, so no text is shuffled.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, g, runs in grouped(batch.column("text")):
+            hit = contained(bits.value, batch.column("node").to_numpy().view(_U))
+            part = batch.filter(pa.array(hit))
+            for i, j, g, runs in grouped(part.column("text")):
                 cell, text = cells(g, runs)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
                 sets = [np.unique(cell[a:b] >> _U(32)).astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("node").slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "cells"])
+
+    return docs.select("text", F.xxhash64("text").alias("node")).mapInArrow(run, "node long, cells binary").dropDuplicates(["node"])
+
 
-    return texts.select("node", "text").mapInArrow(run, "node long, cells binary")
+COMPARED = "a long, b long, similarity double, size long, lacking long, added array<int>"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of at least the similarity, with it."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their similarity, the size of b, what b lacks of a's cells and what it adds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("set_a"), batch.column("set_b")
-            sim = np.zeros(batch.num_rows)
+            sim, size, lacking, added = [], [], [], []
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(a[i].as_py(), np.uint32), np.frombuffer(b[i].as_py(), np.uint32)
-                if min(len(x), len(y)) >= similar * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    sim[i] = common / max(1, len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], names=["a", "b", "similarity"])
+                new = np.setdiff1d(y, x, assume_unique=True)
+                common = len(y) - len(new)
+                sim.append(common / max(1, len(x) + len(new)))
+                size.append(len(y))
+                lacking.append(len(x) - common)
+                added.append(new.view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(v, t) for v, t in ((sim, pa.float64()), (size, pa.int64()), (lacking, pa.int64()), (added, pa.list_(pa.int32())))]], names=["a", "b", "similarity", "size", "lacking", "added"])
 
     left = sets.select(F.col("node").alias("a"), F.col("cells").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("cells").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, similarity double").filter(F.col("similarity") >= similar)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, COMPARED)
 
 
-def _close(a1: str, b1: str, a2: str, b2: str):  # noqa: ANN202
-    return F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= MOST_BITS
+def _unequal(one: str, other: str) -> Column:
+    """How many coordinates of two sketches differ in their four bits."""
+    total = F.lit(0)
+    for k in SKETCH:
+        x = F.col(f"{one}{k}").bitwiseXOR(F.col(f"{other}{k}"))
+        x = x.bitwiseOR(F.shiftright(x, 2))
+        x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
 
 
-def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(rows, links): doc_id, node, class_id, class_node of every row; a, b, similarity of every link.
 
     Classes of rows without words have a null class_node.
     """
-    rows = materialize(signed(docs), "signed")
-    nodes = materialize(
-        rows.filter("n_runs > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2")), "nodes"
-    )
-    spread = nodes.select(F.explode("bands").alias("band"), "node", "bits1", "bits2")
-    head = spread.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "bits1", "bits2")).alias("head")).filter("n > 1")
-    heads = materialize(head.select(F.col("band").alias("_band"), "n", F.col("head.node").alias("head"), F.col("head.bits1").alias("h1"), F.col("head.bits2").alias("h2")), "heads")
-    members = materialize(spread.join(heads, F.col("band") == F.col("_band")).drop("_band"), "members")
-    star = members.filter(F.col("node") != F.col("head")).filter(_close("bits1", "h1", "bits2", "h2")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialize(star, "star")
-    # the texts of candidates: members of any bucket of at least three, or of a close pair
-    wanted = star.select(F.col("a").alias("_w")).union(star.select("b")).union(members.filter("n > 2").select("node")).distinct()
-    one = nodes.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).join(wanted, F.col("_node") == F.col("_w"), "left_semi")
-    one = materialize(one, "wanted")
-    text = docs.select("doc_id", "text", F.xxhash64("text").alias("node")).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
-    sets = materialize(run_sets(text).dropDuplicates(["node"]), "sets")
-    links = materialize(verified(star, sets), "links")
+    rows = materialize(signed(docs), "signed", "zstd")
+    nodes = rows.filter("n_runs > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("bands", *SKETCH)])
+    nodes = materialize(nodes, "nodes", "zstd")
+    crowded = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("band").alias("_band"), "n")
+    crowded = materialize(crowded, "crowded")
+    members = nodes.select(F.explode("bands").alias("band"), "node").join(crowded, F.col("band") == F.col("_band")).select("band", "node", "n")
+    members = materialize(members, "members")
+    fame = materialize(members.groupBy("node").agg(F.sum("n").alias("fame")), "fame")
+    sketches = fame.select(F.col("node").alias("_n"), "fame").join(nodes.select("node", *SKETCH), F.col("node") == F.col("_n")).drop("_n")
+    sketches = materialize(sketches, "sketches")
+    members = materialize(members.join(sketches.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n"), "members")
+    hubs = members.groupBy("band").agg(F.max(F.struct("fame", "node", *SKETCH)).alias("h"))
+    hubs = materialize(hubs.select(F.col("band").alias("_band"), F.col("h.node").alias("hub"), *[F.col(f"h.{k}").alias(f"h_{k}") for k in SKETCH]), "hubs")
+    star = members.join(hubs, F.col("band") == F.col("_band")).filter(F.col("node") != F.col("hub")).filter(_unequal("", "h_") <= MOST_HUB)
+    star = materialize(star.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n")), "star")
+    wanted = materialize(star.select(F.col("a").alias("node")).union(star.select("b")).union(members.filter("n > 2").select("node")).distinct(), "wanted")
+    sets = materialize(run_sets(docs, wanted).join(wanted.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left_semi"), "sets")
+    told = materialize(compared(star, sets), "compared")
+    links = told.filter(F.col("similarity") >= similar).select("a", "b", "similarity")
     labels = components(links)
-    # pairs of a bucket in different classes still; the first node of a bucket has met all of it
-    part = members.filter("n > 2").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    part = part.select("band", "node", "head", "bits1", "bits2", F.coalesce("label", "node").alias("class"))
-    mixed = part.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select(F.col("band").alias("_b"))
-    part = materialize(part.join(materialize(mixed, "mixed"), F.col("band") == F.col("_b"), "left_semi"), "part").filter("node <> head")
-    other = part.select(F.col("band").alias("_band"), F.col("node").alias("_node"), F.col("bits1").alias("_1"), F.col("bits2").alias("_2"), F.col("class").alias("_class"))
-    cross = part.join(other, (F.col("band") == F.col("_band")) & (F.col("class") < F.col("_class")) & _close("bits1", "_1", "bits2", "_2"))
-    cross = materialize(cross.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), "cross")
-    more = materialize(verified(cross, sets), "more")
+    # what is left: buckets whose members other than the hub are in several classes
+    part = members.filter("n > 2").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("band", "node", *SKETCH, F.coalesce("label", "node").alias("class"))
+    part = part.join(hubs.select("_band", "hub"), F.col("band") == F.col("_band")).filter(F.col("node") != F.col("hub"))
+    part = materialize(part.drop("_band"), "part")
+    mixed = materialize(part.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select(F.col("band").alias("_b")), "mixed")
+    from_hub = told.select(F.col("a").alias("_a"), F.col("b").alias("_n"), "size", "lacking", "added")
+    part = part.join(mixed, F.col("band") == F.col("_b"), "left_semi").join(from_hub, (F.col("hub") == F.col("_a")) & (F.col("node") == F.col("_n")), "left").drop("_a", "_n")
+    part = materialize(part, "part")
+    other = part.select(*[F.col(c).alias(f"o_{c}") for c in part.columns])
+    least = F.size("added") + F.size("o_added") + F.abs(F.col("lacking") - F.col("o_lacking"))
+    near = F.col("added").isNull() | F.col("o_added").isNull() | (least <= (1 / similar - 1) * F.least("size", "o_size")) | F.arrays_overlap("added", "o_added")
+    cross = part.join(other, (F.col("band") == F.col("o_band")) & (F.col("class") < F.col("o_class")) & (_unequal("", "o_") <= MOST_PAIR) & near)
+    cross = materialize(cross.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "cross")
+    more = materialize(compared(cross, sets).filter(F.col("similarity") >= similar).select("a", "b", "similarity"), "more")
     links = links.union(more)
     if not more.isEmpty():
         labels = components(links)
