@@ -82,7 +82,11 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: str = "mix", weights
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes any words of, with how often each is taken in whole or part."""
+    """The rows of ``docs`` that the mix takes any words of, with how often each is taken in whole or part.
+
+    ``taken`` and ``epochs`` replace columns of these names.
+    """
     packed = docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))
     mixed = mix(packed, ("_doc",)).filter("taken > 0")
-    return mixed.select("_doc.*", "taken", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("epochs"))
+    own = [F.col(f"_doc.`{c}`") for c in docs.columns if c not in ("taken", "epochs")]
+    return mixed.select(*own, "taken", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("epochs"))
