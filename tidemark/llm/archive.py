@@ -74,17 +74,20 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive: page_id, record_type, head, payload (of revisits too), payload_digest.
+    """The records of an archive: page_id, record_type, head, payload (of revisits too),
+    payload_bytes, payload_digest.
 
     Both sides of the join are plain scans, so a payload that many records share is split
     among tasks at run time.
     """
     head = spark.read.schema(HEADERS).parquet(f"{path}/headers")
-    body = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads").withColumnRenamed("sha256", "_sha")
-    df = head.join(body, F.col("sha256") == F.col("_sha"), "left").drop("_sha")
+    body = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
+    # digests are made next to the bytes, so a reader that needs no payload shuffles none
+    body = body.select(F.col("sha256").alias("_sha"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("_sha1"), (F.sha2("payload", 256) == F.col("sha256")).alias("_sound"))
+    df = head.join(body, F.col("sha256") == F.col("_sha"), "left")
     bad = F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256")))
-    sound = F.sha2("payload", 256).eqNullSafe(F.col("sha256")) & F.sha1("payload").eqNullSafe(field("WARC-Payload-Digest", "sha1:([0-9a-f]+)"))
-    return df.withColumn("payload_digest", F.when(sound, F.sha1("payload")).otherwise(bad.cast("string")))
+    sound = F.col("_sound") & F.col("_sha1").eqNullSafe(field("WARC-Payload-Digest", "sha1:([0-9a-f]+)"))
+    return df.withColumn("payload_digest", F.when(sound, F.col("_sha1")).otherwise(bad.cast("string"))).drop("_sha", "_sha1", "_sound")
 
 
 def field(name: str, pattern: str) -> Column:
@@ -97,7 +100,7 @@ def described(read: DataFrame) -> DataFrame:
     """What the heads and payloads read back say of each record."""
     return read.select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_bytes",
         "payload_digest",
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
