@@ -11,9 +11,8 @@ Equal texts are one node. Nodes that share a band are candidates. In each band's
 node that shares most buckets with others is the hub, and all others are compared with it,
 which yields the runs that each adds to the hub's and lacks of them. Of the other pairs of a
 bucket only those that may join two classes are compared: by their signatures they may be
-similar, and they share an added run or have so few added and lacking runs that they need not.
-(Without a shared added run, two texts differ in at least what both add and in the difference
-of what they lack.) So copies of one text with edits of their own need no comparison among
+similar, and they share added runs or have so few added and lacking runs that they need not
+(``_undecided``). So copies of one text with edits of their own need no comparison among
 each other. Every candidate's similarity is computed exactly from the runs before it counts as
 a link; classes are connected components of links.
 
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
@@ -41,7 +41,7 @@ SIMILAR = 0.8
 K, BANDS, ROWS = 128, 25, 5
 #: Coordinates enter a sketch by four bits, of which 15/16 of the unequal ones differ: at a
 #: similarity of 0.8, 24 +- 4.5 of 128. Most of them for a pair in a bucket, and for a hub's pair.
-MOST_PAIR, MOST_HUB = 40, 66
+MOST_PAIR, MOST_HUB = 38, 66
 SKETCH = [f"k{i}" for i in range(K // 16)]
 _U = np.uint64
 
@@ -193,6 +193,55 @@ def _unequal(one: str, other: str) -> Column:
     return total
 
 
+def _undecided(members: DataFrame, hubs: DataFrame, told: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) of a bucket, in two classes yet, that may be similar.
+
+    Let two texts add p and q cells to a hub's, s of them in common, and lack u and v of its
+    cells. They differ in at least p + q - 2 s + |u - v| cells, and texts that are similar
+    enough differ in at most ``(1 / similar - 1)`` times the smaller one's size. Pairs that may
+    be so near without a common added cell are joined by hub, pairs that need one by that cell,
+    rarest first. Of each pair at least one is outside its hub's class; only those start a join.
+    """
+    room = F.lit(1 / similar - 1)
+    label = labels.select(F.col("node").alias("_n"), "label")
+    crowd = members.filter("n > 2").join(hubs.select("_band", "hub"), F.col("band") == F.col("_band")).filter(F.col("node") != F.col("hub"))
+    crowd = crowd.join(label, F.col("node") == F.col("_n"), "left").drop("_n").withColumn("class", F.coalesce("label", "node")).drop("label")
+    crowd = crowd.join(label, F.col("hub") == F.col("_n"), "left").withColumn("hub_class", F.coalesce("label", "hub")).select("band", "node", "hub", "class", "hub_class", *SKETCH)
+    facts = told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "size", "lacking", F.size("added").alias("adding"))
+    crowd = materialize(crowd.join(facts, (F.col("hub") == F.col("_a")) & (F.col("node") == F.col("_b")), "left").drop("_a", "_b"), "crowd")
+    # texts that were compared with their bucket's hub meet once under it, others in each band
+    hub_rows = crowd.filter("size is not null").drop("band").distinct().withColumn("far", F.col("class") != F.col("hub_class"))
+    # |u - v| + q is at least u plus the hub's least (q - v)
+    bound = hub_rows.groupBy(F.col("hub").alias("_hub")).agg(F.least(F.lit(0), F.min(F.col("adding") - F.col("lacking"))).alias("least"), F.count_if("far").alias("_far"))
+    bound = materialize(bound.filter("_far > 0").drop("_far"), "bound")
+    hub_rows = materialize(hub_rows.join(bound, F.col("hub") == F.col("_hub")).drop("_hub").withColumn("excess", F.col("adding") + F.col("lacking") + F.col("least") - room * F.col("size")), "hub_rows")
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"o_{c}") for c in df.columns])
+
+    differ = (F.col("class") != F.col("o_class")) & (_unequal("", "o_") <= MOST_PAIR)
+    apart = F.col("adding") + F.col("o_adding") + F.abs(F.col("lacking") - F.col("o_lacking"))
+    may = materialize(hub_rows.filter("excess <= 0"), "may")
+    once = ~F.col("o_far") | (F.col("node") < F.col("o_node"))
+    by_hub = may.filter("far").join(other(may), (F.col("hub") == F.col("o_hub")) & once & differ & (apart <= room * F.least("size", "o_size")))
+    loose = materialize(crowd.filter("size is null").select("band", "node", "class", *SKETCH), "loose")
+    by_band = loose.join(other(crowd.select("band", "node", "class", *SKETCH)), (F.col("band") == F.col("o_band")) & differ)
+    # a text with an excess shares at least half of it in added cells, so one of its rarest others
+    adds = told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.explode("added").alias("cell")).join(hub_rows.select("hub", "node", "class", "far", "adding", "excess", *SKETCH), (F.col("_a") == F.col("hub")) & (F.col("_b") == F.col("node"))).drop("_a", "_b")
+    adds = materialize(adds, "adds")
+    often = materialize(adds.groupBy(F.col("hub").alias("_h"), F.col("cell").alias("_c")).agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    adds = adds.join(often, (F.col("hub") == F.col("_h")) & (F.col("cell") == F.col("_c"))).drop("_h", "_c")
+    alone = F.col("adding") - F.count("*").over(W.partitionBy("hub", "node"))
+    place = F.row_number().over(W.partitionBy("hub", "node").orderBy("often", "cell")) + alone
+    adds = materialize(adds.withColumn("place", place), "placed")
+    # nodes without an excess may share any number of cells; pairs of two such are joined above or need one
+    first = adds.filter("far").filter(F.col("place") <= F.col("adding") - F.greatest(F.lit(1), F.ceil(F.col("excess") / 2)) + 1)
+    met = first.join(other(adds), (F.col("hub") == F.col("o_hub")) & (F.col("cell") == F.col("o_cell")) & differ)
+    both = by_hub.select(F.col("node").alias("x"), F.col("o_node").alias("y"))
+    both = both.union(by_band.select("node", "o_node")).union(met.select("node", "o_node"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(rows, links): doc_id, node, class_id, class_node of every row; a, b, similarity of every link.
 
@@ -218,19 +267,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFram
     told = materialize(compared(star, sets), "compared")
     links = told.filter(F.col("similarity") >= similar).select("a", "b", "similarity")
     labels = components(links)
-    # what is left: buckets whose members other than the hub are in several classes
-    part = members.filter("n > 2").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("band", "node", *SKETCH, F.coalesce("label", "node").alias("class"))
-    part = part.join(hubs.select("_band", "hub"), F.col("band") == F.col("_band")).filter(F.col("node") != F.col("hub"))
-    part = materialize(part.drop("_band"), "part")
-    mixed = materialize(part.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select(F.col("band").alias("_b")), "mixed")
-    from_hub = told.select(F.col("a").alias("_a"), F.col("b").alias("_n"), "size", "lacking", "added")
-    part = part.join(mixed, F.col("band") == F.col("_b"), "left_semi").join(from_hub, (F.col("hub") == F.col("_a")) & (F.col("node") == F.col("_n")), "left").drop("_a", "_n")
-    part = materialize(part, "part")
-    other = part.select(*[F.col(c).alias(f"o_{c}") for c in part.columns])
-    least = F.size("added") + F.size("o_added") + F.abs(F.col("lacking") - F.col("o_lacking"))
-    near = F.col("added").isNull() | F.col("o_added").isNull() | (least <= (1 / similar - 1) * F.least("size", "o_size")) | F.arrays_overlap("added", "o_added")
-    cross = part.join(other, (F.col("band") == F.col("o_band")) & (F.col("class") < F.col("o_class")) & (_unequal("", "o_") <= MOST_PAIR) & near)
-    cross = materialize(cross.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "cross")
+    cross = materialize(_undecided(members, hubs, told, labels, similar), "cross")
     more = materialize(compared(cross, sets).filter(F.col("similarity") >= similar).select("a", "b", "similarity"), "more")
     links = links.union(more)
     if not more.isEmpty():
