@@ -227,7 +227,7 @@ def _undecided(members: DataFrame, hubs: DataFrame, told: DataFrame, labels: Dat
     loose = materialize(crowd.filter("size is null").select("band", "node", "class", *SKETCH), "loose")
     by_band = loose.join(other(crowd.select("band", "node", "class", *SKETCH)), (F.col("band") == F.col("o_band")) & differ)
     # a text with an excess shares at least half of it in added cells, so one of its rarest others
-    adds = told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.explode("added").alias("cell")).join(hub_rows.select("hub", "node", "class", "far", "adding", "excess", *SKETCH), (F.col("_a") == F.col("hub")) & (F.col("_b") == F.col("node"))).drop("_a", "_b")
+    adds = told.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.explode("added").alias("cell")).join(hub_rows.select("hub", "node", "class", "far", "adding", "lacking", "size", "excess", *SKETCH), (F.col("_a") == F.col("hub")) & (F.col("_b") == F.col("node"))).drop("_a", "_b")
     adds = materialize(adds, "adds")
     often = materialize(adds.groupBy(F.col("hub").alias("_h"), F.col("cell").alias("_c")).agg(F.count("*").alias("often")).filter("often > 1"), "often")
     adds = adds.join(often, (F.col("hub") == F.col("_h")) & (F.col("cell") == F.col("_c"))).drop("_h", "_c")
@@ -236,7 +236,10 @@ def _undecided(members: DataFrame, hubs: DataFrame, told: DataFrame, labels: Dat
     adds = materialize(adds.withColumn("place", place), "placed")
     # nodes without an excess may share any number of cells; pairs of two such are joined above or need one
     first = adds.filter("far").filter(F.col("place") <= F.col("adding") - F.greatest(F.lit(1), F.ceil(F.col("excess") / 2)) + 1)
-    met = first.join(other(adds), (F.col("hub") == F.col("o_hub")) & (F.col("cell") == F.col("o_cell")) & differ)
+    # the cells that a pair must share, if any, lie among its rarest on either side
+    need = F.ceil((apart - room * F.least("size", "o_size")) / 2)
+    early = (need > 0) & (F.col("place") <= F.col("adding") - need + 1) & (F.col("o_place") <= F.col("o_adding") - need + 1)
+    met = first.join(other(adds), (F.col("hub") == F.col("o_hub")) & (F.col("cell") == F.col("o_cell")) & early & differ)
     both = by_hub.select(F.col("node").alias("x"), F.col("o_node").alias("y"))
     both = both.union(by_band.select("node", "o_node")).union(met.select("node", "o_node"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
