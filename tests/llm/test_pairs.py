@@ -199,3 +199,37 @@ def test_found_items_equal_brute_force(spark):
                     want.add((doc, item, score))
     got = queries.queries()["op8_decontamination"](spark, SF).collect()
     assert {(r.doc_id, r.item_id, r.score) for r in got} == want
+
+
+def test_frequent_partial_copies_and_copies_without_long_runs_are_found(spark):
+    rng = random.Random(6)
+    w = [f"q{i}" for i in range(60)]
+    apart = [x for i in range(0, 60, 2) for x in (w[i], w[i + 1], f"gap{i}")]
+    filler = [f"f{k}" for k in range(300)]
+    texts = [[*rng.sample(filler, 20), *w[:27], *rng.sample(filler, 20)] for _ in range(300)] + [w, apart, [*filler[:30], *w[5:28]]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.score for r in got} == {i: 27 for i in range(300)} | {300: 60, 301: 31}
+
+
+def test_found_items_equal_brute_force_on_random_edits(spark):
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(30)]
+    tests = [[rng.choice([*common, f"i{i}w{k}"]) for k in range(rng.choice([5, 18, 30, 70]))] for i in range(12)]
+    texts = []
+    for n in range(240):
+        q = tests[n % 12]
+        part = q[rng.randrange(len(q) // 3 + 1) :]
+        part = [x for y in part for x in rng.choice([(y,), (y,), (y,), (y,), (), (y, "new"), ("other",)])]
+        texts.append([*rng.choices(common, k=8), *part, *rng.choices(common, k=8)])
+    texts += texts[:60]
+    names = {}
+    read = [[np.array([names.setdefault(x, len(names)) for x in t]) for t in group] for group in (texts, tests)]
+    want = set()
+    for i, x in enumerate(read[0]):
+        for j, q in enumerate(read[1]):
+            if (score := decontam.align(x, q)) >= (len(q) if len(q) < 8 else min(25, 0.4 * len(q))):
+                want.add((i, j, score))
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = decontam.contaminated(docs, spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(tests)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == want and len(want) > 40

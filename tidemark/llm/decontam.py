@@ -1,15 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: two-word seeds that no copy can lack, then Smith-Waterman alignment.
 
 Words are runs of bytes other than ASCII white space and punctuation, in lower case, so that
-edits of case and punctuation don't count. Of a test item's three-word runs, those that are
-no more frequent in the training texts than the item's median run are its seeds. A text that
-holds a seed is aligned with the item over its whole length: match 1, mismatch -1, gap -1.
-A text is a copy of the item if the best local score reaches ``SHARE`` of the item's words, or
-``LONG`` words in items long enough for that; items under ``SHORT`` words must match in full.
+edits of case and punctuation don't count. A text is aligned with an item over its whole
+length: match 1, mismatch -1, gap -1. It is a copy of the item if the best local score reaches
+``SHARE`` of the item's words, or ``LONG`` words in items long enough for that; items under
+``SHORT`` words must match in full.
+
+Seeding loses no copy. Errors part an alignment's matches into at most one stretch more than
+there are errors, so a score of s shares s - 1 or more of the item's two-word runs. Of an item
+with g runs a copy thus holds at least c, the least score less 1; whatever their order, it
+holds at least k of any g - c + k of them. Those that the fewest training texts hold are the
+item's seeds, and texts with ``SURE`` of them (c if that is less) are looked at: if they hold c
+of all runs, they are aligned. Which runs are rare decides the cost only, not what is found.
 
 Runs are looked up in a bitmap of fixed size, which the tasks get by broadcast, and what
 passes it is joined exactly; so the benchmark may grow without bound. Null or empty texts and
-items match nothing, and neither do items of fewer than three words. Repeated rows are
+items match nothing, and neither do items of fewer than ``FEWEST`` words. Repeated rows are
 reported each.
 """
 
@@ -20,18 +26,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
 from tidemark.llm.bits import bitmap, contained
 from tidemark.llm.words import pieces, shingles
 
-WIDTH = 3
+WIDTH = 2
+FEWEST, SURE = 3, 2
 SHARE, LONG, SHORT = 0.4, 25, 8
 _U = np.uint64
 
 
+def _least(n: Column) -> Column:
+    """The least score of a copy of an item of ``n`` words."""
+    return F.when(n < SHORT, n.cast("double")).otherwise(F.least(F.lit(float(LONG)), F.lit(SHARE) * n))
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for i, j, h, first in pieces(batch.column("text"), lower=True, punctuation=True):
         yield i, j, h, first, *shingles(h, first, WIDTH, whole=False)
@@ -42,14 +55,15 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words and grams (hashes) of each test item."""
+    """item_id, words, grams (hashes) and need (how many of its grams a copy holds at least) of each test item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, first, g, runs in _runs(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(i, j - i), _lists(first, h), _lists(runs, g)], names=["item_id", "words", "grams"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words array<long>, grams array<long>")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, words array<long>, grams array<long>")
+    return rows.filter(F.size("words") >= FEWEST).withColumns({"need": F.ceil(_least(F.size("words"))) - 1, "key": F.monotonically_increasing_id()})
 
 
 def frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -71,36 +85,45 @@ def frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """gram, item_id of each item's rarer half of runs, ties included."""
-    own = tests.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    counted = materialize(own.join(frequencies(docs, own.select("gram").distinct()), "gram"), "counted")
-    middle = counted.groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("_middle")).withColumnRenamed("item_id", "_item")
-    return counted.join(middle, F.col("item_id").eqNullSafe(F.col("_item"))).filter("df <= _middle").select("gram", "item_id")
+    """gram, key, times, sure: each item's rarest runs, how often it has each, and how many of them a copy holds."""
+    own = tests.select("key", "need", F.size("grams").alias("n"), F.explode("grams").alias("gram")).groupBy("key", "need", "n", "gram").agg(F.count("*").alias("times"))
+    own = materialize(own, "own")
+    df = frequencies(docs, own.select("gram").distinct()).withColumnRenamed("gram", "_gram")
+    counted = own.join(df, F.col("gram") == F.col("_gram"), "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("sure", F.least(F.lit(SURE), "need"))
+    rarer = F.sum("times").over(W.partitionBy("key").orderBy("df", "gram").rowsBetween(W.unboundedPreceding, -1))
+    return counted.withColumn("_rarer", F.coalesce(rarer, F.lit(0))).filter(F.col("_rarer") < F.col("n") - F.col("need") + F.col("sure")).select("gram", "key", "times", "sure")
 
 
 def suspects(docs: DataFrame, seed_grams: DataFrame) -> DataFrame:
-    """uid, doc_id, node (hash of the text), grams (seed-like runs found) and words of texts with any."""
+    """uid, node (hash of the text) and grams (seed-like runs found) of texts with any."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(seed_grams, "gram"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, h, first, g, runs in _runs(batch):
+            for i, _, _, _, g, runs in _runs(batch):
                 hit = np.flatnonzero(contained(bits.value, g))
                 if len(hit):
                     text = np.searchsorted(runs, hit, "right") - 1
                     which, start = np.unique(text, return_index=True)
-                    cut = np.append(start, len(hit))
-                    sizes = np.diff(first)[which]
-                    take = np.concatenate([np.arange(first[t], first[t + 1]) for t in which])
-                    rows = pa.array(which + i)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(rows), batch.column("node").take(rows), _lists(cut, g[hit]), _lists(np.concatenate([[0], np.cumsum(sizes)]), h[take])], names=["doc_id", "node", "grams", "words"]
-                    )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text").mapInArrow(run, "doc_id long, node long, grams array<long>, words array<long>")
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(which + i)), _lists(np.append(start, len(hit)), g[hit])], names=["node", "grams"])
+
+    rows = docs.select(F.xxhash64("text").alias("node"), "text").mapInArrow(run, "node long, grams array<long>")
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
+def worded(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, node and words of the texts whose node is in ``wanted``; no other text leaves its task."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(contained(bits.value, batch.column("node").to_numpy().view(_U))))
+            for i, j, h, first in pieces(part.column("text"), lower=True, punctuation=True):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(i, j - i), part.column("node").slice(i, j - i), _lists(first, h)], names=["doc_id", "node", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text").mapInArrow(run, "doc_id long, node long, words array<long>")
+
+
 def align(text: np.ndarray, item: np.ndarray) -> int:
     """The best local alignment score of two word sequences; a row of the matrix at a time."""
     n = len(text)
@@ -122,22 +145,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tests = materialize(items(benchmark), "items")
     seed = materialize(seeds(docs, tests), "seeds")
     found = materialize(suspects(docs, seed.select("gram")), "suspects")
-    pairs = found.select("uid", F.explode(F.array_distinct("grams")).alias("gram")).join(seed, "gram").select("uid", "item_id").distinct()
-    pairs = materialize(pairs, "pairs")
-    some = tests.select("item_id", F.col("words").alias("item"))
-    per_text = materialize(pairs.join(some.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).select(F.col("uid").alias("_uid"), "item_id", "item"), "pairs")
-    both = found.select("uid", "doc_id", "node", "words").join(per_text, F.col("uid") == F.col("_uid"))
+    pairs = found.select("uid", "node", F.explode(F.array_distinct("grams")).alias("gram")).join(seed, "gram").groupBy("uid", "node", "key").agg(F.sum("times").alias("held"), F.max("sure").alias("sure"))
+    pairs = materialize(pairs.filter("held >= sure").select("node", "key").distinct(), "pairs")
+    texts = materialize(worded(docs, pairs.select("node")), "texts")
+    some = tests.select(F.col("key").alias("_key"), "item_id", "need", F.col("words").alias("item"), F.col("grams").alias("item_grams"))
+    both = texts.join(pairs.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).join(some, F.col("key") == F.col("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, tests_ = batch.column("words"), batch.column("item")
-            score = [align(words[i].values.to_numpy(), tests_[i].values.to_numpy()) for i in range(batch.num_rows)]
+            words, tests_, runs, need = (batch.column(c) for c in ("words", "item", "item_grams", "need"))
+            score = []
+            for i in range(batch.num_rows):
+                text = words[i].values.to_numpy()
+                own, _ = shingles(text.view(_U), np.array([0, len(text)]), WIDTH, whole=False)
+                held = np.isin(runs[i].values.to_numpy().view(_U), own).sum()
+                score.append(align(text, tests_[i].values.to_numpy()) if held >= need[i].as_py() else 0)
             size = pc.list_value_length(tests_).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), batch.column("item_id"), size, pa.array(score, pa.int64())], names=["doc_id", "node", "item_id", "n_item_words", "score"])
 
-    scored = both.select("doc_id", "node", "item_id", "words", "item").mapInArrow(run, "doc_id long, node long, item_id long, n_item_words long, score long")
-    least = F.when(F.col("n_item_words") < SHORT, F.col("n_item_words").cast("double")).otherwise(F.least(F.lit(float(LONG)), F.lit(SHARE) * F.col("n_item_words")))
-    return scored.filter(F.col("score") >= least).withColumn("share", F.col("score") / F.col("n_item_words"))
+    scored = both.select("doc_id", "node", "item_id", "words", "item", "item_grams", "need").mapInArrow(run, "doc_id long, node long, item_id long, n_item_words long, score long")
+    return scored.filter(F.col("score") >= _least(F.col("n_item_words"))).withColumn("share", F.col("score") / F.col("n_item_words"))
 
 
 def without_tests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
