@@ -233,3 +233,13 @@ def test_found_items_equal_brute_force_on_random_edits(spark):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     got = decontam.contaminated(docs, spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(tests)], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.score) for r in got} == want and len(want) > 40
+
+
+def test_no_item_is_easier_to_match_than_a_shorter_one(spark):
+    tests = spark.createDataFrame([(n, " ".join(f"n{n}w{k}" for k in range(n))) for n in range(3, 30)], "item_id long, text string")
+    texts = {(n, k): f"some {' '.join(f'n{n}w{i}' for i in range(k))} more" for n in range(3, 30) for k in range(3, n + 1)}
+    docs = spark.createDataFrame([(100 * n + k, t, "en", "s", 0) for (n, k), t in texts.items()], SCHEMA)
+    least = {}
+    for r in decontam.contaminated(docs, tests).collect():
+        least[r.item_id] = min(r.score, least.get(r.item_id, r.score))
+    assert [least[n] for n in range(3, 30)] == [3, 4, 5, 6, *[7] * 11, *[-(-n * 2 // 5) for n in range(18, 30)]]

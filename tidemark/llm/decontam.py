@@ -4,7 +4,7 @@ Words are runs of bytes other than ASCII white space and punctuation, in lower c
 edits of case and punctuation don't count. A text is aligned with an item over its whole
 length: match 1, mismatch -1, gap -1. It is a copy of the item if the best local score reaches
 ``SHARE`` of the item's words, or ``LONG`` words in items long enough for that; items under
-``SHORT`` words must match in full.
+``SHORT`` words must match in full, and no longer item is matched by less than those need.
 
 Seeding loses no copy. Errors part an alignment's matches into at most one stretch more than
 there are errors, so a score of s shares s - 1 or more of the item's two-word runs. Of an item
@@ -42,7 +42,7 @@ _U = np.uint64
 
 def _least(n: Column) -> Column:
     """The least score of a copy of an item of ``n`` words."""
-    return F.when(n < SHORT, n.cast("double")).otherwise(F.least(F.lit(float(LONG)), F.lit(SHARE) * n))
+    return F.when(n < SHORT, n.cast("double")).otherwise(F.greatest(F.lit(SHORT - 1.0), F.least(F.lit(float(LONG)), F.lit(SHARE) * n)))
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
