@@ -3,8 +3,9 @@ import pyarrow.parquet as pq
 
 from tests.conftest import day
 from tidemark.functions.scratch import new_path, scratch_dir
+from tidemark.jobs import queries
 from tidemark.operators import quality
-from tidemark.sources import tables
+from tidemark.sources import market, tables
 from tidemark.streaming.ingest import ingest_landing
 
 SCHEMA = "date date, close double"
@@ -64,3 +65,15 @@ def test_overview_counts_duplicates(spark):
 def test_agreement_of_constant_series_is_null(spark):
     df = spark.createDataFrame([(day("2020-01-01"), 1.0), (day("2020-02-01"), 1.0)], "ym date, ret double")
     assert quality.agreement(df, df).first().correlation is None
+
+
+def test_long_supplier_ids_stay_apart(spark, tmp_path):
+    base = "/root/testdata/sf0.001"
+    keys = [1, 12, 123, 1000, 10000, 10001, 100002]
+    s = spark.read.parquet(f"{base}/supplier.parquet").limit(1).drop("s_suppkey", "s_nationkey").crossJoin(spark.createDataFrame([(k, 0) for k in keys], "s_suppkey long, s_nationkey int"))
+    s.write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{base}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {"0001", "0012", "0123", "1000", "10000", "10001", "100002"}
+    assert {r.stock_id for r in market.info(spark, str(tmp_path)).collect()} == want
+    assert sorted(r.stock_id for r in queries.universe_classify(spark, str(tmp_path)).collect()) == sorted(want)

@@ -89,7 +89,7 @@ def ic_summary(spark: SparkSession, d: str) -> DataFrame:
 def landing_merge(spark: SparkSession, d: str) -> DataFrame:
     """The universe written as landing files by market, read back with the key from the file's folder."""
     path = new_path(spark, "landing")
-    u = universe.build_universe(market.info(spark, d), market.GROUP_RULES)
+    u = universe.build_universe(market.info(spark, d), market.GROUP_RULES, pattern=market.LISTED)
     u.repartition(4, "stock_id").write.parquet(path)
     return tables.merge_landing(spark, path, "stock_id string, stock_name string, industry_category string, `group` string, type string")
 
@@ -113,7 +113,7 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def universe_classify(spark: SparkSession, d: str) -> DataFrame:
-    return universe.build_universe(market.info(spark, d), market.GROUP_RULES)
+    return universe.build_universe(market.info(spark, d), market.GROUP_RULES, pattern=market.LISTED)
 
 
 def category_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,7 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col(column).asc_nulls_last())
 
 
-def build_universe(info: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], markets: Sequence[str] = ("twse", "tpex")) -> DataFrame:
+def build_universe(info: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], markets: Sequence[str] = ("twse", "tpex"), pattern: str = "^[0-9]{4}$") -> DataFrame:
     """Listed entities, their latest row, with a group; unclassified ones are dropped."""
-    latest = latest_per_key(filter_listed(info, markets), "stock_id", "date")
+    latest = latest_per_key(filter_listed(info, markets, pattern), "stock_id", "date")
     return classify_by_keywords(latest, "industry_category", rules).filter("group is not null").select("stock_id", "stock_name", "industry_category", "group", "type")

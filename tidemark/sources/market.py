@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 #: First match wins; here the keywords are region names.
 GROUP_RULES = (("africa", ("AFRICA",)), ("america", ("AMERICA",)), ("asia", ("ASIA",)), ("europe", ("EUROPE",)))
+#: Ids have four digits, or more from the 10,000th supplier on.
+LISTED = "^[0-9]{4,}$"
 QTY, EXT, DISC, TAX = "l_quantity", "l_extendedprice", "l_discount", "l_tax"
 
 
@@ -19,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _id(column: str) -> Column:
-    return F.lpad(F.col(column).cast("string"), 4, "0")
+    # lpad cuts what is longer than the width
+    text = F.col(column).cast("string")
+    return F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
