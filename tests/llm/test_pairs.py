@@ -243,3 +243,13 @@ def test_no_item_is_easier_to_match_than_a_shorter_one(spark):
     for r in decontam.contaminated(docs, tests).collect():
         least[r.item_id] = min(r.score, least.get(r.item_id, r.score))
     assert [least[n] for n in range(3, 30)] == [3, 4, 5, 6, *[7] * 11, *[-(-n * 2 // 5) for n in range(18, 30)]]
+
+
+def test_sketches_lose_far_fewer_similar_pairs_than_bands():
+    from math import comb
+
+    p = (1 - neardup.SIMILAR) * 15 / 16
+    bands = (1 - neardup.SIMILAR**neardup.ROWS) ** neardup.BANDS
+    for most in (neardup.MOST_PAIR, neardup.MOST_HUB):
+        lost = sum(comb(neardup.K, k) * p**k * (1 - p) ** (neardup.K - k) for k in range(most + 1, neardup.K + 1))
+        assert lost < bands / 100
