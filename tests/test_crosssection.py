@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import day
+from tidemark.jobs import queries
 from tidemark.operators import factors, formula, ic, model, ortho, overfit, perf, portfolio, rolling, xsection
 
 
@@ -224,3 +225,15 @@ def test_gbt_scores_test_months(spark):
     assert got.filter("s_gbt is not null").count() == 40
     top = model.feature_importance(df, ["x", "z"], maxIter=2, maxDepth=2, minInstancesPerNode=5).collect()
     assert {r.feature for r in top} == {"x", "z"}
+
+
+def test_registered_boosted_trees_keep_the_surveyed_settings(spark, monkeypatch):
+    seen = {}
+
+    def record(df, features, folds, **settings):
+        seen.update(model.GBT | settings)
+        return df.withColumn("s_gbt", F.lit(0.0))
+
+    monkeypatch.setattr(model, "score_gbt", record)
+    queries.score_gbt(spark, "/root/testdata/sf0.001")
+    assert seen == model.GBT and (seen["maxIter"], seen["maxDepth"]) == (300, 5)

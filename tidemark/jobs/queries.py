@@ -367,7 +367,7 @@ def score_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 def score_gbt(spark: SparkSession, d: str) -> DataFrame:
     df = _prepared(spark, d)
-    return _round(model.score_gbt(df, PART_FACTORS, model.walk_forward_folds(df), maxIter=5, maxDepth=3).select("stock_id", "ym", "s_gbt"), 8)
+    return _round(model.score_gbt(df, PART_FACTORS, model.walk_forward_folds(df)).select("stock_id", "ym", "s_gbt"), 8)
 
 
 def evaluate_scores(spark: SparkSession, d: str) -> DataFrame:
