@@ -130,6 +130,24 @@ def test_mix_cuts_exactly_and_repeats(spark):
         assert len({-(-r[4] // r[1]) for r in own if r[1]}) <= 2, "epochs differ by one at most"
 
 
+def test_mix_shares_the_cut_among_equal_rows(spark):
+    rows = [(7 if i % 3 else None, "one two three four five", "en", "hot", 0) for i in range(300)] + [(i, "x y", "en", "other", 0) for i in range(1000, 1040)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).collect()
+    for s, n in (("hot", 300), ("other", 1)):
+        own = [r for r in got if r.source == s]
+        assert 0 <= int(own[0].target) - sum(r.taken for r in own) < n
+    assert len({(r.doc_id, r.taken) for r in got if r.source == "hot"}) == 2
+    kept = mixing.mixed_documents(docs).collect()
+    assert sorted(r.taken for r in kept) == sorted(r.taken for r in got if r.taken) and len(kept) == len([r for r in got if r.taken])
+
+
+def test_mix_moves_no_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = mixing.mixed_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_mix_edges(edge, empty, clashing):
     got = mixing.mix(edge).collect()
     assert len(got) == len(EDGE) and all(r.taken == 0 for r in got if not r.size)

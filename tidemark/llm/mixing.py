@@ -1,11 +1,15 @@
 """Mixing sources to target weights (DataFrame functions only).
 
-Documents get hash-random keys. Within a source they are dealt to ranges of the key, sorted
-in each range, and prefix sums of their sizes come from two levels: sums of whole ranges,
-then sums within a range. A source's budget is cut exactly in that order, after whole epochs.
-
-Sources may be null (the last one). Rows with null text have size 0 and are never taken.
-Repeated rows are documents of their own; rows alike in key, id and size are interchangeable.
+Documents get hash-random keys, and a source is read in the order of its keys: after whole
+epochs, its budget ends at one place of that order. The place is found by prefix sums over
+ranges of the key, over ranges within the range that holds it, and over the sorted rows of the
+last range. What a document gives follows from its own key and its source's place, so documents
+are never moved: one table of a row per source is joined to them.
+
+Sources may be null (the last one). Rows with null text have size 0 and are never taken. Rows
+without id are known by their text. Repeated rows are documents of their own; if a budget ends
+among rows alike in key and size, each gives the same share, so the source may be short of its
+target by less words than there are such rows.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words; most epochs of a source.
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
-#: Least rows in a range of keys. Large sources get ranges of the square root of their rows, so
-#: that neither a range nor the list of a source's ranges becomes more than a task can sort.
-RANGE_ROWS = 500
+#: Hexadecimal digits of the key by which a range is parted, and how often: 65,536 last ranges a source.
+DIGITS, LEVELS = 2, 2
 
 
 def size_of(text: Column) -> Column:
@@ -51,42 +54,77 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return df.select("source", "n_docs", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Every row of ``docs`` with doc_id, size, source_size, target and ``taken`` words.
+def keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with _size and _key: a hash of the seed and the id, or of the text where there is no id."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))
+    return docs.withColumns({"_size": size_of(F.col("text")), "_key": F.md5(F.concat(F.lit(seed), own))})
+
+
+def cuts(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """One row per source: _src, source_size, target, _whole epochs, and the place where its budget ends.
 
-    ``carry`` names more columns of ``docs`` to return (the text travels only then). The last
-    document within a budget is taken in part, so a source's taken words are its whole-number
-    target. An empty table gives an empty result.
+    ``rows`` have source, size and _key. The place is a _cut_key and _cut_size, of whose rows
+    each gives _cut_words. Prefix sums of whole ranges of the key find the range that holds it,
+    and so on within that range; only rows of the last ranges are sorted themselves.
     """
-    keep = list(dict.fromkeys(["doc_id", "source", *carry]))
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = materialize(docs.select(*keep, size_of(F.col("text")).alias("size"), key.alias("_key")), "sizes")
-    goal = materialize(targets(rows.select("source", "size"), weights, share, epochs), "targets")
-    goal = goal.withColumnRenamed("source", "_src")
-    same = F.col("source").eqNullSafe(F.col("_src"))
-    ranges = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt("n_docs")))
-    dealt = rows.join(goal, same)
-    part = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0) * ranges).cast("long")
-    dealt = dealt.withColumn("_range", part)
-    sums = dealt.groupBy("_src", "_range").agg(F.sum("size").alias("_range_size"))
-    start = F.sum("_range_size").over(W.partitionBy("_src").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(F.col("_src").alias("_s2"), F.col("_range").alias("_r2"), F.coalesce(start, F.lit(0)).alias("_start"))
-    inner = W.partitionBy("_src", "_range").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
-    df = dealt.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    df = df.join(sums, F.col("_src").eqNullSafe(F.col("_s2")) & (F.col("_range") == F.col("_r2")))
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
-    rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size") - F.col("_start") - F.col("_inner")
-    taken = whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return df.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[c for c in keep if c != "doc_id"])
-
+    at = goal.select(F.col("source").alias("_src"), "source_size", "target", whole.alias("_whole"), (F.floor("target").cast("long") - whole * F.col("source_size")).alias("_rest"))
+    at = at.withColumns({"_start": F.lit(0).cast("long"), "_range": F.lit("")})
+    per_source = [c for c in at.columns if c not in ("_start", "_range")]
+
+    def within(by: list[Column]) -> DataFrame:
+        """Sums of ``size`` by ``by`` in the sources' ranges with the words before each, where the rest of the budget ends."""
+        part = rows.join(at, F.col("source").eqNullSafe(F.col("_src")) & F.col("_key").startswith(F.col("_range")))
+        sums = part.groupBy(*per_source, "_start", *by).agg(F.sum("size").alias("_words"), F.count("*").alias("_n"))
+        names = sums.columns[len(per_source) + 1 : -2]
+        before = F.sum("_words").over(W.partitionBy("_src").orderBy(*names).rowsBetween(W.unboundedPreceding, -1))
+        sums = sums.withColumn("_start", F.col("_start") + F.coalesce(before, F.lit(0)))
+        return sums.filter((F.col("_start") <= F.col("_rest")) & (F.col("_rest") < F.col("_start") + F.col("_words")))
+
+    for level in range(1, LEVELS + 1):
+        at = materialize(within([F.substring("_key", 1, level * DIGITS).alias("_range")]).select(*per_source, "_start", "_range"), f"cut{level}")
+    each = F.floor((F.col("_rest") - F.col("_start")) / F.col("_n")).cast("long")
+    last = within([F.col("_key").alias("_cut_key"), F.col("size").alias("_cut_size")])
+    return materialize(last.select(*per_source, "_cut_key", "_cut_size", each.alias("_cut_words")).drop("_rest"), "cuts")
+
+
+def take(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Add source_size, target and taken to ``rows`` with source, _size and _key; no row leaves its task if ``cut`` is small."""
+    df = rows.join(cut, F.col("source").eqNullSafe(F.col("_src")), "left")
+    place, end = F.struct("_key", "_size"), F.struct(F.col("_cut_key"), F.col("_cut_size"))
+    part = F.when(place < end, F.col("_size")).when(place == end, F.col("_cut_words")).otherwise(0)
+    return df.withColumn("taken", F.coalesce(F.col("_whole") * F.col("_size") + part, F.lit(0)).cast("long")).drop("_src", "_whole", "_cut_key", "_cut_size", "_cut_words")
+
+
+def _planned(docs: DataFrame, seed: str, weights: tuple[int, ...], share: float, epochs: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes and keys, cuts) of ``docs``."""
+    rows = materialize(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", F.col("_size").alias("size"), "_key"), "sizes")
+    goal = materialize(targets(rows, weights, share, epochs), "targets")
+    found = cuts(rows, goal)
+    # sources without words have no place where a budget ends
+    rest = goal.select(F.col("source").alias("_src"), "source_size", "target").join(found.select(F.col("_src").alias("_s")), F.col("_src").eqNullSafe(F.col("_s")), "left_anti")
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns[3:]]
+    return rows, materialize(found.unionByName(rest.select("*", *none)), "plan")
+
+
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Every row of ``docs`` with doc_id, source, size, source_size, target and ``taken`` words.
+
+    The last document within a budget is taken in part, so a source's taken words are its
+    whole-number target. An empty table gives an empty result.
+    """
+    rows, cut = _planned(docs, seed, weights, share, epochs)
+    return take(rows.withColumnRenamed("size", "_size"), cut).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of ``docs`` that the mix takes any words of, with how often each is taken in whole or part.
 
-    ``taken`` and ``epochs`` replace columns of these names.
+    ``taken`` and ``epochs`` replace columns of these names. Documents are read twice, for the
+    sizes and for the result, and are neither shuffled nor written on the way.
     """
-    packed = docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))
-    mixed = mix(packed, ("_doc",)).filter("taken > 0")
-    own = [F.col(f"_doc.`{c}`") for c in docs.columns if c not in ("taken", "epochs")]
-    return mixed.select(*own, "taken", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("epochs"))
+    _, cut = _planned(docs, seed, weights, share, epochs)
+    packed = keyed(docs.select("doc_id", "source", "text", F.struct("*").alias("_doc")), seed)
+    mixed = take(packed, cut).filter("taken > 0")
+    own = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("taken", "epochs")]
+    return mixed.select(*own, "taken", F.ceil(F.col("taken") / F.col("_size")).cast("int").alias("epochs"))

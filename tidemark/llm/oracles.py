@@ -51,17 +51,19 @@ _ARCHIVE = """
     FROM p LEFT JOIN g ON p.html = g.html"""
 
 _MIX = f"""
-    WITH d AS (SELECT doc_id, source, len({_WORDS})::bigint AS size, md5(concat('mix', coalesce(doc_id::varchar, 'null'))) AS k FROM documents),
+    WITH d AS (SELECT doc_id, source, len({_WORDS})::bigint AS size, md5(concat('mix', coalesce(doc_id::varchar, concat('text ', coalesce(text, ''))))) AS k FROM documents),
     s AS (SELECT source, sum(size)::bigint AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::int]::double AS w,
                  row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source),
     c AS (SELECT *, source_size * 2.0::double AS cap, sum(source_size) OVER () * 1.5::double AS total FROM s),
     l AS (SELECT *, (total - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lev
           FROM c WINDOW o AS (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     t AS (SELECT source, source_size, least(cap, (SELECT arg_min(lev, (cap / w, pos)) FROM l WHERE lev * w <= cap) * w) AS target FROM l),
-    r AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    g AS (SELECT source, k, size, count(*) AS m FROM d GROUP BY ALL),
+    r AS (SELECT g.*, t.source_size, t.target, coalesce(sum(size * m) OVER (PARTITION BY g.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before
+          FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
     e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::bigint ELSE 0 END AS whole FROM r)
-    SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, floor(target)::bigint - whole * source_size - before)))::bigint AS taken FROM e"""
+    SELECT d.doc_id, d.size, source_size, target, (whole * d.size + greatest(0, least(d.size, (floor(target)::bigint - whole * source_size - before) // m)))::bigint AS taken
+    FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.k = e.k AND d.size = e.size"""
 
 _CHAT = """
     WITH t AS (SELECT conv_id, row_number() OVER o AS place, count(*) OVER (PARTITION BY conv_id) AS n, role, text,
