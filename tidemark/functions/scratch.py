@@ -6,18 +6,28 @@ checkpoint, such a table survives the loss of any executor.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: Shuffle files go when the query that made them has ended; a written table needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder: as the cluster names it, or a new one if unset (tests, local runs)."""
+    """The shared folder as the cluster names it.
+
+    Where it is unset, a session in one process (tests, local runs) gets a new temporary folder;
+    on a cluster, whose executors would each write to their own disks, that is an error.
+    """
     root = spark.conf.get(_SETTING, None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_SETTING} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_SETTING, root)
     return root.rstrip("/")
@@ -32,5 +42,20 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """Write ``df`` once and return the written table; what follows never recomputes ``df``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName().startswith("tidemark-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
