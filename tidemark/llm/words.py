@@ -1,20 +1,25 @@
 """Words of a batch of texts as 64-bit hashes, for operators that run numpy in their tasks.
 
 A word is a maximal run of bytes other than ASCII white space, which UTF-8 never splits. A
-batch is cut into pieces of whole texts small enough for the CPU's cache; in each piece a
-prefix sum of byte values times powers of an odd base gives the hash of any word by one
-subtraction. The hash depends on the word's bytes alone, so it agrees among tasks and runs.
+batch is cut into pieces of whole texts small enough for the CPU's cache; in each piece words
+are hashed eight bytes at a time, all words at once, each step by a bijection of what was
+hashed so far and the bytes that follow. Words of one length up to eight bytes never share a
+hash; others do by chance alone, once in 2 ** 64 pairs. The few words over ``LONG`` bytes are
+hashed by BLAKE2b. The hash depends on the word's bytes alone, so it agrees among tasks and runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of the longest string that is hashed side by side with others, and spare bytes after the last.
+LONG, SPARE = 64, 8
+_SEED = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -32,55 +37,58 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_EMPTY = mix(np.arange(LONG + 1, dtype=np.uint64) * np.uint64(_SEED) + np.uint64(1))
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+def eights(buf: np.ndarray) -> np.ndarray:
+    """At each place of ``buf`` but the last seven, the number that the next eight bytes make."""
+    return np.ndarray((max(0, len(buf) - 7),), "<u8", buf, strides=(1,))
 
-    @classmethod
-    def grow(cls, n: int) -> None:
-        if len(cls.up) >= n:
-            return
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
 
+def hashes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the strings that lie at ``starts`` in ``buf``, which ends in SPARE spare bytes."""
+    read = eights(buf)
+    out = _EMPTY[np.minimum(sizes, LONG)]
+    active, at, left = slice(None), starts, sizes
+    while len(at):
+        out[active] = mix(out[active] ^ (read[at] & _MASK[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (left <= LONG))
+        active = more if isinstance(active, slice) else active[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(sizes > LONG):
+        digest = hashlib.blake2b(buf[starts[k] : starts[k] + sizes[k]].tobytes(), digest_size=8).digest()
+        out[k] = np.frombuffer(digest, "<u8")[0]
+    return out
 
-def _hash(buf: np.ndarray, first: np.ndarray, lower: bool, apart: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in ``buf``; texts begin at ``first``.
 
-    With ``heads``, the hashes have a column for each length: of the first bytes of words
-    that are longer, 0 for others.
+def _hash(raw: np.ndarray, first: np.ndarray, lower: bool, apart: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in ``raw``; texts begin at ``first``.
+
+    With ``heads``, the hashes have a column for each length (8 at most): of the first bytes of
+    words that are longer, 0 for others.
     """
-    if not len(buf):
+    if not len(raw):
         none = np.zeros(0, np.int64)
         return none, np.zeros((0, 1 + len(heads)) if heads else 0, np.uint64)
-    _Powers.grow(max(len(buf), PIECE))
-    solid = ~apart[buf]
+    buf = np.zeros(len(raw) + SPARE, np.uint8)
+    buf[: len(raw)] = _LOWER[raw] if lower else raw
+    solid = ~apart[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    at = first[first < len(buf)]
+    at = first[first < len(raw)]
     begins[at] = solid[at]
     stops = solid.copy()
     stops[:-1] &= ~solid[1:]
     last = at[at > 0] - 1
     stops[last] = solid[last]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
-    with np.errstate(over="ignore"):
-        v = _VALUE[_LOWER[buf] if lower else buf]
-        v *= _Powers.down[: len(buf)]
-        total = np.cumsum(v)
-        size = ends - starts + 1
-        before = v[starts] - total[starts]
-        h = mix((total[ends] + before) * _Powers.up[starts] + size.astype(np.uint64))
-        if heads:
-            cut = [np.where(size > k, mix((total[np.minimum(starts + k - 1, len(buf) - 1)] + before) * _Powers.up[starts] + np.uint64((k << 32) + 1)), np.uint64(0)) for k in heads]
-            h = np.stack([h, *cut], axis=1)
+    starts = np.flatnonzero(begins)
+    size = np.flatnonzero(stops) - starts + 1
+    h = hashes(buf, starts, size)
+    if heads:
+        begin = eights(buf)[starts]
+        cut = [np.where(size > k, mix((begin & _MASK[k]) ^ mix(np.array([(k << 32) + 1], np.uint64))), np.uint64(0)) for k in heads]
+        h = np.stack([h, *cut], axis=1)
     return starts, h
 
 
