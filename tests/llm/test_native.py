@@ -38,7 +38,39 @@ def test_sketches_merge_in_any_order(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.groupBy(*key).agg(F.sum("n").alias("n")).collect()))
     values = sorted(r.word_length for r in df.collect())
     q = quality.quartiles(whole, ()).filter("measure = 'word_length'").first()
-    assert q.q2 == pytest.approx(values[29], rel=0.011) and q.n == 60
+    assert (q.q1, q.q3, q.n) == (values[14], values[44], 60)
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark, edge, monkeypatch):
+    more = [(100 + i, t, "en", "s", 0) for i, t in enumerate(["a b c a b c", "a b c d e f", "a a a a", "a b c d a b c e a b"])]
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(3).cast("long"))
+    for r in quality.base_counts(edge.filter("doc_id <> 4").union(spark.createDataFrame(more, SCHEMA))).collect():
+        assert r.n_repeat_words == brute_counts(r.text)[4]
+
+
+def test_groups_with_shifted_values_get_fences_of_their_own(spark):
+    def text(i, n, k):
+        return " ".join(f"w{(i * 37 + j * 11) % 1999}" + ("#" if j < k else "") for j in range(n))
+
+    rows = [(i, text(i, 60 + i % 40, 0), "en", "prose", 0) for i in range(300)] + [(1000 + i, text(i, 60 + i % 40, 20 + i % 15), "en", "code", 0) for i in range(300)]
+    rows += [(900, text(900, 80, 30), "en", "prose", 0), (1900, text(900, 80, 30), "en", "code", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert got[900].symbols_per_word == got[1900].symbols_per_word
+    assert not got[900].kept and got[1900].kept and sum(r.kept for r in got.values()) == 601
+    fence = {r.source: r.symbols_per_word_high for r in quality.fences(quality.sketches(quality.measures(quality.base_counts(docs)))).collect()}
+    assert fence["code"] > fence["prose"] + 20
+
+
+def test_small_groups_are_drawn_to_their_language(spark):
+    def level(n, bucket):
+        return [("en", f"s{n}", "word_length", bucket, n)]
+
+    sketch = spark.createDataFrame([*level(10_000, 80), *level(1, 20), *level(50, 40)], "lang string, source string, measure string, bucket int, n long")
+    high = {r.source: r.word_length_high for r in quality.fences(sketch).collect()}
+    assert high["s10000"] == pytest.approx(84, abs=0.01)
+    # a source of one document has nearly its language's quartile, one of as many as PRIOR the mean of both
+    assert high["s1"] == pytest.approx(80 - 60 / 51 + 4, abs=0.1) and high["s50"] == pytest.approx(60 + 4, abs=0.1)
 
 
 def test_quality_keeps_clean_and_drops_outliers(spark):

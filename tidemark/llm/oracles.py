@@ -1,42 +1,45 @@
 """DuckDB SQL for the operators of this subpackage that SQL can express."""
 
-from tidemark.llm.quality import GAMMA, MEASURES, MIN_GROUP, SPREAD, ZERO_BUCKET
+from tidemark.llm.quality import GAMMA, MEASURES, PRIOR
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _quality() -> str:
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS x, {s} AS slack FROM v" for m, (s, _) in MEASURES.items())
-    quart = ", ".join(f"min(val) FILTER (upto >= greatest(1.0::double, ceil({p}::double * total))) AS q{i}" for i, p in enumerate((0.25, 0.5, 0.75), 1))
+    names = {"_n_lines": "nl"}
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS bucket FROM v" for m in MEASURES)
+    buckets = ", ".join(f"CASE WHEN n_words > 0 THEN ceil(ln(({names.get(k, k)} + {add})::double / ({names.get(of, of)} + {more})::double) / ln({GAMMA}::double))::int END AS {m}" for m, (k, of, (add, more), *_) in MEASURES.items())
+    quart = ", ".join(f"(min(bucket) FILTER (4 * upto >= {k} * total))::double AS q{k}" for k in (1, 3))
 
     def level(name: str, keys: str) -> str:
         group = f"{keys}, measure" if keys else "measure"
         return f"""{name} AS (SELECT {group}, max(total) AS n, {quart} FROM (
-            SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {group}) AS total,
-                   CASE WHEN bucket = {ZERO_BUCKET} THEN 0.0::double ELSE 2 * pow({GAMMA}::double, bucket) / ({GAMMA}::double + 1) END AS val
-            FROM (SELECT {group}, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY {group})"""
+            SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {group}) AS total
+            FROM (SELECT {group}, bucket, count(*) AS n FROM l WHERE bucket IS NOT NULL GROUP BY ALL)) GROUP BY {group})"""
 
-    out = " OR ".join(f"coalesce(bool_or(f.measure = '{m}' AND (v.{m} > f.high{f' OR v.{m} < f.low' if both else ''})), false)" for m, (_, both) in MEASURES.items())
+    def drawn(q: str) -> str:
+        parent = f"(b.n * b.{q} + {PRIOR}::double * t.{q}) / (b.n + {PRIOR}::double)"
+        return f"(a.n * a.{q} + {PRIOR}::double * ({parent})) / (a.n + {PRIOR}::double) AS {q}"
+
+    out = " OR ".join(f"coalesce(bool_or(f.measure = '{m}' AND (v.{m} > f.high{f' OR v.{m} < f.low' if both else ''})), false)" for m, (*_, both) in MEASURES.items())
     return f"""
     WITH w AS (SELECT doc_id, lang, source, {_WORDS} AS w, coalesce(text, '') AS text,
                       list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ln, row_number() OVER () AS rid FROM documents),
     win AS (SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
     rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM hit, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
-    c AS (SELECT rid, doc_id, lang, source, len(w)::bigint AS n_words, length(list_aggregate(w, 'string_agg', ''))::bigint AS word_chars0,
+    c AS (SELECT rid, doc_id, lang, source, len(w)::bigint AS n_words, coalesce(length(list_aggregate(w, 'string_agg', '')), 0)::bigint AS word_chars,
                  len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols, (len(ln) - len(list_distinct(ln)))::bigint AS n_dup_lines, coalesce(rep.n, 0)::bigint AS n_repeat_words, len(ln) AS nl
           FROM w LEFT JOIN rep USING (rid)),
-    v AS (SELECT * REPLACE (coalesce(word_chars0, 0) AS word_chars0), CASE WHEN n_words > 0 THEN n_symbols::double / n_words END AS symbols_per_word, CASE WHEN nl > 0 THEN n_dup_lines::double / nl END AS dup_line_share,
-                 CASE WHEN n_words > 0 THEN n_repeat_words::double / n_words END AS repeat_share, CASE WHEN n_words > 0 THEN coalesce(word_chars0, 0)::double / n_words END AS word_length FROM c),
+    v AS (SELECT *, {buckets} FROM c),
     l AS ({rows}),
-    s AS (SELECT lang, source, measure, CASE WHEN x < 1e-9 THEN {ZERO_BUCKET} ELSE ceil(ln(x) / ln({GAMMA}::double))::int END AS bucket, count(*) AS n FROM l WHERE x IS NOT NULL GROUP BY ALL),
     {level("a", "lang, source")}, {level("b", "lang")}, {level("t", "")},
-    f0 AS (SELECT a.lang, a.source, a.measure, {", ".join(f"CASE WHEN a.n >= {MIN_GROUP} THEN a.q{i} WHEN b.n >= {MIN_GROUP} THEN b.q{i} ELSE t.q{i} END AS q{i}" for i in (1, 2, 3))},
-                  CASE a.measure {" ".join(f"WHEN '{m}' THEN {s}::double" for m, (s, _) in MEASURES.items())} END AS slack
+    f0 AS (SELECT a.lang, a.source, a.measure, {drawn("q1")}, {drawn("q3")},
+                  CASE a.measure {" ".join(f"WHEN '{m}' THEN {x}::double" for m, (*_, x, _) in MEASURES.items())} END AS spread
            FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN t ON a.measure = t.measure),
-    f AS (SELECT lang, source, measure, q2 - greatest(slack, {SPREAD}::double * (q3 - q1)) AS low, q2 + greatest(slack, {SPREAD}::double * (q3 - q1)) AS high FROM f0),
+    f AS (SELECT lang, source, measure, q1 - spread * (q3 - q1 + 1) AS low, q3 + spread * (q3 - q1 + 1) AS high FROM f0),
     o AS (SELECT v.rid, {out} AS broken FROM v LEFT JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source GROUP BY v.rid)
-    SELECT doc_id, n_words, word_chars0::bigint AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT broken AS kept
     FROM v JOIN o USING (rid)"""

@@ -2,12 +2,18 @@
 
 Each document gets a few measures; each measure is summarised per (language, source) by a
 mergeable quantile sketch, and a document is rejected if a measure lies outside its group's
-fence, which is set from the sketch's quartiles. The sketch is a histogram over buckets that
-grow by ``GAMMA``: counts of equal buckets add up, so sketches of partitions, sources or
-languages merge by summing, in any order and with the same result.
-
-Null texts count as empty. Null languages and sources are groups of their own. Groups below
-``min_group`` rows take the merged sketch of their language, or of all rows.
+fences. The sketch is a histogram over buckets that grow by ``GAMMA``: counts of equal buckets
+add up, so sketches of partitions, sources or languages merge by summing, in any order and
+with the same result.
+
+A fence lies beyond a quartile by so many times the distance of the quartiles, both counted in
+buckets, that is on a scale of ratios; nothing else sets it. Quartiles of small groups are
+uncertain, so a group's are the mean of its own, weighted by its documents, and its language's,
+weighted like ``PRIOR`` documents; a language's are drawn to those of all rows in the same way.
+
+Rates are counted with a pseudo-document's share added, so that they are never 0 and a single
+symbol or repeat in a short text is no outlier. Null texts count as empty; documents without
+words have no measures. Null languages and sources are groups of their own.
 """
 
 from __future__ import annotations
@@ -22,17 +28,15 @@ SPACE = r"\x20\x09-\x0D"
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Ratio of neighbouring bucket bounds: quantiles come within 1 % of the true value.
 GAMMA = 1.02
-ZERO_BUCKET = -100000
-#: measure -> (least distance of a fence from the median, whether low values are rejected too)
+#: measure -> (what is counted, of how many, what is added to both, distance of a fence in quartile distances, whether low values are rejected too)
 MEASURES = {
-    "symbols_per_word": (0.25, False),
-    "dup_line_share": (0.45, False),
-    "repeat_share": (0.35, False),
-    "word_length": (3.0, True),
+    "symbols_per_word": ("n_symbols", "n_words", (1, 1), 1.5, False),
+    "dup_line_share": ("n_dup_lines", "_n_lines", (1, 10), 2.5, False),
+    "repeat_share": ("n_repeat_words", "n_words", (1, 1), 2.5, False),
+    "word_length": ("word_chars", "n_words", (0, 0), 4.0, True),
 }
-#: Quartile ranges between the median and a fence.
-SPREAD = 4.0
-MIN_GROUP = 200
+#: Documents that a parent's quartiles count for beside those of a group.
+PRIOR = 50
 #: Rows of one group are dealt to this many keys where the fences are joined by a shuffle.
 SALTS = 16
 
@@ -43,32 +47,48 @@ def words(text: Column) -> Column:
     return F.when(F.length(body) > 0, F.split(body, f"[{SPACE}]+")).otherwise(F.array().cast("array<string>"))
 
 
+def _window(i: Column) -> tuple[Column, Column, Column]:
+    """The three words of the window at place i, from 1."""
+    return F.get("_w", i.cast("int") - 1), F.get("_w", i.cast("int")), F.get("_w", i.cast("int") + 1)
+
+
+def _equal(i: Column, k: Column) -> Column:
+    a, b, c = (x == y for x, y in zip(_window(i), _window(k), strict=True))
+    return a & b & c
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
     A window's 64-bit hash is shifted to make room for its position and the packed numbers
     are sorted, so equal windows become neighbours: n log n in the length of a text, however
-    often a window repeats.
+    often a window repeats. Neighbours with one hash are held against each other word by word;
+    in a text where any two differ, the windows themselves are sorted instead.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     df = docs.withColumns({"_w": words(F.col("text")), "_lines": lines})
     df = df.withColumns({"n_words": F.size("_w").cast("long"), "_bits": F.ceil(F.log2(F.size("_w") + F.lit(2))).cast("int")})
-    packed = F.transform(
-        F.sequence(F.lit(1), F.size("_w") - 2),
-        lambda i: F.call_function("shiftleft", F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)), F.col("_bits")).bitwiseOR(i.cast("long")),
-    )
+    places = F.sequence(F.lit(1), F.size("_w") - 2)
+    packed = F.transform(places, lambda i: F.call_function("shiftleft", F.xxhash64(*_window(i)), F.col("_bits")).bitwiseOR(i.cast("long")))
     df = df.withColumn("_p", F.when(F.size("_w") > 2, F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
 
-    def window_of(x: Column) -> Column:
+    def hash_of(x: Column) -> Column:
         return F.call_function("shiftright", x, F.col("_bits"))
 
+    def place_of(x: Column) -> Column:
+        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
+
     # array positions count from 0 in get(); outside the array it is null, which is unequal
-    repeated = F.filter(
-        F.col("_p"),
-        lambda x, j: F.coalesce(window_of(x) == window_of(F.get("_p", j - 1)), F.lit(False)) | F.coalesce(window_of(x) == window_of(F.get("_p", j + 1)), F.lit(False)),
-    )
-    df = df.withColumn("_at", F.transform(repeated, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)))
+    def like(x: Column, y: Column) -> Column:
+        return F.coalesce(hash_of(x) == hash_of(y), F.lit(False))
+
+    repeated = F.filter("_p", lambda x, j: like(x, F.get("_p", j - 1)) | like(x, F.get("_p", j + 1)))
+    df = df.withColumn("_r", repeated)
+    mixed = F.exists(F.transform("_r", lambda x, j: like(x, F.get("_r", j + 1)) & ~_equal(place_of(x), place_of(F.get("_r", j + 1)))), lambda x: x)
+    whole = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *_window(i)).alias("w"), i.cast("long").alias("i"))))
+    alone = F.filter(whole, lambda x, j: F.coalesce(x["w"] == F.get(whole, j - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(whole, j + 1)["w"], F.lit(False)))
+    df = df.withColumn("_at", F.when(mixed, F.transform(alone, lambda x: x["i"])).otherwise(F.transform("_r", place_of)))
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2))))
     return df.withColumns(
         {
@@ -78,59 +98,55 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.when(F.size("_at") > 0, F.size(covered)).otherwise(0).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
         }
-    ).drop("_w", "_lines", "_bits", "_p", "_at")
+    ).drop("_w", "_lines", "_bits", "_p", "_r", "_at")
 
 
 def measures(counted: DataFrame) -> DataFrame:
-    """Add the measures; null for documents without words, which no fence judges."""
+    """Add the measures as bucket numbers of the sketch; null for documents without words, which no fence judges."""
 
-    def per(a: str, b: str) -> Column:
-        return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    def bucket(count: str, of: str, more: tuple[int, int]) -> Column:
+        x = (F.col(count) + more[0]).cast("double") / (F.col(of) + more[1]).cast("double")
+        return F.when(F.col("n_words") > 0, F.ceil(F.log(x) / F.log(F.lit(GAMMA))).cast("int"))
 
-    return counted.withColumns(
-        {
-            "symbols_per_word": per("n_symbols", "n_words"),
-            "dup_line_share": per("n_dup_lines", "_n_lines"),
-            "repeat_share": per("n_repeat_words", "n_words"),
-            "word_length": per("word_chars", "n_words"),
-        }
-    )
+    return counted.withColumns({m: bucket(count, of, more) for m, (count, of, more, _, _) in MEASURES.items()})
 
 
 def sketches(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), names: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """One row per group, measure and bucket with its count ``n``; partial counts merge by sum."""
-    long = measured.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in names])).alias("m")).select(*by, "m.*")
-    bucket = F.when(F.col("x") < 1e-9, F.lit(ZERO_BUCKET)).otherwise(F.ceil(F.log(F.col("x")) / F.log(F.lit(GAMMA))).cast("int"))
-    return long.filter("x is not null").groupBy(*by, "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    long = measured.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bucket")) for m in names])).alias("m")).select(*by, "m.*")
+    return long.filter("bucket is not null").groupBy(*by, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def quartiles(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Total ``n`` and the three quartiles of each group and measure of a sketch."""
+    """Total ``n`` and the buckets q1 and q3 of the outer quartiles of each group and measure of a sketch."""
     group = [*by, "measure"]
     whole = W.partitionBy(*group)
     up_to = whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    value = F.when(F.col("bucket") == ZERO_BUCKET, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
-    df = sketch.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(up_to), "total": F.sum("n").over(whole), "v": value})
-    at = {q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1.0), F.ceil(F.lit(p) * F.col("total")).cast("double")), F.col("v"))) for q, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    df = sketch.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).withColumns({"upto": F.sum("n").over(up_to), "total": F.sum("n").over(whole)})
+    at = {f"q{k}": F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))).cast("double") for k in (1, 3)}
     return df.groupBy(*group).agg(F.max("total").alias("n"), *[c.alias(q) for q, c in at.items()])
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and, for each measure m, m_low and m_high.
+def fences(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """lang, source and, for each measure m, m_low and m_high: the buckets between which a document is kept.
 
     The three levels of quartiles hold one row per group; they are joined null-safely.
     """
-    low_n = F.lit(min_group)
     fine, mid, top = quartiles(sketch, ("lang", "source")), quartiles(sketch, ("lang",)), quartiles(sketch, ())
-    mid = mid.select(F.col("lang").alias("_lang"), F.col("measure").alias("_measure"), *[F.col(c).alias(f"mid_{c}") for c in ("n", "q1", "q2", "q3")])
-    top = top.select(F.col("measure").alias("_m"), *[F.col(c).alias(f"top_{c}") for c in ("q1", "q2", "q3")])
+    mid = mid.select(F.col("lang").alias("_lang"), F.col("measure").alias("_measure"), *[F.col(c).alias(f"mid_{c}") for c in ("n", "q1", "q3")])
+    top = top.select(F.col("measure").alias("_m"), *[F.col(c).alias(f"top_{c}") for c in ("q1", "q3")])
     df = fine.join(mid, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure"))).join(top, F.col("measure") == F.col("_m"))
-    q = {c: F.when(F.col("n") >= low_n, F.col(c)).when(F.col("mid_n") >= low_n, F.col(f"mid_{c}")).otherwise(F.col(f"top_{c}")) for c in ("q1", "q2", "q3")}
+
+    def drawn(n: Column, own: Column, parent: Column) -> Column:
+        return (n * own + F.lit(float(prior)) * parent) / (n + F.lit(float(prior)))
+
+    q = {c: drawn(F.col("n"), F.col(c), drawn(F.col("mid_n"), F.col(f"mid_{c}"), F.col(f"top_{c}"))) for c in ("q1", "q3")}
     df = df.select("lang", "source", "measure", *[v.alias(k) for k, v in q.items()])
-    slack = F.create_map(*[F.lit(x) for m, (s, _) in MEASURES.items() for x in (m, s)])
-    width = F.greatest(slack[F.col("measure")], SPREAD * (F.col("q3") - F.col("q1")))
-    df = df.select("lang", "source", "measure", (F.col("q2") - width).alias("low"), (F.col("q2") + width).alias("high"))
-    pick = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m, (_, both) in MEASURES.items() for e in (("low", "high") if both else ("high",))]
+    spread = F.create_map(*[F.lit(x) for m, (*_, s, _) in MEASURES.items() for x in (m, s)])
+    # quartiles within one bucket are still a bucket's width apart
+    width = spread[F.col("measure")] * (F.col("q3") - F.col("q1") + 1)
+    df = df.select("lang", "source", "measure", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    pick = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m, (*_, both) in MEASURES.items() for e in (("low", "high") if both else ("high",))]
     return df.groupBy("lang", "source").agg(*pick)
 
 
@@ -140,7 +156,7 @@ def judge(measured: DataFrame, fence: DataFrame) -> DataFrame:
     df = measured.withColumn("_salt1", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
     df = df.join(far, F.col("lang").eqNullSafe(F.col("_fl")) & F.col("source").eqNullSafe(F.col("_fs")) & (F.col("_salt1") == F.col("_salt2")), "left")
     broken = F.lit(False)
-    for m, (_, both) in MEASURES.items():
+    for m, (*_, both) in MEASURES.items():
         broken = broken | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
         if both:
             broken = broken | F.coalesce(F.col(m) < F.col(f"{m}_low"), F.lit(False))
