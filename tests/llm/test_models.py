@@ -85,6 +85,43 @@ def test_language_is_held_out_and_pools_all_bytes(spark):
     assert p.tolist() == pytest.approx([one[0], two[0]], abs=1e-4) and abs(p[0] - p[1]) > 1e-3
 
 
+def test_prediction_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    p = langid.start(3, rng)
+    texts = ["", "a", "x" * 63, "abc " * 16, "y" * 65, "ünïcode 中文 🙂 " * 20, "the end"]
+
+    def soft(x):
+        return x / (1 + abs(x))
+
+    def states(d, window):
+        h, out, n = np.zeros(langid.HIDDEN), [], langid.HIDDEN
+        for byte in window:
+            e, u = p[f"E{d}"][:, byte].astype(float), p[f"U{d}"].astype(float)
+            z, r = (0.5 * (soft(e[k * n : k * n + n] + u[k * n : k * n + n] @ h) + 1) for k in (0, 1))
+            new = soft(e[2 * n :] + r * (u[2 * n :] @ h + p[f"b{d}"][:, 0]))
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    names, got = langid.predict(pa.array(texts), (["x", "y", "z"], p))
+    for text, name, score in zip(texts, names, got, strict=True):
+        raw, total = text.encode(), np.zeros(3)
+        for i in range(0, len(raw), langid.SPAN):
+            window = raw[i : i + langid.SPAN]
+            for f, b in zip(states("f", window), reversed(states("b", window[::-1])), strict=True):
+                q = np.exp(p["W"].astype(float) @ np.concatenate([f, b]) + p["c"][:, 0])
+                total += q / q.sum()
+        if raw:
+            assert score == pytest.approx(total.max() / len(raw), abs=1e-4) and name == "xyz"[total.argmax()]
+
+
+def test_language_sample_is_bounded_and_the_same_however_rows_lie(spark):
+    rows = [(f"text {i} of en", "en") for i in range(300)] + [("one copied text", "en")] * 700 + [(f"texte {i}", "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    one, two = langid.sample(docs.repartition(7), 20), langid.sample(docs.coalesce(1), 20)
+    assert one == two and set(one[1]) == {"en", "fr"} and max(Counter(one[1]).values()) <= 40 and len(set(one[0])) == len(one[0])
+
+
 def test_language_edges(spark, edge, empty, clashing):
     model = langid.fit(edge)
     got = langid.identify(clashing, model, tuple(clashing.columns[:1])).collect()
@@ -111,6 +148,57 @@ def test_toxicity_finds_held_out_texts(spark):
     assert (np.diff(model[2]) >= 0).all(), "thresholds are ordered"
 
 
+def test_ordinal_fit_equals_a_plain_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.random((120, 4)) < 0.4
+    x[:, 3] = rng.random(120) < 0.5
+    y = np.clip((x @ np.array([2.0, 1.0, -1.5, 0.0]) + rng.logistic(0, 1, 120)).round().astype(int), 0, 3)
+    row, column = np.nonzero(x)
+    penalty = 0.01
+    w, t = toxicity.ordinal(row, column, 4, y, penalty, 4000)
+
+    def value(v):
+        s = x @ v[:4]
+        total = sum(math.log1p(math.exp(-(1 if y[i] > k else -1) * (s[i] - v[4 + k]))) for i in range(120) for k in range(3))
+        return total / 120 + penalty * np.abs(v[:4]).sum()
+
+    at = np.concatenate([w, t])
+    best = value(at)
+    assert best == pytest.approx(toxicity.loss(w, t, row, column, y, penalty))
+    # the function is convex: no step along an axis, and no search by shrinking steps from elsewhere, gets below it
+    found, step = np.zeros(7), 1.0
+    found[4:] = [0, 0.1, 0.2]
+    low = value(found)
+    while step > 1e-5:
+        moved = False
+        for k in range(7):
+            for d in (step, -step):
+                new = found.copy()
+                new[k] += d
+                if (v := value(new)) < low - 1e-12:
+                    found, low, moved = new, v, True
+        step = step if moved else step / 2
+    assert best <= low + 1e-6 and np.allclose(found, at, atol=0.02)
+    assert abs(w[3]) < 0.3 and w[0] > w[1] > 0 > w[2] and (np.diff(t) > 0).all()
+
+
+def test_features_are_chosen_by_their_counts(spark):
+    rows = [(i, int(i % 4 == 0), [1, 2] if i % 4 == 0 else [2, 3 + i % 5]) for i in range(80)] + [(100, 1, [77])]
+    sample = spark.createDataFrame(rows, "node long, toxic int, features array<long>")
+    names, tell = toxicity.chosen(sample)
+    n, bad = 81, 21
+    want = {}
+    for f in {x for r in rows for x in r[2]}:
+        df, b = sum(f in r[2] for r in rows), sum(f in r[2] and r[1] for r in rows)
+        z = abs(b - df * bad / n) / math.sqrt(df * bad / n * (1 - bad / n))
+        if df >= toxicity.LEAST_TEXTS and z >= toxicity.LEAST_Z:
+            want[f] = b >= toxicity.TELL_SHARE * df
+    assert dict(zip(names.tolist(), tell.tolist(), strict=True)) == want and 1 in want
+    assert len(toxicity.chosen(sample, 1)[0]) == 1
+    texts, toxic = toxicity.held(sample, names)
+    assert [[int(names[k]) for k in x] for x in texts] == [[f for f in sorted(r[2]) if f in want] for r in rows] and toxic.sum() == bad
+
+
 def test_toxicity_edges(spark, edge, empty, clashing):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 0, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.severity(clashing, toxicity.fit(edge, labels)).collect()

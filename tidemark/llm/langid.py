@@ -18,12 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 HIDDEN = 8
 SPAN = 64
 #: Windows that run side by side.
 SIDE = 4096
-#: Training: texts per language, bytes taken of each at most, windows per step, steps.
+#: Training: texts per language, characters read of each at most, windows per step, steps.
 SAMPLE, SAMPLE_BYTES, BATCH, STEPS = 250, 1024, 192, 220
 #: Least score of a document that a corpus keeps.
 SURE = 0.4
@@ -33,20 +34,24 @@ Model = tuple[list[str], dict[str, np.ndarray]]
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[bytes], list[str]]:
-    """Texts and labels of about ``per_language`` rows of each language, at most twice as many.
+    """Texts and labels of about ``per_language`` different texts of each language, at most twice as many.
 
-    Rows are drawn by a hash of the text, at a rate from the language's count. The driver gets
-    a row per language, then at most ``SAMPLE_BYTES`` characters from within each drawn text.
+    Texts are drawn by their hashes, at a rate from the language's count, and a language that
+    still has too many keeps those with the least hashes. The driver gets a row per language,
+    then at most ``SAMPLE_BYTES`` characters from within each drawn text.
     """
     rows = labelled.filter("lang is not null and text is not null and length(text) > 0")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return [], []
-    u = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.xxhash64(F.lit(7), "text")
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     start = F.greatest(F.lit(1), (F.pmod(F.xxhash64(F.lit(8), "text"), F.length("text"))).cast("int") - SAMPLE_BYTES // 2)
-    drawn = rows.filter(u < rate).select("lang", F.substring(F.col("text"), start, F.lit(SAMPLE_BYTES)).alias("part"))
-    got = sorted((r[1], r[0]) for r in drawn.limit(2 * per_language * len(counts)).collect())
+    drawn = rows.filter(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < rate).select("lang", place.alias("place"), F.substring(F.col("text"), start, F.lit(SAMPLE_BYTES)).alias("part"))
+    # copies meet within tasks first
+    drawn = drawn.groupBy("lang", "place").agg(F.min("part").alias("part"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("place"))
+    got = sorted((r[1], r[0]) for r in drawn.withColumn("nth", nth).filter(F.col("nth") <= 2 * per_language).select("lang", "part").collect())
     return [p.encode() for p, _ in got], [k for _, k in got]
 
 
@@ -166,8 +171,8 @@ def _windows(p: dict[str, np.ndarray], x: np.ndarray, live: np.ndarray) -> np.nd
         h = np.zeros((HIDDEN, side), np.float32)
         a, g, size = (np.empty((k * HIDDEN, side), np.float32) for k in (3, 3, 2))
         for t in order:
-            if d == "b" and not live[t].all():
-                h *= live[t]  # the way back begins at a window's last byte
+            if d == "b" and t + 1 < span and not live[t + 1].all():
+                h *= live[t + 1]  # the way back begins at a window's last byte
             np.take(e, x[t], axis=1, out=a, mode="clip")
             np.matmul(u, h, out=g)
             zr = a[: 2 * HIDDEN]
