@@ -208,54 +208,79 @@ def test_toxicity_edges(spark, edge, empty, clashing):
     assert toxicity.severity(empty, nothing).count() == 0
 
 
-def brute_katz(texts):
-    """Scores by dictionaries; texts: id -> (words and end, whether it trains)."""
+def brute_katz(texts, order):
+    """Scores by dictionaries; texts: id -> (words and end, whether it trains). Checks that every history's probabilities sum to one."""
+
+    def grams(ws, n):
+        padded = ["<s>"] * (n - 1) + ws
+        return [tuple(padded[i : i + n]) for i in range(len(ws))]
+
     train = [w for w, t in texts.values() if t]
-    uni = Counter(w for ws in train for w in ws)
-    pair = Counter(p for ws in train for p in zip(["<s>", *ws], ws, strict=False))
-    n = sum(uni.values())
-    du, dp = (katz.discounts([sum(1 for c in counts.values() if c == r) for r in range(1, katz.MOST + 2)]) for counts in (uni, pair))
-    past = Counter()
-    kept = defaultdict(list)
-    for (h, w), c in pair.items():
-        past[h] += c
-        if c >= katz.LEAST_PAIR:
-            kept[h].append((w, c))
-    left = 1 - sum(du[min(c, katz.MOST + 1)] * c for c in uni.values()) / n
-    unknown = max(left, 0.5 / (n + 1))
-
-    def low(w):
-        return du[min(uni[w], katz.MOST + 1)] * uni[w] / n * (1 - unknown) / (1 - left) if uni[w] else unknown
-
-    def p(h, w):
-        f1 = sum(dp[min(c, katz.MOST + 1)] * c for _, c in kept[h])
-        whole = past[h] + (past[h] > 0 and 1 - f1 / max(past[h], 1) < 1e-9)
-        c = pair[h, w]
-        if c >= katz.LEAST_PAIR:
-            return dp[min(c, katz.MOST + 1)] * c / whole
-        return (1 - f1 / whole) / (1 - sum(low(v) for v, _ in kept[h])) * low(w) if kept[h] else low(w)
-
-    vocabulary = list(uni)
-    for h in list(kept)[:5]:
-        assert sum(p(h, w) for w in vocabulary) + p(h, "never seen") == pytest.approx(1)
-    base = {w: math.log10((uni[w] + 0.1) / (n + 0.1 * (len(uni) + 1))) for ws, _ in texts.values() for w in ws}
-    return {i: (len(ws), sum(uni[w] > 0 for w in ws), sum(base[w] for w in ws), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *ws], ws, strict=False)), n) for i, (ws, _) in texts.items()}
-
-
-def test_katz_equals_brute_force(spark, monkeypatch):
+    count = {n: Counter(g for ws in train for g in grams(ws, n)) for n in range(1, order + 1)}
+    d = {n: katz.discounts([sum(1 for c in count[n].values() if c == r) for r in range(1, katz.MOST + 2)]) for n in count}
+    total = sum(count[1].values())
+    past, seen = Counter(), defaultdict(list)
+    for n in range(2, order + 1):
+        for g, c in count[n].items():
+            past[g[:-1]] += c
+            seen[g[:-1]].append((g[-1], c))
+    left = 1 - sum(d[1][min(c, katz.MOST + 1)] * c for c in count[1].values()) / total
+    unknown = max(left, 0.5 / (total + 1))
+
+    def kept(h):
+        f1 = sum(d[len(h) + 1][min(c, katz.MOST + 1)] * c for _, c in seen[h])
+        whole = past[h] + (past[h] > 0 and 1 - f1 / past[h] < 1e-9)
+        return f1, whole
+
+    def p(g):
+        n, c = len(g), count[len(g)][g]
+        if n == 1:
+            return d[1][min(c, katz.MOST + 1)] * c / total * (1 - unknown) / (1 - left) if c else unknown
+        f1, whole = kept(g[:-1])
+        if c:
+            return d[n][min(c, katz.MOST + 1)] * c / whole
+        return (1 - f1 / whole) / (1 - sum(p((*g[1:-1], w)) for w, _ in seen[g[:-1]])) * p(g[1:]) if past[g[:-1]] else p(g[1:])
+
+    vocabulary = [*(w for (w,) in count[1]), "never seen"]
+    assert sum(p((w,)) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+    for n in range(2, order + 1):
+        histories = [h for h in seen if len(h) == n - 1]
+        for h in [*histories[:6], max(histories, key=lambda h: past[h]), ("<s>",) * (n - 1)]:
+            assert sum(p((*h, w)) for w in vocabulary) == pytest.approx(1, abs=1e-9)
+    base = {w: math.log10((count[1][w,] + 0.1) / (total + 0.1 * (len(count[1]) + 1))) for ws, _ in texts.values() for w in ws}
+    return {i: (len(ws), sum(count[1][w,] > 0 for w in ws), sum(base[w] for w in ws), sum(math.log10(p(g)) for g in grams(ws, order)), total) for i, (ws, _) in texts.items()}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_equals_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(katz, "BLOCK", 400)
-    monkeypatch.setattr(katz, "BUCKET", 100)
+    monkeypatch.setattr(katz, "BUCKET", 300)
     rng = random.Random(5)
-    vocabulary = [f"W{i}" for i in range(60)]
-    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=rng.randint(0, 40))), i % 7 > 0) for i in range(150)]
+    vocabulary = [f"W{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) ** 1.3 for k in range(40)], k=rng.randint(0, 40))), i % 7 > 0) for i in range(150)]
+    rows += [(200 + i, "always the same words", i < 8) for i in range(9)]
     texts = {i: ([w.lower() for w in t.split()] + ["</s>"], train) for i, t, train in rows}
-    out, model = katz.score_texts(spark.createDataFrame(rows, "doc_id long, text string, train boolean"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    out, model = katz.score_texts(docs, order)
     got = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score, r.train_tokens) for r in out.collect()}
-    want = brute_katz(texts)
+    want = brute_katz(texts, order)
     assert got.keys() == want.keys()
     for i, w in want.items():
-        assert got[i] == pytest.approx(w, rel=1e-5, abs=1e-4)
-    assert {r.kind for r in model.select("kind").distinct().collect()} == {1, 2, 3}
+        assert got[i] == pytest.approx(w, rel=1e-9, abs=1e-9)
+    stored = katz.read_model(model).groupBy("kind").agg({"value": "sum", "key": "count"}).collect()
+    assert {r.kind for r in stored} == {*range(1, order + 1), *range(-1, -order, -1)}
+    assert {r["sum(value)"] for r in stored if r.kind > 0} == {want[0][4]}
+    assert katz.score_texts(docs, order, keep=False)[1].count() == 0
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, np.uint64), np.array([0, 255, 256, 2**64 - 1], np.uint64), rng.integers(0, 2**40, 999).astype(np.uint64)):
+        assert katz.unpack(katz.pack(x), len(x)).tolist() == x.tolist()
+        keys = np.unique(x)
+        assert np.cumsum(katz.unpack(katz.pack(katz.steps(keys)), len(keys)), dtype=np.uint64).tolist() == keys.tolist()
+        parts = list(katz.cut(keys, 7))
+        assert [i for b, s in parts for i in range(s.start, s.stop)] == list(range(len(keys))) and len({b for b, _ in parts}) == len(parts)
 
 
 def test_katz_edges(spark, edge, empty, clashing):
