@@ -43,7 +43,7 @@ BLOCK, BUCKET, MOST = 1_500_000, 4_000_000, 5
 _U = np.uint64
 _TIMES = _U(0x9E3779B97F4A7C15)
 END, START = mix(np.array([0x656E64, 0x7374617274], _U))
-BLOCKS = "block long, doc_id array<long>, train array<boolean>, size array<long>, vocab binary, tokens binary"
+BLOCKS = "block long, doc_id array<long>, train array<boolean>, size array<long>, words long, vocab binary, tokens binary"
 ASKED = "bucket long, block long, n long, keys binary, counts binary, held binary"
 SUMS = "bucket long, block long, n long, keys binary, counts binary, f1 binary, f2 binary"
 #: Answers to a block (-1: a part of the model): kind n for counts of n-grams, -n for weights of histories of order n.
@@ -65,7 +65,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def steps(keys: np.ndarray) -> np.ndarray:
-    """The differences of ascending keys; ``np.cumsum`` gives the keys back."""
+    """The differences of keys, small where they ascend; ``np.cumsum`` gives the keys back."""
     return np.diff(keys, prepend=_U(0))
 
 
@@ -84,11 +84,13 @@ def blocks(docs: DataFrame) -> DataFrame:
             vocab, tokens = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
             cols = [pa.array([base + nth]), *[pa.array([sum((x[k] for x in held), [])], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.bool_())))]]
             size = pa.array([np.concatenate([x[2] for x in held])], pa.list_(pa.int64()))
-            # the more frequent, the smaller its place
-            order = np.argsort(-np.bincount(tokens), kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            return pa.RecordBatch.from_arrays([*cols, size, pa.array([vocab[order].tobytes()], pa.binary()), pa.array([pack(place[tokens])], pa.binary())], names=["block", "doc_id", "train", "size", "vocab", "tokens"])
+            # the more frequent, the smaller its place; in classes that double in size, so that keys ascend in each
+            rank, place = np.empty(len(vocab), np.int64), np.empty(len(vocab), np.int64)
+            rank[np.argsort(-np.bincount(tokens), kind="stable")] = np.arange(len(vocab))
+            order = np.argsort(np.log2(rank // 256 + 1).astype(int), kind="stable")
+            place[order] = np.arange(len(vocab))
+            packed = [pa.array([x], pa.binary()) for x in (pack(steps(vocab[order])), pack(place[tokens]))]
+            return pa.RecordBatch.from_arrays([*cols, size, pa.array([len(vocab)]), *packed], names=["block", "doc_id", "train", "size", "words", "vocab", "tokens"])
 
         for batch in batches:
             for i, j, h, first in pieces(batch.column("text"), lower=True):
@@ -125,7 +127,8 @@ class Block:
         self.id, self.doc_id, self.train = row["block"], row["doc_id"], np.array(row["train"], bool)
         self.size = np.array(row["size"], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.words = np.frombuffer(row["vocab"], _U)[unpack(row["tokens"], int(self.size.sum()))]
+        vocab = np.cumsum(unpack(row["vocab"], int(row["words"])), dtype=_U)
+        self.words = vocab[unpack(row["tokens"], int(self.size.sum()))]
         self.trains = np.repeat(self.train, self.size)
 
     def names(self, order: int) -> Iterator[tuple[np.ndarray, np.uint64]]:
