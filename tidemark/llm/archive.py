@@ -7,7 +7,9 @@ digests are computed anew on reading and a mismatch stops the job.
 
 Of records with equal payloads of at least ``min_bytes``, that with the largest id is a
 response and the others are revisits that refer to it. Rows that repeat the largest id are
-responses too; rows without an id revisit a response that has one. Null payloads are empty.
+responses too; rows without an id revisit a response that has one, and are known by a digest of
+their URL and payload. Null payloads are empty. Characters that no header line may hold are
+percent-coded in URLs.
 """
 
 from __future__ import annotations
@@ -30,7 +32,15 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+    own = F.concat(F.lit("none-"), F.sha1(F.concat(F.coalesce("url", F.lit("")).cast("binary"), F.lit(b"\0"), F.col("sha256").cast("binary"))))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), own), F.lit(">"))
+
+
+def _uri(url: Column) -> Column:
+    coded = url
+    for code in (*range(33), 127):
+        coded = F.replace(coded, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7f]"), coded).otherwise(F.coalesce(url, F.lit("urn:unknown")))
 
 
 def records(pages: DataFrame, min_bytes: int = MIN_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -44,13 +54,12 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES, date: str = "1970-01-0
     revisit = F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin"))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF), _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.col("bytes").cast("string")), F.lit(CRLF))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
-    uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:unknown")), r"[\x00-\x20\x7f]", "")
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _line("WARC-Record-ID", _urn(F.col("page_id"))),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", uri),
+        _line("WARC-Target-URI", _uri(F.col("url"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(_line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _line("WARC-Refers-To", _urn(F.col("origin"))))).otherwise(""),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -85,8 +94,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     # digests are made next to the bytes, so a reader that needs no payload shuffles none
     body = body.select(F.col("sha256").alias("_sha"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("_sha1"), (F.sha2("payload", 256) == F.col("sha256")).alias("_sound"))
     df = head.join(body, F.col("sha256") == F.col("_sha"), "left")
-    bad = F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("sha256")))
-    sound = F.col("_sound") & F.col("_sha1").eqNullSafe(field("WARC-Payload-Digest", "sha1:([0-9a-f]+)"))
+    bad = F.raise_error(F.concat(F.lit("payload does not match its record "), F.col("sha256")))
+    # the stated length: of the HTTP head, which follows the first empty line, and of a response's payload
+    body_bytes = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
+    http_bytes = F.octet_length("head") - F.octet_length(F.substring_index("head", CRLF * 2, 1)) - 4
+    stated = F.regexp_extract("head", "\r\nContent-Length: ([0-9]+)\r\n\r\n", 1).try_cast("long")
+    sound = F.col("_sound") & (stated == http_bytes + body_bytes) & F.col("_sha1").eqNullSafe(field("WARC-Payload-Digest", "sha1:([0-9a-f]+)"))
     return df.withColumn("payload_digest", F.when(sound, F.col("_sha1")).otherwise(bad.cast("string"))).drop("_sha", "_sha1", "_sound")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import materialize
+from tidemark.functions.scratch import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         near = materialize(told.union(labels).groupBy("node").agg(F.min("label").alias("label")), "near")
         hop = near.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         new = materialize(near.join(hop, F.col("label") == F.col("_n")).select("node", F.least("label", "_l").alias("label")), "labels")
-        moved = new.join(labels.withColumnRenamed("label", "_was"), "node").filter("label <> _was")
+        moved = not new.join(labels.withColumnRenamed("label", "_was"), "node").filter("label <> _was").isEmpty()
+        discard(near, labels)
         labels = new
-        if moved.isEmpty():
+        if not moved:
+            discard(both)
             return labels

@@ -16,6 +16,9 @@ similar, and they share added runs or have so few added and lacking runs that th
 each other. Every candidate's similarity is computed exactly from the runs before it counts as
 a link; classes are connected components of links.
 
+Runs enter the sets by 44 bits of their hashes: a run that only one of two texts of n runs has
+counts as common with a probability of n / 2 ** 44. Texts are known by 64-bit hashes.
+
 Null texts and texts without words are linked to nothing and form classes of their own rows.
 Texts of 1 to 4 words are one run. Class ids are the smallest doc_id of a class (null only if
 none has one); rows that repeat a doc_id and text are in one class.
@@ -139,7 +142,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def run_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its cells as sorted 32-bit hashes, for the texts whose node is in ``wanted``.
+    """node and its cells as sorted 64-bit hashes, for the texts whose node is in ``wanted``.
 
     Tasks read all texts and keep those that pass the bitmap, so no text is shuffled.
     """
@@ -152,13 +155,13 @@ def run_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i, j, g, runs in grouped(part.column("text")):
                 cell, text = cells(g, runs)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
-                sets = [np.unique(cell[a:b] >> _U(32)).astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                sets = [np.unique(cell[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column("node").slice(i, j - i), pa.array(sets, pa.binary())], names=["node", "cells"])
 
     return docs.select("text", F.xxhash64("text").alias("node")).mapInArrow(run, "node long, cells binary").dropDuplicates(["node"])
 
 
-COMPARED = "a long, b long, similarity double, size long, lacking long, added array<int>"
+COMPARED = "a long, b long, similarity double, size long, lacking long, added array<long>"
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,14 +172,14 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = batch.column("set_a"), batch.column("set_b")
             sim, size, lacking, added = [], [], [], []
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_py(), np.uint32), np.frombuffer(b[i].as_py(), np.uint32)
+                x, y = np.frombuffer(a[i].as_py(), _U), np.frombuffer(b[i].as_py(), _U)
                 new = np.setdiff1d(y, x, assume_unique=True)
                 common = len(y) - len(new)
                 sim.append(common / max(1, len(x) + len(new)))
                 size.append(len(y))
                 lacking.append(len(x) - common)
-                added.append(new.view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(v, t) for v, t in ((sim, pa.float64()), (size, pa.int64()), (lacking, pa.int64()), (added, pa.list_(pa.int32())))]], names=["a", "b", "similarity", "size", "lacking", "added"])
+                added.append(new.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(v, t) for v, t in ((sim, pa.float64()), (size, pa.int64()), (lacking, pa.int64()), (added, pa.list_(pa.int64())))]], names=["a", "b", "similarity", "size", "lacking", "added"])
 
     left = sets.select(F.col("node").alias("a"), F.col("cells").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("cells").alias("set_b"))
