@@ -1,3 +1,6 @@
+import datetime
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -237,3 +240,55 @@ def test_registered_boosted_trees_keep_the_surveyed_settings(spark, monkeypatch)
     monkeypatch.setattr(model, "score_gbt", record)
     queries.score_gbt(spark, "/root/testdata/sf0.001")
     assert seen == model.GBT and (seen["maxIter"], seen["maxDepth"]) == (300, 5)
+
+
+def test_percent_ranks_equal_brute_force_with_ties_nulls_and_null_groups(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.0, 1.0, 1.0, rng.random(), rng.random()])) for i in range(900)] + [(1000, "c", None), (1001, "d", 5.0)]
+    got = {r.id: r.p for r in xsection.pct_rank_avg(spark.createDataFrame(rows, "id long, k string, x double"), "x", ["k"], "p").collect()}
+    assert len(got) == len(rows)
+    for i, k, x in rows:
+        own = [v for _, q, v in rows if q == k and v is not None]
+        want = None if x is None else (sum(v < x for v in own) + (sum(v == x for v in own) + 1) / 2) / len(own)
+        assert got[i] == (want if want is None else pytest.approx(want))
+
+
+def test_weight_sweep_equals_single_runs(spark):
+    rng = random.Random(9)
+    rows = [(f"{s:03d}", datetime.date(2000, m, 1), "g", rng.random(), rng.gauss(0, 1), rng.choice([None, rng.random()]) if m > 1 else None) for s in range(60) for m in range(1, 5)]
+    df = spark.createDataFrame(rows, "stock_id string, ym date, `group` string, score double, fwd_ret_1m double, other double")
+    swept = portfolio.weight_sweep(df, [0.1, 0.3], ["equal", "other", "score"], [0.0, 0.01]).collect()
+    for q in (0.1, 0.3):
+        for mode in ("equal", "other", "score"):
+            for cost in (0.0, 0.01):
+                want = {r.ym: (r.long, r.turnover, r.nhold) for r in portfolio.portfolio_returns(df, q, mode, cost).collect()}
+                got = {r.ym: (r.long, r.turnover, r.nhold) for r in swept if (r.q, r.weighting, r.cost) == (q, mode, cost)}
+                assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_normal_functions_of_the_statements():
+    import duckdb
+    from statistics import NormalDist
+
+    from tidemark.jobs.oracles import normal_cdf, normal_quantile
+
+    con = duckdb.connect()
+    for x in (-6.5, -2.0, -0.3, 0.0, 0.7, 1.9, 5.0):
+        assert con.sql(f"SELECT {normal_cdf('v')} FROM (SELECT {x}::double AS v)").fetchone()[0] == pytest.approx(NormalDist().cdf(x), abs=1e-14)
+    for p in (0.5, 0.8, 0.92, 0.93, 0.99, 0.999999):
+        assert con.sql(f"SELECT {normal_quantile('v')} FROM (SELECT {p}::double AS v)").fetchone()[0] == pytest.approx(NormalDist().inv_cdf(p), abs=1e-12)
+
+
+def test_top_factors_are_wide(spark):
+    whole = spark.createDataFrame([("a", 0.1, 0.2), ("b", -0.9, 0.3), ("c", None, 0.1)], "factor string, icir_train double, icir_test double")
+    groups = spark.createDataFrame([("b", "g", 1.0, 2.0), ("a", "h", 3.0, None)], "factor string, `group` string, icir_train double, icir_test double")
+    got = {r.factor: r for r in ic.top_factors(whole, groups, ["g", "h"], 2).collect()}
+    assert set(got) == {"a", "b"} and got["b"].icir_test_g == 2.0 and got["a"].icir_train_h == 3.0 and got["a"].icir_train_g is None
+
+
+def test_importances_of_a_telling_feature(spark):
+    rng = random.Random(3)
+    rows = [(f"{i}", datetime.date(2000 + m // 12, m % 12 + 1, 1), x := rng.gauss(0, 1), rng.gauss(0, 1), x + rng.gauss(0, 0.1)) for m in range(14) for i in range(60)]
+    df = spark.createDataFrame(rows, "stock_id string, ym date, a double, b double, y double")
+    got = model.feature_importance(df, ["a", "b"], months=12, maxIter=3, maxDepth=3, minInstancesPerNode=5).collect()
+    assert [r.feature for r in got] == ["a", "b"] and got[0].importance > 0.8

@@ -35,8 +35,8 @@ _N20 = "count(ret) OVER w{0} >= {1}"
 
 #: Shared parts of the statements, in an order in which each uses earlier ones only.
 CTES = {
-    "li": "SELECT *, lpad(l_suppkey::varchar, 4, '0') AS stock_id, l_shipdate::date AS date FROM lineitem",
-    "info": f"""SELECT lpad(s_suppkey::varchar, 4, '0') AS stock_id, s_name AS stock_name, r_name || ' ' || n_name AS industry_category,
+    "li": "SELECT *, lpad(l_suppkey::varchar, greatest(4, length(l_suppkey::varchar))::int, '0') AS stock_id, l_shipdate::date AS date FROM lineitem",
+    "info": f"""SELECT lpad(s_suppkey::varchar, greatest(4, length(s_suppkey::varchar))::int, '0') AS stock_id, s_name AS stock_name, r_name || ' ' || n_name AS industry_category,
         CASE WHEN s_suppkey % 10 = 9 THEN 'emerging' WHEN s_suppkey % 2 = 0 THEN 'twse' ELSE 'tpex' END AS type, r_name AS "group" FROM {_REGION}""",
     "uni": """SELECT stock_id, stock_name, industry_category, lower("group") AS "group", type FROM info WHERE type <> 'emerging' AND "group" IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')""",
     "px": """SELECT stock_id, date, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey)) AS open, max(l_extendedprice / l_quantity) AS max, min(l_extendedprice / l_quantity) AS min,
@@ -65,11 +65,13 @@ CTES = {
         (SELECT stock_id, date, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS o, sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS f FROM li GROUP BY ALL)""",
     "val": """SELECT stock_id, date, d * 100 - 5 AS per, t * 10 AS pbr, CASE WHEN d > 0 THEN d END AS div_yield, date + 1 AS avail FROM
         (SELECT stock_id, date, round(sum(l_discount), 2) AS d, round(sum(l_tax), 2) AS t FROM li GROUP BY ALL)""",
-    "panel": """SELECT base.*, rev_avail, month_revenue, f.* EXCLUDE (stock_id), b.* EXCLUDE (stock_id), c.* EXCLUDE (stock_id), inst_foreign_net, inst_trust_net, inst_dealer_net, lending_vol, margin_balance, short_balance, per, pbr, div_yield
+    "hr": """SELECT stock_id, date, CASE WHEN r > 0 THEN round(100 * r / q, 4) END AS foreign_ratio, date + 1 AS avail FROM
+        (SELECT stock_id, date, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS r, sum(l_quantity) AS q FROM li GROUP BY ALL)""",
+    "panel": """SELECT base.*, rev_avail, month_revenue, f.* EXCLUDE (stock_id), b.* EXCLUDE (stock_id), c.* EXCLUDE (stock_id), inst_foreign_net, inst_trust_net, inst_dealer_net, lending_vol, margin_balance, short_balance, per, pbr, div_yield, foreign_ratio
         FROM base ASOF LEFT JOIN rv ON base.stock_id = rv.stock_id AND base.date >= rv.rev_avail
         ASOF LEFT JOIN f ON base.stock_id = f.stock_id AND base.date >= f.f_avail ASOF LEFT JOIN b ON base.stock_id = b.stock_id AND base.date >= b.b_avail ASOF LEFT JOIN c ON base.stock_id = c.stock_id AND base.date >= c.c_avail
         ASOF LEFT JOIN inst ON base.stock_id = inst.stock_id AND base.date >= inst.avail ASOF LEFT JOIN lend ON base.stock_id = lend.stock_id AND base.date >= lend.avail
-        ASOF LEFT JOIN marg ON base.stock_id = marg.stock_id AND base.date >= marg.avail ASOF LEFT JOIN val ON base.stock_id = val.stock_id AND base.date >= val.avail""",
+        ASOF LEFT JOIN marg ON base.stock_id = marg.stock_id AND base.date >= marg.avail ASOF LEFT JOIN val ON base.stock_id = val.stock_id AND base.date >= val.avail ASOF LEFT JOIN hr ON base.stock_id = hr.stock_id AND base.date >= hr.avail""",
     "roll": "SELECT *, "
     + ", ".join(f"CASE WHEN count(ret) OVER w{n} >= {k} THEN stddev_samp(ret) OVER w{n} END AS vol_{n}" for n, k in ((21, 12), (63, 40), (126, 80)))
     + ", CASE WHEN count(amount) OVER w21 >= 10 THEN avg(amount) OVER w21 END AS amt_21, CASE WHEN count(close) OVER w252 >= 120 THEN max(close) OVER w252 END AS hi_252 FROM {src} WINDOW "
@@ -84,8 +86,8 @@ CTES = {
     "bmn": "SELECT name, ym, CASE WHEN abs(ret) <= 0.4 THEN ret END AS ret FROM bm",
 }
 _USES = {
-    "info": "", "uni": "info", "px": "li", "ev": "li", "adj": "px ev", "base": "adj info", "rv": "li", "q": "li", "fin": "q", "run": "q", "bal": "run", "cf": "q", "f": "fin", "b": "bal", "c": "cf", "inst": "li", "lend": "li", "marg": "li", "val": "li",
-    "panel": "base rv f b c inst lend marg val", "roll": "panel", "snap": "roll", "mb": "base", "bm": "bp", "bmn": "bm",
+    "info": "", "uni": "info", "px": "li", "ev": "li", "adj": "px ev", "base": "adj info", "rv": "li", "q": "li", "fin": "q", "run": "q", "bal": "run", "cf": "q", "f": "fin", "b": "bal", "c": "cf", "inst": "li", "lend": "li", "marg": "li", "val": "li", "hr": "li",
+    "panel": "base rv f b c inst lend marg val hr", "roll": "panel", "snap": "roll", "mb": "base", "bm": "bp", "bmn": "bm",
 }
 
 
@@ -181,7 +183,7 @@ def _port(src: str, by: str = "", q: str = "0.1", weight: str = "") -> dict[str,
         "mkt": f"SELECT {keys}, avg(fwd_ret_1m) AS benchmark, count(*) AS n FROM ok GROUP BY ALL",
         "placed": f'SELECT *, count(*) OVER (PARTITION BY {keys}, "group") AS ng, row_number() OVER (PARTITION BY {keys}, "group" ORDER BY score DESC, stock_id) AS place FROM ok WHERE "group" IS NOT NULL',
         "picks": f"SELECT placed.*, place <= {k} AS is_long, ng - place + 1 <= {k} AS is_short FROM placed JOIN mkt USING ({keys}) WHERE ng >= 8 AND n >= 20 AND (place <= {k} OR ng - place + 1 <= {k})",
-        "lw": f"SELECT *, coalesce(r / sum(r) OVER (PARTITION BY {keys}), 0) AS w FROM (SELECT *, {rank} AS r FROM picks WHERE is_long)",
+        "lw": f"SELECT *, CASE WHEN count(r) OVER (PARTITION BY {keys}) = 0 THEN 1.0::double / count(*) OVER (PARTITION BY {keys}) ELSE coalesce(r / sum(r) OVER (PARTITION BY {keys}), 0) END AS w FROM (SELECT *, {rank} AS r FROM picks WHERE is_long)",
         "g": f"SELECT {keys}, sum(fwd_ret_1m * w) AS gain, count(*) AS nhold, list(stock_id) AS h FROM lw GROUP BY ALL",
         "t": f"SELECT *, CASE WHEN {months} = 1 THEN 1.0 ELSE (len(list_distinct(list_concat(h, {prev}))) - len(list_intersect(h, {prev})))::double / len(list_distinct(list_concat(h, {prev}))) END AS turnover FROM g",
         "sh": f"SELECT {keys}, avg(fwd_ret_1m) AS short FROM picks WHERE is_short GROUP BY ALL",
@@ -246,7 +248,81 @@ _FM = {"fm": f'SELECT stock_id, ym, "group", fwd_ret_1m, {_FORM} FROM pm'}
 _FC = _FM | _cells("fm", ("f1", "f2", "f3", "f4"))
 _SIZES = {"f1": 3, "f2": 5, "f3": 4, "f4": 4}
 
+#: Two features' ridge per fold in closed form: centred sums with the penalty of 10 added, solved by Cramer's rule.
+_LADDER = {
+    "z": _z("(SELECT * FROM pm WHERE fwd_ret_1m IS NOT NULL)", ("mom_1m", "liq_amt"), 0.0, 'stock_id, ym, "group", fwd_ret_1m, fwd_ret_1m - avg(fwd_ret_1m) OVER w AS y').replace("WINDOW w", 'WHERE "group" IS NOT NULL WINDOW w'),
+    "n": "SELECT ym, row_number() OVER (ORDER BY ym) - 1 AS i FROM (SELECT DISTINCT ym FROM z)",
+    "fo": "SELECT (i - 48) // 12 AS fold, min(ym) AS first_test, max(ym) AS last_test, (SELECT ym FROM n k WHERE k.i = min(n.i) - 2) AS last_train FROM n WHERE i >= 48 GROUP BY ALL",
+    "su": "SELECT fold, first_test, last_test, avg(mom_1m) AS m1, avg(liq_amt) AS m2, avg(y) AS my, regr_sxx(mom_1m, mom_1m) + 10 AS a, regr_sxy(mom_1m, liq_amt) AS b, regr_sxx(liq_amt, liq_amt) + 10 AS d, regr_sxy(mom_1m, y) AS p, regr_sxy(liq_amt, y) AS q FROM fo JOIN z ON ym <= last_train GROUP BY ALL HAVING count(*) >= 1000",
+    "wt": "SELECT *, (d * p - b * q) / (a * d - b * b) AS w1, (a * q - b * p) / (a * d - b * b) AS w2, p / a AS v FROM su",
+    "ml": 'SELECT stock_id, ym, "group", fwd_ret_1m, (mom_1m + liq_amt) / 2 AS s_equal, my + w1 * (mom_1m - m1) + w2 * (liq_amt - m2) AS s_ridge, my + v * (mom_1m - m1) AS s_neutral FROM z JOIN wt ON ym BETWEEN first_test AND last_test',
+}
+_MODELS = ("s_equal", "s_ridge", "s_neutral")
+_ORIENT = _CELLS | {"sg": "SELECT factor, CASE WHEN avg(ic) >= 0 THEN 1.0::double ELSE -1.0::double END AS sign FROM months GROUP BY factor"}
+_TURNED = {"st": " UNION ALL ".join(f"""SELECT '{n}' AS strategy, stock_id, ym, "group", fwd_ret_1m, {n}::double * coalesce((SELECT sign FROM sg WHERE factor = '{n}'), -1) AS score FROM pm""" for n in PARTS)} | _port("st", "strategy") | {"sr": "SELECT strategy, gain - 0.004::double * turnover - benchmark AS active FROM ret"}
+
+
+def _poly(x: str, numbers: Sequence[float]) -> str:
+    """A polynomial in ``x``, numbers from the highest power down."""
+    out = f"{numbers[0]!r}::double"
+    for n in numbers[1:]:
+        out = f"({out} * {x} + {n!r}::double)"
+    return out
+
+
+# The normal distribution function by Hart (1968) and its inverse by Wichura's AS 241 (1988), highest power first.
+_HART_UP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_HART_DOWN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+_CENTRE_UP = (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608)
+_CENTRE_DOWN = (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867, 5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0)
+_TAIL_UP = (0.000774545014278341407640, 0.0227238449892691845833, 0.241780725177450611770, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734)
+_TAIL_DOWN = (1.05075007164441684324e-9, 0.000547593808499534494600, 0.0151986665636164571966, 0.148103976427480074590, 0.689767334985100004550, 1.67638483018380384940, 2.05319162663775882187, 1.0)
+
+
+def normal_cdf(x: str) -> str:
+    a = f"least(abs({x}), 7.0)"
+    upper = f"exp(-{a} * {a} / 2) * {_poly(a, _HART_UP)} / {_poly(a, _HART_DOWN)}"
+    return f"CASE WHEN {x} > 0 THEN 1 - {upper} ELSE {upper} END"
+
+
+def normal_quantile(p: str) -> str:
+    """For p from 0.5 to 1 - 1e-11."""
+    q, r = f"({p} - 0.5)", f"(sqrt(-ln(1 - {p})) - 1.6)"
+    c = f"(0.180625::double - {q} * {q})"
+    return f"CASE WHEN {q} <= 0.425 THEN {q} * {_poly(c, _CENTRE_UP)} / {_poly(c, _CENTRE_DOWN)} ELSE {_poly(r, _TAIL_UP)} / {_poly(r, _TAIL_DOWN)} END"
+
+
+_DEFLATED = _ORIENT | _TURNED | {
+    "mo": "SELECT strategy, count(active) AS months, avg(active) / stddev_samp(active) AS sharpe, skewness(active) AS skew, kurtosis(active) + 3 AS kurt FROM sr GROUP BY strategy",
+    "tr": "SELECT count(sharpe) AS n_trials, var_samp(sharpe) AS v, 1 - 1.0::double / count(sharpe) AS p1, 1 - 1.0::double / (count(sharpe) * exp(1.0::double)) AS p2 FROM mo",
+    "tg": f"SELECT n_trials, sqrt(v) * ((1 - 0.5772156649::double) * ({normal_quantile('p1')}) + 0.5772156649::double * ({normal_quantile('p2')})) AS target FROM tr",
+    "zs": "SELECT mo.*, tg.*, (sharpe - target) * sqrt(months - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS zz FROM mo, tg",
+}
+_CP = _z("(SELECT *, mom_1m AS z_mom_1m, discount AS z_discount FROM pm WHERE fwd_ret_1m IS NOT NULL)", ("mom_1m", "discount"), 0.6, 'stock_id, ym, "group", fwd_ret_1m')
+_ROOT = {
+    "gm": "SELECT ym, count(*) AS n, sum(mom_1m * mom_1m) + 1e-6 AS a, sum(mom_1m * discount) AS b, sum(discount * discount) + 1e-6 AS d FROM z GROUP BY ym",
+    "m": "SELECT *, sqrt(a * d - b * b) AS s, sqrt(a + d + 2 * sqrt(a * d - b * b)) AS t FROM gm",
+    "co": 'SELECT stock_id, z.ym, "group", fwd_ret_1m, CASE WHEN n >= 10 THEN (mom_1m * (d + s - b) + discount * (a + s - b)) * t / ((a + s) * (d + s) - b * b) / 2 END AS score FROM z JOIN m ON z.ym = m.ym',
+}
+_TOPG = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
 ORACLES = {
+    "panel_holdings": _with("panel", f"SELECT stock_id, date, {_r('foreign_ratio', 4)} FROM panel"),
+    "top_factors": _with("snap", f"SELECT es.factor, {_r('ic_mean_train icir_train t_train icir_test t_test', 5)}, " + ", ".join(f"rnd((SELECT icir_{p} FROM eg WHERE eg.factor = es.factor AND eg.\"group\" = '{g}'), 5) + 0.0::double AS \"icir_{p}_{g}\"" for g in _TOPG for p in ("train", "test")) + " FROM es ORDER BY abs(es.icir_train) DESC NULLS LAST, es.factor LIMIT 10",
+        **_library(factors.CLASSIC, "snap"), w=_clip("fl", [*_CLASSIC_NAMES, "fwd_ret_1m"], 'stock_id, ym, "group"'), **_split(_cells("w", _CLASSIC_NAMES))),
+    "composite_pair": _with("pm", f"SELECT stock_id, ym, {_r('score')} FROM co", z=_CP, **_ROOT),
+    "composite_performance": _with("pm", f"SELECT leg, {_r(_PERF_COLS)}, months FROM pf", z=_CP, **_ROOT, **_port("co"), rr=f"SELECT ym, 'long' AS leg, {_legs()} FROM ret", **_perf("rr", '"long"', "leg")),
+    "weight_sweep": _with("pm", f'SELECT cost, q, weighting, ym, rnd("long", 6) + 0.0::double AS "long", {_r("benchmark turnover")}, nhold FROM rr', sc="SELECT *, mom_1m AS score, CASE weighting WHEN 'equal' THEN 1.0::double WHEN 'mom_3m' THEN mom_3m ELSE mom_1m END AS wv FROM (SELECT *, unnest([0.05, 0.1]::double[]) AS q FROM pm), (SELECT unnest(['equal', 'mom_3m', 'score']) AS weighting)",
+        **_port("sc", "q, weighting", "q", "wv"), rr="SELECT q, weighting, ym, 0.004::double AS cost, gain - 0.004::double * turnover AS \"long\", benchmark, turnover, nhold FROM ret"),
+    "factor_weights": _with("pm", f"SELECT weighting, {_r(_PERF_COLS)}, months FROM pf", sc="SELECT *, mom_1m AS score, CASE weighting WHEN 'equal' THEN 1.0::double " + " ".join(f"WHEN '{n}' THEN {n}" for n in PARTS) + " END AS wv FROM pm, (SELECT unnest(['equal', " + ", ".join(f"'{n}'" for n in PARTS) + "]) AS weighting)",
+        **_port("sc", "weighting", weight="wv"), rr='SELECT weighting, ym, gain - 0.004::double * turnover AS "long" FROM ret', **_perf("rr", '"long"', "weighting")),
+    "ridge_pair": _with("pm", f"SELECT stock_id, ym, {_r(' '.join(_MODELS), 8)} FROM ml", **_LADDER),
+    "model_ladder": _with("pm", f"SELECT strategy, {_r('icir sharpe max_dd turnover')}, rnd(ln(1 + cagr), 6) + 0.0::double AS log_growth FROM (SELECT factor AS strategy, {_SUM} FROM months GROUP BY factor) JOIN pf USING (strategy) JOIN (SELECT strategy, avg(turnover) AS turnover FROM ret GROUP BY strategy) USING (strategy)", **_LADDER, **{k: v for k, v in _cells("ml", _MODELS).items()},
+        st=" UNION ALL ".join(f"""SELECT '{k}' AS strategy, stock_id, ym, "group", fwd_ret_1m, {k} AS score FROM ml""" for k in _MODELS), **_port("st", "strategy"), rr='SELECT strategy, ym, gain - 0.004::double * turnover AS "long" FROM ret', **_perf("rr", '"long"', "strategy")),
+    "model_costs": _with("pm", f"SELECT cost, {_r('vol sharpe max_dd win_rate')}, rnd(ln(1 + cagr), 6) + 0.0::double AS log_growth, months FROM pf", **_LADDER, sc="SELECT *, s_ridge AS score FROM ml", **_port("sc"), rr='SELECT cost, ym, gain - cost * turnover AS "long" FROM (SELECT *, unnest([0.002, 0.004, 0.008, 0.012, 0.016]::double[]) AS cost FROM ret)', **_perf("rr", '"long"', "cost")),
+    "deflated_sharpe": _with("pm", f"SELECT strategy, months, n_trials, {_r('sharpe target')}, rnd({normal_cdf('zz')}, 6) + 0.0::double AS deflated FROM zs", **_DEFLATED),
+    "annual_by_variant": _with("pm", 'SELECT variant, year(ym)::int AS year, rnd(product(1 + "long" - benchmark) - 1, 6) + 0.0::double AS excess FROM rr GROUP BY ALL', **_SCORED, **_LIQ,
+        vr="SELECT * FROM (SELECT *, unnest(['all', CASE WHEN liq_pct >= 0.7::double THEN 'liquid' END]) AS variant FROM lp) WHERE variant IS NOT NULL", **_port("vr", "variant"), rr=f"SELECT variant, ym, {_legs()} FROM ret"),
     "ic_summary": _with("pm", f"SELECT factor, {_r('ic_mean ic_std icir t_stat hit_rate')}, months FROM (SELECT factor, {_SUM} FROM months GROUP BY factor)", **_WINS, **_cells("wp", PARTS)),
     "landing_merge": _with("uni", "SELECT * FROM uni"),
     "pending_keys": _with("li info", "SELECT stock_id FROM info WHERE stock_id NOT IN (SELECT stock_id FROM li WHERE date < DATE '1995-01-10')"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import new_path
+from tidemark.functions.scratch import materialize, new_path
 from tidemark.operators import adjust, factors, formula, ic, liquidity, model, ortho, overfit, perf, pit, portfolio, quality, regime, rolling, universe, xsection
 from tidemark.sources import market, tables
 
 TRAIN_END = "1998-06-01"
 PART_FACTORS = ("mom_1m", "mom_3m", "liq_amt", "discount", "volume")
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 FORMULAS = {
     "f1": ("b", "sub", ("var", "mom_1m"), ("var", "discount")),
     "f2": ("b", "div", ("u", "neg", ("var", "mom_1m")), ("u", "abs", ("var", "liq_amt"))),
@@ -40,7 +41,7 @@ def _sources(spark: SparkSession, d: str) -> list[pit.Source]:
     income = pit.statement_to_wide(market.financials(spark, d), "f", market.INCOME, drop_shares=True)
     sheet = pit.statement_to_wide(market.balance(spark, d), "b", market.BALANCE)
     cash = pit.statement_to_wide(market.cashflow(spark, d), "c", market.CASH)
-    daily = [pit.net_flow_by_category(market.flows(spark, d)), pit.lending_volume(market.lending(spark, d)), pit.margin_balances(market.margin(spark, d)), pit.valuation_ratios(market.valuation(spark, d))]
+    daily = [pit.net_flow_by_category(market.flows(spark, d)), pit.lending_volume(market.lending(spark, d)), pit.margin_balances(market.margin(spark, d)), pit.holding_ratio(market.holdings(spark, d)), pit.valuation_ratios(market.valuation(spark, d))]
     out = [pit.Source(revenue, "rev_avail", ("rev_avail", "month_revenue"))]
     out += [pit.Source(df, f"{p}_avail", tuple(c for c in df.columns if c != "stock_id"), f"{p}_period_end") for p, df in (("f", income), ("b", sheet), ("c", cash))]
     return out + [pit.Source(df, "avail", tuple(c for c in df.columns if c not in ("stock_id", "date", "avail"))) for df in daily]
@@ -186,6 +187,11 @@ def asof_panel(spark: SparkSession, d: str) -> DataFrame:
     return _round(_panel(spark, d).select("stock_id", "date", *cols), 4)
 
 
+def panel_holdings(spark: SparkSession, d: str) -> DataFrame:
+    """The holding ratio at its place in the panel, as known on each day."""
+    return _round(_panel(spark, d).select("stock_id", "date", "foreign_ratio"), 4)
+
+
 def panel_coverage(spark: SparkSession, d: str) -> DataFrame:
     sets = {"revenue": ["month_revenue"], "income": ["f_Revenue", "f_EPS"], "balance": ["b_TotalAssets"], "flows": ["inst_foreign_net"], "valuation": ["per", "div_yield"]}
     return _round(pit.panel_coverage(_panel(spark, d), sets))
@@ -276,6 +282,13 @@ def survivors(spark: SparkSession, d: str) -> DataFrame:
     return broad.unionByName(ic.group_survivors(ic.eval_split_groups(cells, TRAIN_END)).select("factor", "group"))
 
 
+def top_factors(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates' report over the classic factors of suppliers, with each region's ratios."""
+    names = [f.name for f in factors.CLASSIC]
+    cells = materialize(ic.ic_by_cell(xsection.winsorize_by(factors.add_factors(_snapshot(spark, d), factors.CLASSIC), [*names, "fwd_ret_1m"]), names), "cells")
+    return _round(ic.top_factors(ic.eval_split(cells, TRAIN_END), ic.eval_split_groups(cells, TRAIN_END), REGIONS, 10), 5)
+
+
 def _normal(spark: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
     return xsection.zscore_within(_parts(spark, d).filter("fwd_ret_1m is not null"), names, least_share=0.6)
 
@@ -289,6 +302,19 @@ def composite(spark: SparkSession, d: str) -> DataFrame:
     return _round(ortho.composite_score(_normal(spark, d, PART_FACTORS), PART_FACTORS).select("stock_id", "ym", "score"))
 
 
+def composite_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The composite of two factors, whose root has a closed form."""
+    pair = ("mom_1m", "discount")
+    return _round(ortho.composite_score(_normal(spark, d, pair), pair).select("stock_id", "ym", "score"))
+
+
+def composite_performance(spark: SparkSession, d: str) -> DataFrame:
+    """The two-factor composite traded: performance of its long leg."""
+    pair = ("mom_1m", "discount")
+    scored = ortho.composite_score(xsection.zscore_within(_parts(spark, d).filter("fwd_ret_1m is not null").withColumns({f"z_{c}": F.col(c) for c in pair}), [f"z_{c}" for c in pair], least_share=0.6), [f"z_{c}" for c in pair])
+    return _round(perf.perf(portfolio.portfolio_returns(scored).withColumn("leg", F.lit("long")), "long", ("leg",)))
+
+
 # -- portfolios and performance --------------------------------------------------------------------
 
 
@@ -317,6 +343,17 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
     return _round(portfolio.sweep(_scored(spark, d), [0.05, 0.1, 0.15, 0.2, 0.3], [0.002, 0.004, 0.008, 0.016]))
 
 
+def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Two concentrations by equal, momentum and score weights."""
+    return _round(portfolio.weight_sweep(_scored(spark, d), [0.05, 0.1], ["equal", "mom_3m", "score"]))
+
+
+def factor_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Performance with each single factor as the weight."""
+    out = portfolio.weight_sweep(_scored(spark, d), [0.1], ["equal", *PART_FACTORS])
+    return _round(perf.perf(out, "long", ("weighting",)))
+
+
 def strategy_returns(spark: SparkSession, d: str) -> DataFrame:
     return _round(portfolio.strategy_returns(_parts(spark, d), PART_FACTORS))
 
@@ -376,6 +413,44 @@ def evaluate_scores(spark: SparkSession, d: str) -> DataFrame:
     return _round(model.evaluate_scores(scored, ["s_equal", "s_ridge"]))
 
 
+PAIR = ("mom_1m", "liq_amt")
+
+
+def _ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Equal weights, ridge and size-neutral ridge over the features that enough rows have, in test months."""
+    rows = _parts(spark, d)
+    used = xsection.covered_features(rows, PAIR)
+    df = materialize(model.prepare(rows, used), "prepared")
+    folds = model.walk_forward_folds(df)
+    out = model.score_ridge(model.score_equal(df, used), used, folds, train=df)
+    return model.score_ridge(out, model.size_neutral(used), folds, out="s_neutral", train=df)
+
+
+def _logged(df: DataFrame) -> DataFrame:
+    return df.withColumn("log_growth", F.log1p("cagr")).drop("cagr")
+
+
+def ridge_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the ladder's models over two features."""
+    return _round(_ladder(spark, d).select("stock_id", "ym", "s_equal", "s_ridge", "s_neutral"), 8)
+
+
+def model_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """The models compared; growth is the logarithm of 1 + cagr, since these scores' returns are huge."""
+    return _round(_logged(model.evaluate_scores(materialize(_ladder(spark, d), "ladder"), ["s_equal", "s_ridge", "s_neutral"])))
+
+
+def model_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Performance of the ridge scores at several costs."""
+    out = portfolio.sweep(_ladder(spark, d).withColumnRenamed("s_ridge", "score"), [0.1], [0.002, 0.004, 0.008, 0.012, 0.016])
+    return _round(_logged(perf.perf(out, "long", ("cost",))))
+
+
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    """The trees' most important features, from one fit on the first months."""
+    return _round(model.feature_importance(_prepared(spark, d), PART_FACTORS))
+
+
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return _round(overfit.deflated_sharpe(overfit.oriented_strategies(_parts(spark, d), PART_FACTORS)))
 
@@ -413,17 +488,25 @@ def regime_stats(spark: SparkSession, d: str) -> DataFrame:
     return _round(regime.regime_stats(_returns(spark, d)))
 
 
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    rows = xsection.pct_rank_avg(_scored(spark, d), "amt_21", ["ym"], "liq")
+    return rows.withColumn("variant", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("liq") >= 0.7, "liquid")))))
+
+
 def regime_by_variant(spark: SparkSession, d: str) -> DataFrame:
     """All parts, and the most liquid 30 % of each month."""
-    rows = xsection.pct_rank_avg(_scored(spark, d), "amt_21", ["ym"], "liq")
-    both = rows.withColumn("variant", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("liq") >= 0.7, "liquid")))))
-    return _round(regime.regime_stats(portfolio.portfolio_returns(both, by=("variant", "ym")), by=("variant",)))
+    return _round(regime.regime_stats(portfolio.portfolio_returns(_variants(spark, d), by=("variant", "ym")), by=("variant",)))
 
 
 def annual_excess(spark: SparkSession, d: str) -> DataFrame:
     return _round(regime.annual_excess(_returns(spark, d)))
 
 
+def annual_by_variant(spark: SparkSession, d: str) -> DataFrame:
+    """The yearly excess of all parts and of the most liquid 30 % of each month."""
+    return _round(regime.annual_excess(portfolio.portfolio_returns(_variants(spark, d), by=("variant", "ym")), by=("variant",)))
+
+
 # -- data quality ---------------------------------------------------------------------------------------
 
 

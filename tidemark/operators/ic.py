@@ -77,3 +77,11 @@ def broad_survivors(evaluated: DataFrame, least_t: float = 2.0, least_test: floa
 
 def group_survivors(evaluated: DataFrame, least_train: float = 0.3, least_test: float = 0.25) -> DataFrame:
     return evaluated.filter((F.abs("icir_train") > least_train) & (F.signum("icir_train") == F.signum("icir_test")) & (F.abs("icir_test") > least_test))
+
+
+def top_factors(evaluated: DataFrame, by_group: DataFrame, groups: Sequence[str], show: int = 20) -> DataFrame:
+    """The ``show`` factors of the largest abs(icir_train), with icir_train_g and icir_test_g of each of ``groups``."""
+    top = evaluated.orderBy(F.abs("icir_train").desc_nulls_last(), "factor").limit(show)
+    picks = [F.max(F.when(F.col("group") == g, F.col(f"icir_{p}"))).alias(f"icir_{p}_{g}") for g in groups for p in ("train", "test")]
+    wide = by_group.groupBy(F.col("factor").alias("_f")).agg(*picks)
+    return top.join(wide, F.col("factor") == F.col("_f"), "left").drop("_f")

@@ -19,7 +19,9 @@ def holdings_attribution(df: DataFrame, q: float = 0.1, score: str = "score", la
     rows = pct_rank_avg(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull() & F.col("group").isNotNull()), liquidity, ["ym"], "liq_pct")
     cell = W.partitionBy("ym", "group")
     rows = rows.withColumns({"_n": F.count("*").over(cell), "_p": F.row_number().over(cell.orderBy(F.col(score).desc(), "stock_id"))})
-    held = rows.filter(F.col("_p") <= take("_n", q)).withColumn("w", F.lit(1.0) / F.count("*").over(W.partitionBy("ym")))
+    held = rows.filter(F.col("_p") <= take("_n", q))
+    sizes = held.groupBy(F.col("ym").alias("_ym")).agg((F.lit(1.0) / F.count("*")).alias("w"))
+    held = held.join(sizes, F.col("ym") == F.col("_ym"))
     return held.select("stock_id", "ym", "group", "liq_pct", F.col(label).alias("ret"), "w", (F.col("w") * F.col(label)).alias("contribution"))
 
 

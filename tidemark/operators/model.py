@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import materialize
 from tidemark.operators.ic import ic_by_cell, monthly_ic, summarize_ic
 from tidemark.operators.perf import perf
 from tidemark.operators.portfolio import strategy_returns
@@ -88,9 +89,17 @@ def ridge_weights(df: DataFrame, features: Sequence[str], folds: DataFrame, alph
     return sums.filter(F.get("m", F.lit(0)) >= least).mapInPandas(solve, "fold int, first_test date, last_test date, w array<double>")
 
 
-def score_ridge(df: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 10.0, least: int = 1000, out: str = "s_ridge") -> DataFrame:
-    """Out-of-sample scores: rows of test months, each by its fold's weights."""
-    w = ridge_weights(df, features, folds, alpha, least)
+#: Features that stand for an entity's size; the size-neutral variant of a model does without them.
+SIZE_FEATURES = ("liq_amt", "neg_size")
+
+
+def size_neutral(features: Sequence[str]) -> list[str]:
+    return [f for f in features if f not in SIZE_FEATURES]
+
+
+def score_ridge(df: DataFrame, features: Sequence[str], folds: DataFrame, alpha: float = 10.0, least: int = 1000, out: str = "s_ridge", train: DataFrame | None = None) -> DataFrame:
+    """Out-of-sample scores: rows of test months, each by its fold's weights, which are learned from ``train`` (or ``df``)."""
+    w = ridge_weights(df if train is None else train, features, folds, alpha, least)
     joined = df.join(F.broadcast(w), (F.col("ym") >= F.col("first_test")) & (F.col("ym") <= F.col("last_test")))
     score = sum((F.col(f) * F.get("w", F.lit(i + 1)) for i, f in enumerate(features)), F.get("w", F.lit(0)))
     return joined.withColumn(out, score).drop("w", "fold", "first_test", "last_test")
@@ -106,22 +115,22 @@ def fit_gbt(train: DataFrame, features: Sequence[str], **settings: object):  # n
 
 
 def score_gbt(df: DataFrame, features: Sequence[str], folds: DataFrame, least: int = 1000, **settings: object) -> DataFrame:
-    """Out-of-sample scores s_gbt; a distributed fit per fold (there are as many as test years)."""
-    out = None
+    """Out-of-sample scores s_gbt; a distributed fit per fold (there are as many as test years) on a table written once."""
+    df, out = materialize(df, "features"), None
     for fold in sorted(folds.collect()):
-        train = df.filter(F.col("ym") <= F.lit(fold["last_train"])).cache()
+        train = df.filter(F.col("ym") <= F.lit(fold["last_train"]))
         if train.count() >= least:
             model = fit_gbt(train, features, **settings)
             test = df.filter((F.col("ym") >= F.lit(fold["first_test"])) & (F.col("ym") <= F.lit(fold["last_test"])))
             scored = model.transform(VectorAssembler(inputCols=list(features), outputCol="_x").transform(test)).drop("_x")
             out = scored if out is None else out.unionByName(scored)
-        train.unpersist()
     return df.limit(0).withColumn("s_gbt", F.lit(0.0)) if out is None else out
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], months: int = 49, show: int = 15, **settings: object) -> DataFrame:
     """The ``show`` most important features of one fit on the first months."""
-    first = df.join(numbered_months(df).filter(F.col("i") < months).select("ym"), "ym", "left_semi")
+    df = df.select("ym", *features, "y")
+    first = materialize(df.join(numbered_months(df).filter(F.col("i") < months).select("ym"), "ym", "left_semi"), "features")
     weight = fit_gbt(first, features, **settings).featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(features, weight, strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(show)

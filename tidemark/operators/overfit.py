@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import materialize
 from tidemark.operators.ic import ic_by_cell, monthly_ic
 from tidemark.operators.portfolio import strategy_returns
 from tidemark.operators.xsection import avg_rank
@@ -24,6 +25,7 @@ def oriented_strategies(df: DataFrame, factors: Sequence[str], label: str = "fwd
 
     Factors with fewer than ``least_rows`` usable rows are left out.
     """
+    df = materialize(df.select("stock_id", "ym", "group", label, *factors), "strategies")
     mean = monthly_ic(ic_by_cell(df, factors, label)).groupBy("factor").agg(F.avg("ic").alias("m"))
     sign = {r["factor"]: 1.0 if r["m"] >= 0 else -1.0 for r in mean.collect()}
     rows = df.agg(*[F.count_if(F.col(f).isNotNull() & F.col(label).isNotNull()).alias(f) for f in factors]).first()
@@ -49,7 +51,7 @@ def probabilistic_sharpe(sharpe: float, target: float, months: int, skew: float,
 
 def deflated_sharpe(series: DataFrame, value: str = "active", by: str = "strategy") -> DataFrame:
     """by, months, sharpe, target, n_trials, deflated: each series against the best ratio that so many trials give by chance."""
-    own = sharpe_moments(series, value, by)
+    own = materialize(sharpe_moments(series, value, by), "moments")
     trials = own.filter("sharpe is not null").agg(F.var_samp("sharpe").alias("v"), F.count("sharpe").alias("n_trials"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +81,8 @@ def cscv_splits(series: DataFrame, blocks: int = 12, value: str = "active", by:
     Months that a strategy lacks are left out. A strategy's sums per block are enough for all
     splits; the sums of the other half are the totals less these.
     """
-    rows = series.filter(F.col(value).isNotNull()).select(by, "ym", F.col(value).alias("r"))
+    # a row per strategy and month, read three times
+    rows = materialize(series.filter(F.col(value).isNotNull()).select(by, "ym", F.col(value).alias("r")), "series")
     n = rows.agg(F.count_distinct(by).alias("n"))
     full = rows.groupBy("ym").agg(F.count("*").alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("ym")
     place = full.withColumn("block", F.ntile(blocks).over(W.orderBy("ym")))

@@ -102,10 +102,24 @@ def sweep(df: DataFrame, qs: Sequence[float], costs: Sequence[float], score: str
     return out.select("cost", *keys, (F.col("_long") - fee).alias("long"), (F.col("_long") - F.col("_short") - fee).alias("long_short"), "benchmark", "turnover", "nhold")
 
 
+def weight_sweep(df: DataFrame, qs: Sequence[float], weightings: Sequence[str], costs: Sequence[float] = (0.004,), score: str = "score", label: str = "fwd_ret_1m", by: Sequence[str] = (MONTH,), group: str = "group", least_month: int = 20, least_group: int = 8) -> DataFrame:
+    """Long returns for every concentration, weighting and cost: cost, q, weighting and by, then long, benchmark, turnover, nhold.
+
+    A weighting is ``equal`` or the column whose ranks among the longs of a month are the
+    weights, as in ``weights``. Cells are ranked once; turnover does not depend on weights.
+    """
+    ranked = rank_cells(df, score, label, by, group, least_month, least_group)
+    longs = ranked.withColumn("q", F.explode(F.filter(F.array(*[F.lit(float(q)) for q in qs]), lambda q: F.col("place") <= take("n_group", q))))
+    values = F.array(*[F.struct(F.lit(m).alias("weighting"), (F.lit(None) if m == "equal" else F.col(m)).cast("double").alias("_v")) for m in weightings])
+    each = longs.withColumn("_m", F.explode(values)).withColumns({"weighting": F.col("_m.weighting"), "_v": F.col("_m._v")})
+    gain = weights(each, "_v", ["q", "weighting", *by]).groupBy("q", "weighting", *by).agg(F.sum(F.col(label) * F.col("w")).alias("_long"))
+    market = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by).agg(F.avg(label).alias("benchmark"))
+    out = gain.join(turnover(longs, ["q", *by]), ["q", *by]).join(market, list(by)).withColumn("cost", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
+    return out.select("cost", "q", "weighting", *by, (F.col("_long") - F.col("cost") * F.col("turnover")).alias("long"), "benchmark", "turnover", "nhold")
+
+
 def strategy_returns(df: DataFrame, scores: Sequence[str], label: str = "fwd_ret_1m", q: float = 0.1, cost: float = 0.004, group: str = "group", least_month: int = 20, least_group: int = 8) -> DataFrame:
     """Equal-weight returns of many score columns at once, with strategy and active = long - benchmark."""
     long = df.select("stock_id", MONTH, group, label, *[F.col(s).cast("double").alias(s) for s in scores]).unpivot(["stock_id", MONTH, group, label], list(scores), "strategy", "score")
     out = portfolio_returns(long, q, "equal", cost, "score", label, ("strategy", MONTH), group, least_month, least_group)
     return out.withColumn("active", F.col("long") - F.col("benchmark"))
-
-

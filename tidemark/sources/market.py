@@ -131,6 +131,12 @@ def valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("stock_id", "date", (F.col("d") * 100 - 5).cast("string").alias("PER"), (F.col("t") * 10).cast("string").alias("PBR"), F.when(F.col("d") > 0, F.col("d").cast("string")).otherwise("-").alias("dividend_yield"))
 
 
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A share by day, as text: quantity returned of each hundred shipped; days without returns have none."""
+    df = lines(spark, sf_dir).groupBy("stock_id", "date").agg(F.sum(F.when(F.col("l_returnflag") == "R", F.col(QTY)).otherwise(0)).alias("r"), F.sum(QTY).alias("q"))
+    return df.select("stock_id", "date", F.when(F.col("r") > 0, F.round(100 * F.col("r") / F.col("q"), 4).cast("string")).otherwise("").alias("ForeignInvestmentSharesRatio"))
+
+
 def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name (order priority), date, price: the mean order of a day."""
     df = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").alias("date"))

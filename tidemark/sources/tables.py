@@ -22,13 +22,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         raise
 
 
+#: Bytes of a file that might be a placeholder: one without columns has a footer only.
+PLACEHOLDER = 1 << 20
+
+
 def readable_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths of the parquet files of ``pattern`` whose footer lists any column.
 
-    Landing jobs leave placeholder files without columns, which no parquet scan survives; the
-    executors read only the last bytes of each file's content to tell them apart.
+    Landing jobs leave placeholder files without columns, which no parquet scan survives. Files
+    over ``PLACEHOLDER`` bytes are told by their listed length alone; only smaller ones are opened.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(pattern)
+    large = files.filter(F.col("length") > PLACEHOLDER).select("path")
 
     def with_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
@@ -38,7 +43,8 @@ def readable_files(spark: SparkSession, pattern: str) -> list[str]:
             keep = [len(pq.read_schema(pa.BufferReader(x))) > 0 for x in batch["content"]]
             yield batch.loc[keep, ["path"]]
 
-    return sorted(r.path for r in files.select("path", "content").mapInPandas(with_columns, "path string").collect())
+    small = files.filter(F.col("length") <= PLACEHOLDER).select("path", "content").mapInPandas(with_columns, "path string")
+    return sorted(r.path for r in large.union(small).collect())
 
 
 def merge_landing(spark: SparkSession, pattern: str, schema: T.StructType | str, key: str | None = None) -> DataFrame:
