@@ -274,9 +274,9 @@ def test_normal_functions_of_the_statements():
 
     con = duckdb.connect()
     for x in (-6.5, -2.0, -0.3, 0.0, 0.7, 1.9, 5.0):
-        assert con.sql(f"SELECT {normal_cdf('v')} FROM (SELECT {x}::double AS v)").fetchone()[0] == pytest.approx(NormalDist().cdf(x), abs=1e-14)
+        assert con.sql(f"SELECT {normal_cdf('v')} FROM (SELECT {x}::double AS v)").fetchall()[0][0] == pytest.approx(NormalDist().cdf(x), abs=1e-14)
     for p in (0.5, 0.8, 0.92, 0.93, 0.99, 0.999999):
-        assert con.sql(f"SELECT {normal_quantile('v')} FROM (SELECT {p}::double AS v)").fetchone()[0] == pytest.approx(NormalDist().inv_cdf(p), abs=1e-12)
+        assert con.sql(f"SELECT {normal_quantile('v')} FROM (SELECT {p}::double AS v)").fetchall()[0][0] == pytest.approx(NormalDist().inv_cdf(p), abs=1e-12)
 
 
 def test_top_factors_are_wide(spark):
