@@ -53,11 +53,6 @@ def _sign(x: str, test: str = "> 0") -> str:
 
 #: Names under which net income may be reported, in order of preference.
 NET_INCOME = ("f_NetIncome", "f_IncomeAfterTaxes", "f_IncomeAfterTax", "f_TotalConsolidatedProfitForThePeriodAfterTax")
-#: Columns that many factors share, made first.
-BASIS = {
-    "px": (("close_raw", "close"), "coalesce(close_raw, close)"),
-    "mktcap": (("close_raw", "close", "b_CapitalStock"), "coalesce(close_raw, close) * b_CapitalStock / 10"),
-}
 _CFO, _CAPEX, _TA, _REV = "c_CashFlowsFromOperatingActivities", "c_PropertyAndPlantAndEquipment", "b_TotalAssets", "f_Revenue"
 _NWC = _ratio("b_CurrentAssets - b_CurrentLiabilities", _TA)
 
