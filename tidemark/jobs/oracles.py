@@ -376,7 +376,7 @@ ORACLES = {
     "strategy_returns": _with("pm", f'SELECT strategy, ym, rnd("long", 6) + 0.0::double AS "long", {_r("long_short benchmark turnover active")}, nhold FROM sr', **_STRAT),
     "performance": _with("pm", f"SELECT strategy, {_r(_PERF_COLS)}, months FROM pf", **_STRAT, **_perf("sr", '"long"', "strategy")),
     "active_stats": _with("pm", f"SELECT strategy, {_r(_EX_COLS)}, months FROM (SELECT strategy, {_excess('active')} FROM sr GROUP BY strategy HAVING count(active) >= 6)", **_STRAT),
-    "leg_report": _with("pm", f"SELECT leg, period, {_r(_PERF_COLS + ' t_stat')}, months FROM pf JOIN (SELECT leg, period, avg(v) / nullif(stddev_samp(v), 0) * sqrt(count(v)) AS t_stat FROM lp GROUP BY ALL) USING (leg, period)", **_R,
+    "leg_report": _with("pm", f"SELECT leg, period, rnd(round(cagr, 3), 6) + 0.0::double AS cagr, {_r('vol sharpe max_dd win_rate t_stat')}, months FROM pf JOIN (SELECT leg, period, avg(v) / nullif(stddev_samp(v), 0) * sqrt(count(v)) AS t_stat FROM lp GROUP BY ALL) USING (leg, period)", **_R,
         lg=" UNION ALL ".join(f"SELECT ym, '{n}' AS leg, \"{n}\" AS v FROM rr" for n in ("long", "benchmark")), lp=f"{_PART2} FROM lg", **_perf("(SELECT leg, period, ym, v AS val FROM lp)", "val", "leg, period")),
     "benchmark_table": _with("bmn", "SELECT ym, " + ", ".join(f'rnd("{n}", 6) + 0.0::double AS "{n}"' for n in _BENCH) + f" FROM (SELECT ym, {_PIVOT} FROM bmn GROUP BY ym)"),
     "large_returns": _with("bm", "SELECT name, count(*) FILTER (abs(ret) > 0.25) AS n_large, count(ret) AS n FROM bm GROUP BY name"),

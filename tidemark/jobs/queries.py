@@ -367,7 +367,9 @@ def active_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leg_report(spark: SparkSession, d: str) -> DataFrame:
-    return _round(perf.leg_report(_returns(spark, d), TRAIN_END, ("long", "benchmark")))
+    """Both legs by period; a year's growth, up to a hundred million here, has fewer digits than the rest."""
+    report = perf.leg_report(_returns(spark, d), TRAIN_END, ("long", "benchmark"))
+    return _round(report.withColumn("cagr", F.round("cagr", 3)))
 
 
 def benchmark_table(spark: SparkSession, d: str) -> DataFrame:

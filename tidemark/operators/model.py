@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,17 +117,24 @@ def fit_gbt(train: DataFrame, features: Sequence[str], **settings: object):  # n
     return GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="s_gbt", **(GBT | settings)).fit(data)
 
 
-def score_gbt(df: DataFrame, features: Sequence[str], folds: DataFrame, least: int = 1000, **settings: object) -> DataFrame:
-    """Out-of-sample scores s_gbt; a distributed fit per fold (there are as many as test years) on a table written once."""
-    df, out = materialize(df, "features"), None
-    for fold in sorted(folds.collect()):
+def score_gbt(df: DataFrame, features: Sequence[str], folds: DataFrame, least: int = 1000, parallelism: int = 4, **settings: object) -> DataFrame:
+    """Out-of-sample scores s_gbt; a distributed fit per fold (there are as many as test years) on a table written once.
+
+    A fit is a long row of short jobs, so up to ``parallelism`` folds are fitted at once.
+    """
+    df = materialize(df, "features")
+
+    def scored(fold: Row) -> DataFrame | None:
         train = df.filter(F.col("ym") <= F.lit(fold["last_train"]))
-        if train.count() >= least:
-            model = fit_gbt(train, features, **settings)
-            test = df.filter((F.col("ym") >= F.lit(fold["first_test"])) & (F.col("ym") <= F.lit(fold["last_test"])))
-            scored = model.transform(VectorAssembler(inputCols=list(features), outputCol="_x").transform(test)).drop("_x")
-            out = scored if out is None else out.unionByName(scored)
-    return df.limit(0).withColumn("s_gbt", F.lit(0.0)) if out is None else out
+        if train.count() < least:
+            return None
+        test = df.filter((F.col("ym") >= F.lit(fold["first_test"])) & (F.col("ym") <= F.lit(fold["last_test"])))
+        model = fit_gbt(train, features, **settings)
+        return model.transform(VectorAssembler(inputCols=list(features), outputCol="_x").transform(test)).drop("_x")
+
+    with ThreadPool(parallelism) as pool:
+        parts = [x for x in pool.map(inheritable_thread_target(df.sparkSession)(scored), sorted(folds.collect())) if x is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0).withColumn("s_gbt", F.lit(0.0))
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], months: int = 49, show: int = 15, **settings: object) -> DataFrame:
