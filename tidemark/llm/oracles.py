@@ -77,4 +77,34 @@ _CHAT = """
     f AS (SELECT k, place, min(conv_id) AS conv_id, count(*)::bigint AS n_logged, min(text) AS text FROM p WHERE place = n GROUP BY k, place)
     SELECT conv_id, place::bigint AS n_turns, n_logged, text FROM f ANTI JOIN (SELECT DISTINCT k FROM p WHERE place < n) x ON f.k = x.k"""
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_warc_archive": _ARCHIVE, "op3_source_mix": _MIX, "op7_chat_format": _CHAT}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
+
+_HARD = f"""
+    WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label::bigint END AS label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS x
+               FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+    s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, {_DOT.format("a.x", "b.x")}::bigint AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.anchor, p.id AS pos, p.score AS ps, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS place
+          FROM p JOIN s ON p.anchor = s.anchor WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT anchor AS anchor_id, pos AS positive_id, place::int AS rank, id AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE place <= 3"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v QUALIFY c < 16)",
+    ]
+    d = _DOT.format("list_transform(list_zip(v.x, c.x), lambda z: z[1] - z[2])", "list_transform(list_zip(v.x, c.x), lambda z: z[1] - z[2])")
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT rid, min(c) AS c, any_value(d) AS d FROM (SELECT v.rid, c.c, ({d})::bigint AS d, min(({d})::bigint) OVER (PARTITION BY v.rid) AS least FROM v, c{i} c) WHERE d = least GROUP BY rid)")
+        if i < rounds:
+            sums = "SELECT a.c, k, sum(v.x[k])::bigint AS s, count(*) AS n FROM a{0} a JOIN v USING (rid), (SELECT unnest(range(1, 65)) AS k) GROUP BY a.c, k"
+            parts.append(f"m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS x FROM ({sums.format(i)}) GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (c))")
+    return f"""WITH {", ".join(parts)}
+    SELECT vec_id, a.c::int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::bigint AS cluster_inertia, (sum(d) OVER ())::bigint AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} c ON a.c = c.c"""
+
+
+ORACLES = {"op1_quality_rules": _quality(), "op2_warc_archive": _ARCHIVE, "op3_source_mix": _MIX, "op7_chat_format": _CHAT, "op11_hard_negatives": _HARD, "op12_centroid_clusters": _clusters()}

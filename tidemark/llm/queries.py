@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import new_path
-from tidemark.llm import archive, chat, decontam, katz, langid, mixing, neardup, quality, tokens, toxicity
+from tidemark.llm import archive, chat, decontam, hardneg, katz, langid, licenses, mixing, neardup, quality, tokens, toxicity, yinyang
 from tidemark.llm.oracles import ORACLES
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scans(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
