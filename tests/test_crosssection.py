@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import day
 from tidemark.jobs import queries
-from tidemark.operators import factors, formula, ic, model, ortho, overfit, perf, portfolio, rolling, xsection
+from tidemark.operators import factors, formula, ic, model, ortho, overfit, perf, portfolio, rolling, trees, xsection
 
 
 def months(n: int):
@@ -224,9 +224,9 @@ def test_formulas(spark):
 
 def test_gbt_scores_test_months(spark):
     df = model.prepare(load(spark, frame(50, n=20, holes=0)), ["x", "z"])
-    got = model.score_gbt(df, ["x", "z"], model.walk_forward_folds(df), least=100, maxIter=2, maxDepth=2, minInstancesPerNode=5)
+    got = model.score_gbt(df, ["x", "z"], model.walk_forward_folds(df), least=100, trees=2, depth=2, leaf_rows=5)
     assert got.filter("s_gbt is not null").count() == 40
-    top = model.feature_importance(df, ["x", "z"], maxIter=2, maxDepth=2, minInstancesPerNode=5).collect()
+    top = model.feature_importance(df, ["x", "z"], trees=2, depth=2, leaf_rows=5).collect()
     assert {r.feature for r in top} == {"x", "z"}
 
 
@@ -234,12 +234,12 @@ def test_registered_boosted_trees_keep_the_surveyed_settings(spark, monkeypatch)
     seen = {}
 
     def record(df, features, folds, **settings):
-        seen.update(model.GBT | settings)
+        seen.update(vars(trees.Settings(**settings)))
         return df.withColumn("s_gbt", F.lit(0.0))
 
     monkeypatch.setattr(model, "score_gbt", record)
     queries.score_gbt(spark, "/root/testdata/sf0.001")
-    assert seen == model.GBT and (seen["maxIter"], seen["maxDepth"]) == (300, 5)
+    assert (seen["trees"], seen["rate"], seen["depth"], seen["leaves"], seen["leaf_rows"], seen["rows"], seen["columns"], seen["penalty"]) == (300, 0.03, 5, 31, 200, 0.8, 0.6, 5.0)
 
 
 def test_percent_ranks_equal_brute_force_with_ties_nulls_and_null_groups(spark):
@@ -290,5 +290,5 @@ def test_importances_of_a_telling_feature(spark):
     rng = random.Random(3)
     rows = [(f"{i}", datetime.date(2000 + m // 12, m % 12 + 1, 1), x := rng.gauss(0, 1), rng.gauss(0, 1), x + rng.gauss(0, 0.1)) for m in range(14) for i in range(60)]
     df = spark.createDataFrame(rows, "stock_id string, ym date, a double, b double, y double")
-    got = model.feature_importance(df, ["a", "b"], months=12, maxIter=3, maxDepth=3, minInstancesPerNode=5).collect()
+    got = model.feature_importance(df, ["a", "b"], months=12, trees=3, depth=3, leaf_rows=5, columns=1.0).collect()
     assert [r.feature for r in got] == ["a", "b"] and got[0].importance > 0.8

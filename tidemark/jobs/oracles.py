@@ -257,6 +257,18 @@ _LADDER = {
     "wt": "SELECT *, (d * p - b * q) / (a * d - b * b) AS w1, (a * q - b * p) / (a * d - b * b) AS w2, p / a AS v FROM su",
     "ml": 'SELECT stock_id, ym, "group", fwd_ret_1m, (mom_1m + liq_amt) / 2 AS s_equal, my + w1 * (mom_1m - m1) + w2 * (liq_amt - m2) AS s_ridge, my + v * (mom_1m - m1) AS s_neutral FROM z JOIN wt ON ym BETWEEN first_test AND last_test',
 }
+#: One split per fold: every bound of every feature, left of it first; bounds that part no row from another are one, the smallest.
+_STUMP = {k: _LADDER[k] for k in ("z", "n", "fo")} | {
+    "my": "SELECT fold, first_test, last_test, last_train, avg(y) AS my, count(*) AS rows FROM fo JOIN z ON ym <= last_train GROUP BY ALL HAVING count(*) >= 1000",
+    "xs": "SELECT ym, y, 0 AS f, mom_1m AS x FROM z UNION ALL SELECT ym, y, 1, liq_amt FROM z",
+    "cu": "SELECT k * 0.25::double AS cut FROM (SELECT unnest(range(-12, 13)) AS k)",
+    "le": "SELECT fold, f, cut, my, rows, count(*) AS nl, sum(y - my) AS gl FROM my JOIN xs ON ym <= last_train JOIN cu ON x <= cut GROUP BY ALL",
+    "sp": "SELECT fold, f, nl, min(cut) AS cut, arg_min(gl, cut) AS gl, any_value(rows) - nl AS nr FROM le WHERE nl >= 200 AND rows - nl >= 200 GROUP BY fold, f, nl",
+    "ga": "SELECT *, gl * gl / (nl + 5.0::double) + gl * gl / (nr + 5.0::double) AS gain FROM sp",
+    "b0": "SELECT * FROM ga QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, f, cut) = 1",
+    "b1": "SELECT * FROM ga WHERE f = 0 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY gain DESC, f, cut) = 1",
+    "ss": "SELECT z.stock_id, z.ym, my.my + 0.03::double * CASE WHEN CASE b0.f WHEN 0 THEN z.mom_1m ELSE z.liq_amt END <= b0.cut THEN b0.gl / (b0.nl + 5.0::double) ELSE -b0.gl / (b0.nr + 5.0::double) END AS s_gbt, my.my + 0.03::double * CASE WHEN z.mom_1m <= b1.cut THEN b1.gl / (b1.nl + 5.0::double) ELSE -b1.gl / (b1.nr + 5.0::double) END AS s_neutral FROM z JOIN my ON z.ym BETWEEN first_test AND last_test JOIN b0 ON b0.fold = my.fold JOIN b1 ON b1.fold = my.fold",
+}
 _MODELS = ("s_equal", "s_ridge", "s_neutral")
 _ORIENT = _CELLS | {"sg": "SELECT factor, CASE WHEN avg(ic) >= 0 THEN 1.0::double ELSE -1.0::double END AS sign FROM months GROUP BY factor"}
 _TURNED = {"st": " UNION ALL ".join(f"""SELECT '{n}' AS strategy, stock_id, ym, "group", fwd_ret_1m, {n}::double * coalesce((SELECT sign FROM sg WHERE factor = '{n}'), -1) AS score FROM pm""" for n in PARTS)} | _port("st", "strategy") | {"sr": "SELECT strategy, gain - 0.004::double * turnover - benchmark AS active FROM ret"}
@@ -316,6 +328,7 @@ ORACLES = {
         **_port("sc", "q, weighting", "q", "wv"), rr="SELECT q, weighting, ym, 0.004::double AS cost, gain - 0.004::double * turnover AS \"long\", benchmark, turnover, nhold FROM ret"),
     "factor_weights": _with("pm", f"SELECT weighting, {_r(_PERF_COLS)}, months FROM pf", sc="SELECT *, mom_1m AS score, CASE weighting WHEN 'equal' THEN 1.0::double " + " ".join(f"WHEN '{n}' THEN {n}" for n in PARTS) + " END AS wv FROM pm, (SELECT unnest(['equal', " + ", ".join(f"'{n}'" for n in PARTS) + "]) AS weighting)",
         **_port("sc", "weighting", weight="wv"), rr='SELECT weighting, ym, gain - 0.004::double * turnover AS "long" FROM ret', **_perf("rr", '"long"', "weighting")),
+    "stump_scores": _with("pm", f"SELECT stock_id, ym, {_r('s_gbt s_neutral', 7)} FROM ss", **_STUMP),
     "ridge_pair": _with("pm", f"SELECT stock_id, ym, {_r(' '.join(_MODELS), 8)} FROM ml", **_LADDER),
     "model_ladder": _with("pm", f"SELECT strategy, {_r('icir sharpe max_dd turnover')}, rnd(ln(1 + cagr), 6) + 0.0::double AS log_growth FROM (SELECT factor AS strategy, {_SUM} FROM months GROUP BY factor) JOIN pf USING (strategy) JOIN (SELECT strategy, avg(turnover) AS turnover FROM ret GROUP BY strategy) USING (strategy)", **_LADDER, **{k: v for k, v in _cells("ml", _MODELS).items()},
         st=" UNION ALL ".join(f"""SELECT '{k}' AS strategy, stock_id, ym, "group", fwd_ret_1m, {k} AS score FROM ml""" for k in _MODELS), **_port("st", "strategy"), rr='SELECT strategy, ym, gain - 0.004::double * turnover AS "long" FROM ret', **_perf("rr", '"long"', "strategy")),

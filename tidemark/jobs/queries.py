@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize, new_path
-from tidemark.operators import adjust, factors, formula, ic, liquidity, model, ortho, overfit, perf, pit, portfolio, quality, regime, rolling, universe, xsection
+from tidemark.operators import adjust, factors, formula, ic, liquidity, model, ortho, overfit, perf, pit, portfolio, quality, regime, rolling, trees, universe, xsection
 from tidemark.sources import market, tables
 
 TRAIN_END = "1998-06-01"
@@ -409,6 +409,59 @@ def score_gbt(spark: SparkSession, d: str) -> DataFrame:
     return _round(model.score_gbt(df, PART_FACTORS, model.walk_forward_folds(df)).select("stock_id", "ym", "s_gbt"), 8)
 
 
+STUMP = {"trees": 1, "depth": 1, "rows": 1.0, "columns": 1.0}
+
+
+def stump_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The first split of each fold's trees over two features, bins a quarter apart, and the same without the size feature."""
+    df = materialize(model.prepare(_parts(spark, d), PAIR), "prepared")
+    variants = {"gbt": PAIR, "neutral": model.size_neutral(PAIR)}
+    out = model.score_gbt(df, PAIR, model.walk_forward_folds(df), variants=variants, cuts=trees.even_cuts(PAIR, -3.0, 3.0, 0.25), **STUMP)
+    return _round(out.select("stock_id", "ym", "s_gbt", "s_neutral"), 7)
+
+
+def _part_ladder(spark: SparkSession, d: str) -> DataFrame:
+    rows = _parts(spark, d)
+    used = xsection.covered_features(rows, PART_FACTORS)
+    df = materialize(model.prepare(rows, used), "prepared")
+    return model.score_ladder(df, used, model.walk_forward_folds(df))
+
+
+def tree_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """All four models over the covered part factors compared; size-neutral trees do without liq_amt."""
+    scored = materialize(_part_ladder(spark, d), "ladder")
+    return _round(_logged(model.evaluate_scores(scored, ["s_equal", "s_ridge", "s_gbt", "s_gbt_neutral"])))
+
+
+def tree_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Performance of the trees' scores at several costs."""
+    out = portfolio.sweep(materialize(_part_ladder(spark, d).withColumnRenamed("s_gbt", "score"), "ladder"), [0.1], [0.002, 0.004, 0.008, 0.012, 0.016])
+    return _round(_logged(perf.perf(out, "long", ("cost",))))
+
+
+def _library_ladder(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The library's covered features and all four models' scores, in test months, and the features' names."""
+    names = [f.name for f in factors.LIBRARY]
+    rows = xsection.winsorize_by(factors.add_factors(_snapshot(spark, d)), [*names, "fwd_ret_1m"])
+    rows = materialize(rows.select("stock_id", "ym", "group", "fwd_ret_1m", *names), "library")
+    used = xsection.covered_features(rows, names)
+    df = materialize(model.prepare(rows, used).select("stock_id", "ym", "group", "fwd_ret_1m", "y", *used), "prepared")
+    return materialize(model.score_ladder(df, used, model.walk_forward_folds(df)).drop("y"), "ladder"), used
+
+
+def library_models(spark: SparkSession, d: str) -> DataFrame:
+    """All four models over the covered features of the whole factor library."""
+    scored, _ = _library_ladder(spark, d)
+    return _round(model.evaluate_scores(scored, ["s_equal", "s_ridge", "s_gbt", "s_gbt_neutral"]))
+
+
+def library_overfit(spark: SparkSession, d: str) -> DataFrame:
+    """Factors and models together: each strategy's deflated Sharpe ratio among all trials, and the trials' probability of overfitting."""
+    scored, used = _library_ladder(spark, d)
+    series = materialize(overfit.oriented_strategies(scored, used, models=["s_equal", "s_ridge", "s_gbt", "s_gbt_neutral"]), "trials")
+    return _round(overfit.deflated_sharpe(series).join(F.broadcast(overfit.cscv_pbo(series))))
+
+
 def evaluate_scores(spark: SparkSession, d: str) -> DataFrame:
     df = _prepared(spark, d)
     scored = model.score_ridge(model.score_equal(df, PART_FACTORS), PART_FACTORS, model.walk_forward_folds(df))

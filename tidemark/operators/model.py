@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
+from tidemark.operators import trees
 from tidemark.operators.ic import ic_by_cell, monthly_ic, summarize_ic
 from tidemark.operators.perf import perf
 from tidemark.operators.portfolio import strategy_returns
@@ -108,42 +104,41 @@ def score_ridge(df: DataFrame, features: Sequence[str], folds: DataFrame, alpha:
     return joined.withColumn(out, score).drop("w", "fold", "first_test", "last_test")
 
 
-#: Settings of the boosted trees; the engine's own analogues of shallow trees, slow learning and row and column sampling.
-GBT = {"maxIter": 300, "stepSize": 0.03, "maxDepth": 5, "minInstancesPerNode": 200, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "seed": 7}
+def fit_trees(df: DataFrame, features: Sequence[str], folds: DataFrame, variants: Mapping[str, Sequence[str]] | None = None, least: int = 1000, cuts: list[np.ndarray] | None = None, **settings: object) -> trees.Forest:
+    """Boosted trees of all folds and variants (name -> features; by default one, ``gbt``, of all features) in one go."""
+    own = {"gbt": features} if variants is None else variants
+    return trees.fit(df, features, folds, own, least, cuts, trees.Settings(**settings))
 
 
-def fit_gbt(train: DataFrame, features: Sequence[str], **settings: object):  # noqa: ANN201
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train).select("_x", "y")
-    return GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="s_gbt", **(GBT | settings)).fit(data)
+def score_gbt(df: DataFrame, features: Sequence[str], folds: DataFrame, least: int = 1000, variants: Mapping[str, Sequence[str]] | None = None, cuts: list[np.ndarray] | None = None, **settings: object) -> DataFrame:
+    """Out-of-sample scores of rows of test months, a column s_v for each variant v, by trees that are learned on a table written once."""
+    df = materialize(df, "features")
+    own = {"gbt": features} if variants is None else variants
+    forest = fit_trees(df, features, folds, own, least, cuts, **settings)
+    return trees.score(df, forest, {v: f"s_{v}" for v in own})
 
 
-def score_gbt(df: DataFrame, features: Sequence[str], folds: DataFrame, least: int = 1000, parallelism: int = 4, **settings: object) -> DataFrame:
-    """Out-of-sample scores s_gbt; a distributed fit per fold (there are as many as test years) on a table written once.
+def score_ladder(df: DataFrame, features: Sequence[str], folds: DataFrame, least: int = 1000, **settings: object) -> DataFrame:
+    """Rows of test months with the scores of all models: s_equal, s_ridge, s_gbt and s_gbt_neutral (trees without size features), learned in the same folds.
 
-    A fit is a long row of short jobs, so up to ``parallelism`` folds are fitted at once.
+    ``df`` is read by every model, so it should be a written table.
     """
-    df = materialize(df, "features")
-
-    def scored(fold: Row) -> DataFrame | None:
-        train = df.filter(F.col("ym") <= F.lit(fold["last_train"]))
-        if train.count() < least:
-            return None
-        test = df.filter((F.col("ym") >= F.lit(fold["first_test"])) & (F.col("ym") <= F.lit(fold["last_test"])))
-        model = fit_gbt(train, features, **settings)
-        return model.transform(VectorAssembler(inputCols=list(features), outputCol="_x").transform(test)).drop("_x")
-
-    with ThreadPool(parallelism) as pool:
-        parts = [x for x in pool.map(inheritable_thread_target(df.sparkSession)(scored), sorted(folds.collect())) if x is not None]
-    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0).withColumn("s_gbt", F.lit(0.0))
+    variants = {"gbt": list(features), "gbt_neutral": size_neutral(features)}
+    forest = fit_trees(df, features, folds, variants, least, **settings)
+    out = score_ridge(score_equal(df, features), features, folds, least=least, train=df)
+    return trees.score(out, forest, {v: f"s_{v}" for v in variants})
 
 
 def feature_importance(df: DataFrame, features: Sequence[str], months: int = 49, show: int = 15, **settings: object) -> DataFrame:
-    """The ``show`` most important features of one fit on the first months."""
-    df = df.select("ym", *features, "y")
-    first = materialize(df.join(numbered_months(df).filter(F.col("i") < months).select("ym"), "ym", "left_semi"), "features")
-    weight = fit_gbt(first, features, **settings).featureImportances.toArray()
-    rows = [(f, float(w)) for f, w in zip(features, weight, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(show)
+    """The ``show`` most important features of one fit on the first months: how often each is split by, and its share of all gains."""
+    df = df.select("ym", *[c for c in ("stock_id",) if c in df.columns], *features, "y")
+    n = numbered_months(df)
+    first = materialize(df.join(n.filter(F.col("i") < months).select("ym"), "ym", "left_semi"), "features")
+    span = first.agg(F.max("ym").alias("last_train")).select("last_train", F.col("last_train").alias("first_test"), F.col("last_train").alias("last_test"))
+    found = fit_trees(first, features, span.filter("last_train is not null"), least=0, **settings).importance()
+    total = sum(g for g, _ in found.values()) or 1.0
+    rows = [(f, g / total, n) for f, (g, n) in found.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, splits long").orderBy(F.desc("importance"), "feature").limit(show)
 
 
 def evaluate_scores(scored: DataFrame, scores: Sequence[str], label: str = "fwd_ret_1m") -> DataFrame:

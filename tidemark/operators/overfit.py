@@ -20,17 +20,18 @@ from tidemark.operators.xsection import avg_rank
 EULER = 0.5772156649
 
 
-def oriented_strategies(df: DataFrame, factors: Sequence[str], label: str = "fwd_ret_1m", least_rows: int = 100) -> DataFrame:
-    """Returns of each factor as a strategy, turned round where its mean monthly IC is negative or missing.
+def oriented_strategies(df: DataFrame, factors: Sequence[str], label: str = "fwd_ret_1m", least_rows: int = 100, models: Sequence[str] = ()) -> DataFrame:
+    """Returns of each factor as a strategy, turned round where its mean monthly IC is negative or missing, and of each model's scores as they are.
 
-    Factors with fewer than ``least_rows`` usable rows are left out.
+    Factors and models with fewer than ``least_rows`` usable rows are left out.
     """
-    df = materialize(df.select("stock_id", "ym", "group", label, *factors), "strategies")
+    df = materialize(df.select("stock_id", "ym", "group", label, *factors, *models), "strategies")
     mean = monthly_ic(ic_by_cell(df, factors, label)).groupBy("factor").agg(F.avg("ic").alias("m"))
     sign = {r["factor"]: 1.0 if r["m"] >= 0 else -1.0 for r in mean.collect()}
-    rows = df.agg(*[F.count_if(F.col(f).isNotNull() & F.col(label).isNotNull()).alias(f) for f in factors]).first()
-    used = [f for f in factors if rows[f] >= least_rows]
-    return strategy_returns(df.withColumns({f: F.col(f) * sign.get(f, -1.0) for f in used}), used, label)
+    every = [*factors, *models]
+    rows = df.agg(*[F.count_if(F.col(f).isNotNull() & F.col(label).isNotNull()).alias(f) for f in every]).first()
+    used = [f for f in every if rows[f] >= least_rows]
+    return strategy_returns(df.withColumns({f: F.col(f) * sign.get(f, -1.0) for f in used if f in factors}), used, label)
 
 
 def sharpe_moments(series: DataFrame, value: str = "active", by: str = "strategy") -> DataFrame:
