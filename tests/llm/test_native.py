@@ -1,6 +1,8 @@
 """Quality rules, archive, mixing, chat: edge cases and brute force. The SQL oracles run in test_queries."""
 
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -48,6 +50,46 @@ def test_windows_that_share_a_hash_are_told_apart(spark, edge, monkeypatch):
         assert r.n_repeat_words == brute_counts(r.text)[4]
 
 
+def test_a_long_text_of_equal_hashes_takes_no_square_of_time(spark, edge, monkeypatch):
+    """20,000 sentences, every window under one hash: sorted once, within seconds."""
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(3).cast("long"))
+    began = time.time()
+    long = edge.filter("doc_id = 4")
+    repeated = spark.createDataFrame([(1, "a b c " * 30_000, "en", "s", 0)], SCHEMA)
+    for r in quality.base_counts(long.union(repeated)).collect():
+        assert r.n_repeat_words == brute_counts(r.text)[4]
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("bad", ["symbols_per_word", "dup_line_share", "repeat_share", "word_length"])
+def test_each_measure_rejects_its_own_outlier_among_varied_lengths(spark, bad):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(5000)]
+
+    def text(n):
+        words = rng.choices(vocabulary, k=n)
+        return "\n".join(" ".join(words[i : i + 12]) for i in range(0, n, 12))
+
+    rows = [(i, text(int(50 * 1.02**i)), "en", "s", 0) for i in range(200)] + [(200 + i, text(60 + 7 * i), "en", "s", 0) for i in range(200)]
+    lines = text(1200).split("\n")
+    sentence = " ".join(rng.choices(vocabulary, k=12))
+    outlier = {
+        "symbols_per_word": " ".join(f"{w}#" if i % 2 else w for i, w in enumerate(text(300).split())),
+        "dup_line_share": "\n".join(["one short line"] * 40 + lines[:70]),  # a third of the lines, an eighth of the words
+        "repeat_share": text(168) + " " + " ".join([sentence] * 12),  # 46 % of the words
+        "word_length": " ".join(w * 4 for w in text(200).split()),
+    }[bad]
+    docs = spark.createDataFrame([*rows, (999, outlier, "en", "s", 0)], SCHEMA)
+    measured = quality.measures(quality.base_counts(docs))
+    fence = quality.fences(quality.sketches(measured))
+    got = {r.doc_id: r for r in quality.judge(measured, fence).collect()}
+    f = fence.first()
+    broken = [m for m in quality.MEASURES if got[999][m] > f[f"{m}_high"]]
+    assert not got[999].base_failed and bad in broken and not got[999].kept
+    assert sum(r.kept for r in got.values()) == 400
+    assert all(f[f"{m}_high"] < quality.END for m in quality.SHARES)
+
+
 def test_groups_with_shifted_values_get_fences_of_their_own(spark):
     def text(i, n, k):
         return " ".join(f"w{(i * 37 + j * 11) % 1999}" + ("#" if j < k else "") for j in range(n))

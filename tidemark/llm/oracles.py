@@ -1,14 +1,14 @@
 """DuckDB SQL for the operators of this subpackage that SQL can express."""
 
-from tidemark.llm.quality import GAMMA, MEASURES, PRIOR
+from tidemark.llm.quality import END, GAMMA, MEASURES, PRIOR, SHARES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _quality() -> str:
-    names = {"_n_lines": "nl"}
     rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS bucket FROM v" for m in MEASURES)
-    buckets = ", ".join(f"CASE WHEN n_words > 0 THEN ceil(ln(({names.get(k, k)} + {add})::double / ({names.get(of, of)} + {more})::double) / ln({GAMMA}::double))::int END AS {m}" for m, (k, of, (add, more), *_) in MEASURES.items())
+    shares = ", ".join(f"CASE WHEN n_words > 0 THEN ceil(greatest(0.0::double, sqrt({MEASURES[m][0]}) - 1) / sqrt({MEASURES[m][1].replace('_n_lines', 'nl')}) * {END})::int END AS {m}" for m in SHARES)
+    buckets = f"{shares}, CASE WHEN n_words > 0 THEN ceil(ln(word_chars::double / n_words::double) / ln({GAMMA}::double))::int END AS word_length"
     quart = ", ".join(f"(min(bucket) FILTER (4 * upto >= {k} * total))::double AS q{k}" for k in (1, 3))
 
     def level(name: str, keys: str) -> str:
@@ -35,9 +35,10 @@ def _quality() -> str:
     l AS ({rows}),
     {level("a", "lang, source")}, {level("b", "lang")}, {level("t", "")},
     f0 AS (SELECT a.lang, a.source, a.measure, {drawn("q1")}, {drawn("q3")},
-                  CASE a.measure {" ".join(f"WHEN '{m}' THEN {x}::double" for m, (*_, x, _) in MEASURES.items())} END AS spread
+                  CASE a.measure {" ".join(f"WHEN '{m}' THEN {v[2]}::double" for m, v in MEASURES.items())} END AS spread, CASE a.measure {" ".join(f"WHEN '{m}' THEN {v[3]}::double" for m, v in MEASURES.items())} END AS least
            FROM a JOIN b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN t ON a.measure = t.measure),
-    f AS (SELECT lang, source, measure, q1 - spread * (q3 - q1 + 1) AS low, q3 + spread * (q3 - q1 + 1) AS high FROM f0),
+    f1 AS (SELECT *, spread * greatest(q3 - q1, least) AS far, {END}::double - q3 AS way FROM f0),
+    f AS (SELECT lang, source, measure, q1 - far AS low, CASE WHEN measure = 'word_length' THEN q3 + far WHEN way > 0 THEN q3 + way * (1 - exp(-far / way)) ELSE {END}::double END AS high FROM f1),
     o AS (SELECT v.rid, {out} AS broken FROM v LEFT JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source GROUP BY v.rid)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,

@@ -6,14 +6,19 @@ fences. The sketch is a histogram over buckets that grow by ``GAMMA``: counts of
 add up, so sketches of partitions, sources or languages merge by summing, in any order and
 with the same result.
 
-A fence lies beyond a quartile by so many times the distance of the quartiles, both counted in
-buckets, that is on a scale of ratios; nothing else sets it. Quartiles of small groups are
+Three measures are shares: of symbols among words and symbols, of repeated lines, of words in
+repeated windows. A count c of n is measured by (sqrt(c) - 1) / sqrt(n), not below 0: the root of a share that
+the count speaks for beyond its own uncertainty, as that of a root of a count is the same for small and large
+counts. So a text without any has the measure 0, however long it is, and a single symbol too; buckets of shares are
+``STEP`` wide and 0 is one of its own. Word length is measured in buckets that grow by ``GAMMA``.
+
+A fence lies beyond a quartile by so many times the distance of the quartiles, but a distance below a
+measure's least is taken for that. A share's fence nears the end of its scale but never reaches it: of the way
+from the quartile to a share of 1 it takes 1 - exp(-distance / way), which is the distance where that is short. Quartiles of small groups are
 uncertain, so a group's are the mean of its own, weighted by its documents, and its language's,
 weighted like ``PRIOR`` documents; a language's are drawn to those of all rows in the same way.
 
-Rates are counted with a pseudo-document's share added, so that they are never 0 and a single
-symbol or repeat in a short text is no outlier. Null texts count as empty; documents without
-words have no measures. Null languages and sources are groups of their own.
+Null texts count as empty; documents without words have no measures. Null languages and sources are groups of their own.
 """
 
 from __future__ import annotations
@@ -26,15 +31,18 @@ from tidemark.functions.scratch import materialize
 
 SPACE = r"\x20\x09-\x0D"
 _BLANKS = " \t\n\x0b\x0c\r"
-#: Ratio of neighbouring bucket bounds: quantiles come within 1 % of the true value.
+#: Ratio of neighbouring bucket bounds of word lengths: quantiles come within 1 % of the true value.
 GAMMA = 1.02
-#: measure -> (what is counted, of how many, what is added to both, distance of a fence in quartile distances, whether low values are rejected too)
+#: Width of a share's bucket, and the last bucket.
+STEP, END = 0.01, 100
+#: measure -> (what is counted, of how many, distance of a fence in quartile distances, least quartile distance in buckets, whether low values are rejected too)
 MEASURES = {
-    "symbols_per_word": ("n_symbols", "n_words", (1, 1), 1.5, False),
-    "dup_line_share": ("n_dup_lines", "_n_lines", (1, 10), 2.5, False),
-    "repeat_share": ("n_repeat_words", "n_words", (1, 1), 2.5, False),
-    "word_length": ("word_chars", "n_words", (0, 0), 4.0, True),
+    "symbols_per_word": ("n_symbols", "n_words + n_symbols", 2.5, 10.0, False),
+    "dup_line_share": ("n_dup_lines", "_n_lines", 3.0, 10.0, False),
+    "repeat_share": ("n_repeat_words", "n_words", 3.5, 20.0, False),
+    "word_length": ("word_chars", "n_words", 4.0, 1.0, True),
 }
+SHARES = tuple(m for m in MEASURES if m != "word_length")
 #: Documents that a parent's quartiles count for beside those of a group.
 PRIOR = 50
 #: Rows of one group are dealt to this many keys where the fences are joined by a shuffle.
@@ -86,9 +94,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     repeated = F.filter("_p", lambda x, j: like(x, F.get("_p", j - 1)) | like(x, F.get("_p", j + 1)))
     df = df.withColumn("_r", repeated)
     mixed = F.exists(F.transform("_r", lambda x, j: like(x, F.get("_r", j + 1)) & ~_equal(place_of(x), place_of(F.get("_r", j + 1)))), lambda x: x)
+    # sorted once, as a column of its own: neighbours are looked up in it, not in an expression that each look would sort again
     whole = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *_window(i)).alias("w"), i.cast("long").alias("i"))))
-    alone = F.filter(whole, lambda x, j: F.coalesce(x["w"] == F.get(whole, j - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(whole, j + 1)["w"], F.lit(False)))
-    df = df.withColumn("_at", F.when(mixed, F.transform(alone, lambda x: x["i"])).otherwise(F.transform("_r", place_of)))
+    df = df.withColumn("_s", F.when(mixed, whole))
+    alone = F.filter("_s", lambda x, j: F.coalesce(x["w"] == F.get("_s", j - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get("_s", j + 1)["w"], F.lit(False)))
+    df = df.withColumn("_at", F.coalesce(F.transform(alone, lambda x: x["i"]), F.transform("_r", place_of)))
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda i: F.array(i, i + 1, i + 2))))
     return df.withColumns(
         {
@@ -98,17 +108,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.when(F.size("_at") > 0, F.size(covered)).otherwise(0).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
         }
-    ).drop("_w", "_lines", "_bits", "_p", "_r", "_at")
+    ).drop("_w", "_lines", "_bits", "_p", "_r", "_s", "_at")
 
 
 def measures(counted: DataFrame) -> DataFrame:
     """Add the measures as bucket numbers of the sketch; null for documents without words, which no fence judges."""
 
-    def bucket(count: str, of: str, more: tuple[int, int]) -> Column:
-        x = (F.col(count) + more[0]).cast("double") / (F.col(of) + more[1]).cast("double")
-        return F.when(F.col("n_words") > 0, F.ceil(F.log(x) / F.log(F.lit(GAMMA))).cast("int"))
+    def share(count: str, of: str) -> Column:
+        root = F.greatest(F.lit(0.0), F.sqrt(F.col(count)) - 1) / F.sqrt(F.expr(of))
+        return F.when(F.col("n_words") > 0, F.ceil(root * END).cast("int"))
 
-    return counted.withColumns({m: bucket(count, of, more) for m, (count, of, more, _, _) in MEASURES.items()})
+    length = F.log(F.col("word_chars").cast("double") / F.col("n_words").cast("double")) / F.log(F.lit(GAMMA))
+    shares = {m: share(*MEASURES[m][:2]) for m in SHARES}
+    return counted.withColumns(shares | {"word_length": F.when(F.col("n_words") > 0, F.ceil(length).cast("int"))})
 
 
 def sketches(measured: DataFrame, by: tuple[str, ...] = ("lang", "source"), names: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
@@ -142,10 +154,11 @@ def fences(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
 
     q = {c: drawn(F.col("n"), F.col(c), drawn(F.col("mid_n"), F.col(f"mid_{c}"), F.col(f"top_{c}"))) for c in ("q1", "q3")}
     df = df.select("lang", "source", "measure", *[v.alias(k) for k, v in q.items()])
-    spread = F.create_map(*[F.lit(x) for m, (*_, s, _) in MEASURES.items() for x in (m, s)])
-    # quartiles within one bucket are still a bucket's width apart
-    width = spread[F.col("measure")] * (F.col("q3") - F.col("q1") + 1)
-    df = df.select("lang", "source", "measure", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    setting = {k: F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[i])])[F.col("measure")] for i, k in ((2, "spread"), (3, "least"))}
+    far = setting["spread"] * F.greatest(F.col("q3") - F.col("q1"), setting["least"])
+    way = F.lit(float(END)) - F.col("q3")
+    high = F.when(F.col("measure").isin(*SHARES), F.when(way > 0, F.col("q3") + way * (1 - F.exp(-far / way))).otherwise(F.lit(float(END)))).otherwise(F.col("q3") + far)
+    df = df.select("lang", "source", "measure", (F.col("q1") - far).alias("low"), high.alias("high"))
     pick = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m, (*_, both) in MEASURES.items() for e in (("low", "high") if both else ("high",))]
     return df.groupBy("lang", "source").agg(*pick)
 
