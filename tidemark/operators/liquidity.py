@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import thirds
+from tidemark.functions.scratch import materialize
 from tidemark.operators.perf import active_stats, perf
 from tidemark.operators.portfolio import sweep, take
 from tidemark.operators.xsection import pct_rank_avg
@@ -39,9 +40,10 @@ def top_contributors(holdings: DataFrame, names: DataFrame, show: int = 20) -> D
 
 def liquidity_filter_sweep(df: DataFrame, floors: Sequence[float] = (0.0, 0.3, 0.5, 0.7), costs: Sequence[float] = (0.004, 0.008, 0.012), q: float = 0.1, liquidity: str = "amt_21", **names: object) -> DataFrame:
     """Performance and excess for each liquidity floor and cost: floor, cost, cagr, sharpe, ann_excess, ir, t_stat, turnover."""
-    rows = pct_rank_avg(df, liquidity, ["ym"], "liq_pct")
+    used = dict.fromkeys(["stock_id", "ym", names.get("group", "group"), names.get("label", "fwd_ret_1m"), names.get("score", "score"), liquidity])
+    rows = pct_rank_avg(df.select(*used), liquidity, ["ym"], "liq_pct")
     each = rows.withColumn("floor", F.explode(F.filter(F.array(*[F.lit(float(f)) for f in floors]), lambda f: F.col("liq_pct") >= f)))
-    returns = sweep(each, [q], costs, by=("floor", "ym"), **names)
+    returns = materialize(sweep(each, [q], costs, by=("floor", "ym"), **names), "returns")  # a row per floor, cost and month
     key = ["floor", "cost"]
     good = perf(returns, "long", key).select(*key, "cagr", "sharpe")
     extra = active_stats(returns, by=key).select(*key, "ann_excess", "ir", "t_stat")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import materialize
+
 
 def _same(by: Sequence[str], nulls: bool = False) -> Column:
     out = F.lit(True)
@@ -73,8 +75,10 @@ def pct_rank_avg(df: DataFrame, column: str, by: Sequence[str], out: str, parts:
 
     Quantile sketches part each group into ranges of values, about equal in rows, so that no
     window holds a group: a rank is that within its range plus the rows of the ranges before.
-    Where the sketches cut decides how even the ranges are, not the ranks.
+    Where the sketches cut decides how even the ranges are, not the ranks. ``df`` is written
+    once: cuts, sizes and ranks all read it, so pass the columns that are needed.
     """
+    df = materialize(df, "ranked")
     known = df.filter(F.col(column).isNotNull())
     cuts = known.groupBy(*by).agg(F.percentile_approx(column, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 1000).alias("_cuts"))
     place = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
