@@ -433,3 +433,5 @@ ORACLES = {
 }
 ORACLES["asof_ranges"] = ORACLES["asof_revenue"]
 ORACLES = {k: _expand(v) for k, v in ORACLES.items()}
+#: Other ways to the same rows.
+ORACLES |= {"asof_panel_spans": ORACLES["asof_panel"], "rolling_blocks": ORACLES["rolling_windows"]}

@@ -187,6 +187,12 @@ def asof_panel(spark: SparkSession, d: str) -> DataFrame:
     return _round(_panel(spark, d).select("stock_id", "date", *cols), 4)
 
 
+def asof_panel_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The panel with each entity's rows dealt by year."""
+    cols = ("close", "ret", "month_revenue", "f_Revenue", "f_EPS", "f_avail", "b_TotalAssets", "b_CapitalStock", "c_CashFlowsFromOperatingActivities", "inst_foreign_net", "lending_vol", "margin_balance", "per", "div_yield")
+    return _round(pit.build_panel(_base(spark, d), _sources(spark, d), span="year").select("stock_id", "date", *cols), 4)
+
+
 def panel_holdings(spark: SparkSession, d: str) -> DataFrame:
     """The holding ratio at its place in the panel, as known on each day."""
     return _round(_panel(spark, d).select("stock_id", "date", "foreign_ratio"), 4)
@@ -204,6 +210,12 @@ def rolling_windows(spark: SparkSession, d: str) -> DataFrame:
     return _round(rolling.add_rolling(_base(spark, d)).select("stock_id", "date", "vol_21", "vol_63", "vol_126", "amt_21", "hi_252"))
 
 
+def rolling_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling windows with each entity's rows dealt in blocks, and the rows that windows reach back to copied."""
+    base = materialize(_base(spark, d).select("stock_id", "date", "ret", "amount", "close"), "base")
+    return _round(rolling.add_rolling(base, block=1024).select("stock_id", "date", "vol_21", "vol_63", "vol_126", "amt_21", "hi_252"))
+
+
 def month_end_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _round(rolling.month_end_snapshot(_base(spark, d)).select("stock_id", "ym", "date", "close", "volume"))
 

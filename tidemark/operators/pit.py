@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import to_number
+from tidemark.functions.scratch import materialize
 
 
 def revenue_availability(revenue: DataFrame) -> DataFrame:
@@ -93,26 +94,55 @@ class Source:
     tie: str | None = None
 
 
-def asof_join_all(left: DataFrame, sources: Sequence[Source], by: str = "stock_id", on: str = "date") -> DataFrame:
+def _tagged(left: DataFrame, sources: Sequence[Source], by: str, on: str) -> DataFrame:
+    """Left rows (``_left``, side 1) and the facts of all sources (``_s0``, ``_s1``, ..., side 0) with entity and day."""
+    out = left.select(F.struct("*").alias("_left"), F.col(by).alias("_by"), F.col(on).cast("date").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"))
+    for i, s in enumerate(sources):
+        tie = F.col(s.tie).cast("string") if s.tie else F.lit(None).cast("string")
+        right = s.df.filter(F.col(s.avail).isNotNull() & F.col(by).isNotNull())
+        out = out.unionByName(right.select(F.struct(*s.columns).alias(f"_s{i}"), F.col(by).alias("_by"), F.col(s.avail).cast("date").alias("_at"), F.lit(0).alias("_side"), tie.alias("_tie")), allowMissingColumns=True)
+    return out
+
+
+def _told(rows: DataFrame, sources: Sequence[Source]) -> DataFrame:
+    return rows.select("_left.*", *[F.col(f"_s{i}.{c}").alias(c) for i, s in enumerate(sources) for c in s.columns])
+
+
+def asof_join_all(left: DataFrame, sources: Sequence[Source], by: str = "stock_id", on: str = "date", span: str | None = None) -> DataFrame:
     """Each left row with the latest row of every source known on or before its day.
 
     The whole row is taken, with its nulls; of rows known on one day the greatest by ``tie``.
     Left rows and all sources pass one union, one shuffle by entity and one sort; every source
     is a window over the same order. Rows without a day or entity match nothing.
+
+    With ``span`` (year, quarter, month, week or day) an entity's rows are dealt by span as well, so that one
+    with most of all rows is many tasks: the last fact of each source in each span, which partial
+    aggregation finds, is carried on to later spans (a row per entity and span), and windows
+    stay within a span. The union is then written, as both steps read it.
     """
-    out = left.select(F.struct("*").alias("_left"), F.col(by).alias("_by"), F.col(on).cast("date").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"))
-    for i, s in enumerate(sources):
-        tie = F.col(s.tie).cast("string") if s.tie else F.lit(None).cast("string")
-        right = s.df.filter(F.col(s.avail).isNotNull() & F.col(by).isNotNull())
-        out = out.unionByName(right.select(F.struct(*s.columns).alias(f"_s{i}"), F.col(by).alias("_by"), F.col(s.avail).cast("date").alias("_at"), F.lit(0).alias("_side"), tie.alias("_tie")), allowMissingColumns=True)
+    if span is not None:
+        return _asof_spans(_tagged(left, sources, by, on), sources, span)
     past = W.partitionBy("_by").orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     last = {f"_s{i}": F.last(f"_s{i}", ignorenulls=True).over(past) for i in range(len(sources))}
-    rows = out.withColumns(last).filter("_side = 1")
-    return rows.select("_left.*", *[F.col(f"_s{i}.{c}").alias(c) for i, s in enumerate(sources) for c in s.columns])
+    return _told(_tagged(left, sources, by, on).withColumns(last).filter("_side = 1"), sources)
+
+
+def _asof_spans(rows: DataFrame, sources: Sequence[Source], span: str) -> DataFrame:
+    rows = materialize(rows.withColumn("_span", F.date_trunc(span, "_at").cast("date")), "facts")
+    names = [f"_s{i}" for i in range(len(sources))]
+    # the last row by (day, tie) of each source; max_by passes over rows whose order is null, which are other sources' and the left's
+    order = F.struct("_at", F.col("_tie").isNotNull().alias("known"), F.coalesce("_tie", F.lit("")).alias("tie"))
+    ends = rows.filter("_by is not null and _span is not null").groupBy("_by", "_span").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in names])
+    earlier = W.partitionBy("_by").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(F.col("_by").alias("_c"), F.col("_span").alias("_cs"), *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c{c}") for c in names])
+    past = W.partitionBy("_by", "_span").orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    within = rows.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in names}).filter("_side = 1")
+    met = within.join(carried, (F.col("_by") == F.col("_c")) & (F.col("_span") == F.col("_cs")), "left")
+    return _told(met.withColumns({c: F.coalesce(F.col(c), F.col(f"_c{c}")) for c in names}), sources)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, columns: Sequence[str], tie: str | None = None) -> DataFrame:
-    return asof_join_all(left, [Source(right, right_on, tuple(columns), tie)], by, left_on)
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, columns: Sequence[str], tie: str | None = None, span: str | None = None) -> DataFrame:
+    return asof_join_all(left, [Source(right, right_on, tuple(columns), tie)], by, left_on, span)
 
 
 def asof_join_ranges(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, columns: Sequence[str], tie: str | None = None) -> DataFrame:
@@ -125,9 +155,9 @@ def asof_join_ranges(left: DataFrame, right: DataFrame, by: str, left_on: str, r
     return left.join(ranges, inside, "left").drop("_by", "_from", "_to")
 
 
-def build_panel(base: DataFrame, sources: Sequence[Source | None]) -> DataFrame:
-    """The price base with every source that is there, as known on each day."""
-    return asof_join_all(base, [s for s in sources if s is not None])
+def build_panel(base: DataFrame, sources: Sequence[Source | None], span: str | None = None) -> DataFrame:
+    """The price base with every source that is there, as known on each day; ``span`` as in ``asof_join_all``."""
+    return asof_join_all(base, [s for s in sources if s is not None], span=span)
 
 
 def panel_coverage(panel: DataFrame, column_sets: Mapping[str, Sequence[str]]) -> DataFrame:

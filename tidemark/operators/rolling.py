@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,16 +11,55 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import month, ratio
 
 
-def rolling(agg: Callable[[Column], Column], column: str, n: int, least: int, key: str = "stock_id", order: str = "date") -> Column:
+def rolling(agg: Callable[[Column], Column], column: str, n: int, least: int, key: str | Sequence[str] = "stock_id", order: str = "date") -> Column:
     """``agg`` over the last n rows; null with fewer than ``least`` values."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(-(n - 1), 0)
+    w = W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order).rowsBetween(-(n - 1), 0)
     return F.when(F.count(column).over(w) >= least, agg(F.col(column)).over(w))
 
 
-def add_rolling(daily: DataFrame) -> DataFrame:
-    """vol_21, vol_63, vol_126, amt_21, hi_252: one shuffle, one sort."""
-    spec = {f"vol_{n}": rolling(F.stddev_samp, "ret", n, least) for n, least in ((21, 12), (63, 40), (126, 80))}
-    return daily.withColumns(spec | {"amt_21": rolling(F.avg, "amount", 21, 10), "hi_252": rolling(F.max, "close", 252, 120)})
+#: The longest of the daily windows.
+LONGEST = 252
+
+
+def _daily(key: str | Sequence[str]) -> dict[str, Column]:
+    spec = {f"vol_{n}": rolling(F.stddev_samp, "ret", n, least, key) for n, least in ((21, 12), (63, 40), (126, 80))}
+    return spec | {"amt_21": rolling(F.avg, "amount", 21, 10, key), "hi_252": rolling(F.max, "close", LONGEST, 120, key)}
+
+
+def add_rolling(daily: DataFrame, block: int | None = None, span: str = "year") -> DataFrame:
+    """vol_21, vol_63, vol_126, amt_21, hi_252: one shuffle, one sort.
+
+    With ``block`` an entity's rows are dealt in blocks of so many, each with the rows before it that its
+    windows reach back to, so that an entity with most of all rows is many tasks.
+    """
+    if block is None:
+        return daily.withColumns(_daily("stock_id"))
+    dealt = with_halo(numbered(daily, "stock_id", "date", span), "stock_id", block, LONGEST - 1)
+    return dealt.withColumns(_daily(["stock_id", "_block"])).filter("not _halo").drop("_block", "_halo", "_i")
+
+
+def numbered(df: DataFrame, key: str, order: str, span: str = "year") -> DataFrame:
+    """Add ``_i``, the row's place from 0 among its entity's rows by day.
+
+    Rows are counted per entity and span of time first; a row's place is its place within
+    the span and the rows of the spans before. So no window holds an entity's rows: the one by
+    entity has a row per span. ``df`` is read twice, the first time for key and day alone.
+    Rows without a day come first.
+    """
+    at = F.coalesce(F.date_trunc(span, F.col(order)).cast("date"), F.lit("0001-01-01").cast("date"))
+    counts = df.select(F.col(key).alias("_k"), at.alias("_s")).groupBy("_k", "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_k", "_s", F.coalesce(before, F.lit(0)).alias("_first"))
+    placed = df.withColumn("_span", at).withColumn("_place", F.row_number().over(W.partitionBy(key, "_span").orderBy(order)) - 1)
+    met = placed.join(counts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s")))
+    return met.withColumn("_i", F.col("_first") + F.col("_place")).drop("_span", "_place", "_k", "_s", "_first")
+
+
+def with_halo(df: DataFrame, key: str, block: int, reach: int) -> DataFrame:
+    """Rows with ``_i`` dealt to blocks of ``block`` rows of their entity, and copied (``_halo``) to as many later blocks as begin within ``reach`` rows after them."""
+    own = F.floor(F.col("_i") / block).cast("long")
+    last = F.floor((F.col("_i") + reach) / block).cast("long")
+    return df.withColumn("_block", F.explode(F.sequence(own, last))).withColumn("_halo", F.col("_block") > own)
 
 
 def month_end_snapshot(daily: DataFrame, key: str = "stock_id", date: str = "date") -> DataFrame:
