@@ -253,3 +253,40 @@ def test_sketches_lose_far_fewer_similar_pairs_than_bands():
     for most in (neardup.MOST_PAIR, neardup.MOST_HUB):
         lost = sum(comb(neardup.K, k) * p**k * (1 - p) ** (neardup.K - k) for k in range(most + 1, neardup.K + 1))
         assert lost < bands / 100
+
+
+def test_runs_within_a_span_equal_brute_force():
+    rng = random.Random(21)
+    for _ in range(400):
+        n, k = rng.randrange(0, 40), rng.randrange(1, 6)
+        places = sorted(rng.sample(range(80), n))
+        which, times = [rng.randrange(k) for _ in places], [rng.randrange(1, 4) for _ in range(k)]
+        width, enough = rng.randrange(1, 50), rng.randrange(1, 12)
+        best = max((sum(min(times[j], sum(1 for p, w in zip(places, which) if w == j and s <= p < s + width)) for j in range(k)) for s in range(80)), default=0)
+        assert decontam.most_within(np.array(places, np.int64), np.array(which, np.int64), np.array(times), width, enough) == (best >= enough)
+
+
+def test_few_texts_of_common_words_are_aligned_and_none_is_lost(spark):
+    """400 texts and 50 items over 60 common words: nearly all pairs share runs, few hold enough of them close together."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    tests = [rng.choices(common, k=rng.randrange(20, 50)) for _ in range(50)]
+    texts = [rng.choices(common, k=200) for _ in range(396)] + [[*rng.choices(common, k=80), *tests[i], *rng.choices(common, k=80)] for i in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(tests)], "item_id long, text string")
+    own = decontam.items(bench).cache()
+    pairs = decontam.candidates(decontam.suspects(docs, decontam.seeds(docs, own).select("gram")), decontam.seeds(docs, own))
+    runs = {r.key: r for r in own.collect()}
+    nodes = {r.node: np.array(r.words).view(np.uint64) for r in decontam.worded(docs, pairs.select("node")).collect()}
+    aligned = 0
+    for r in pairs.collect():
+        h = nodes[r.node]
+        g, _ = decontam.shingles(h, np.array([0, len(h)]), decontam.WIDTH, whole=False)
+        item = runs[r.key]
+        aligned += decontam.close(g, np.array(item.grams).view(np.uint64), item.width, item.need)
+    assert 4 <= aligned <= 600
+    read = {}
+    x, q = ([np.array([read.setdefault(w, len(read)) for w in t]) for t in group] for group in (texts, tests))
+    want = {(i, j, s) for i, a in enumerate(x) for j, b in enumerate(q) if (s := decontam.align(a, b)) >= min(25, 0.4 * len(b))}
+    assert {(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, bench).collect()} == want
+    print("looked at", pairs.count(), "aligned", aligned, "found", len(want))
