@@ -24,18 +24,78 @@ def _stats_join(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame
     return df.join(renamed, _same(by), "left").drop(*[f"_{k}" for k in by])
 
 
-def winsorize_by(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("ym",), low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> DataFrame:
-    """Clip to the quantiles of the non-missing values of each group.
+#: Distances in rank, as shares of a group, at which a sketch offers bounds of a tail; the last takes the whole group.
+_MARGINS = (0.001, 0.004, 0.016, 0.064, 0.256, 1.0)
+
+
+def tail_quantiles(df: DataFrame, columns: Sequence[str], by: Sequence[str], low: float, high: float, accuracy: int = 4000) -> DataFrame:
+    """by and, for each column c, ``_q_c``: its exact, linearly interpolated quantiles at ``low`` and ``high`` (up to and from the median).
 
-    Exact, linearly interpolated quantiles keep a map of values per group; with ``accuracy``
-    mergeable sketches of bounded size take their place.
+    No map of a group's values is kept. One pass makes a count and a sketch of each group and
+    column; the sketch gives a bound that the quantile's two neighbours can't lie beyond, since its
+    ranks err by 1 / accuracy at most. A second pass takes only the values in these tails,
+    all columns at once, counts equal ones within tasks first, and adds the counts up to the rank that is asked for. A
+    tail that turned out too short would be taken anew from the whole group. ``df`` is read
+    twice, so it should be a written table.
     """
+    levels = [min(1.0, low + m) for m in _MARGINS] + [max(0.0, high - m) for m in _MARGINS]
+    k = len(_MARGINS)
+    values = [F.col(c).cast("double") for c in columns]
+    sketch = df.groupBy(*by).agg(F.array(*[F.struct(F.count(v).alias("n"), F.percentile_approx(v, levels, accuracy).alias("at")) for v in values]).alias("_sketch"))
+
+    def bound(s: Column, first: int) -> Column:
+        """The tightest bound whose margin covers the sketch's error and both neighbours."""
+        out = F.get(s["at"], F.lit(first + k - 1))
+        for j in reversed(range(k - 1)):
+            out = F.when((_MARGINS[j] - 2.0 / accuracy) * s["n"] >= 3, F.get(s["at"], F.lit(first + j))).otherwise(out)
+        return out
+
+    bounds = sketch.select(*[F.col(c).alias(f"_{c}") for c in by], F.transform("_sketch", lambda s: F.struct(s["n"].alias("n"), bound(s, 0).alias("low"), bound(s, k).alias("high"))).alias("_b"))
+    bounds = materialize(bounds, "bounds")
+
+    def picked(bounds: DataFrame) -> DataFrame:
+        """by, c (place of the column), side, v (the quantile; null where a tail is too short) from the rows within the bounds."""
+        rows = df.select(*by, F.array(*values).alias("_v")).join(bounds, _same(by, nulls=True)).drop(*[f"_{c}" for c in by])
+        tails = F.flatten(F.transform(F.arrays_zip("_v", "_b"), lambda x, i: F.array(*[F.struct(i.alias("c"), F.lit(side).alias("side"), F.when(x["_v"] <= x["_b"]["low"] if side == 0 else x["_v"] >= x["_b"]["high"], x["_v"]).alias("v"), x["_b"]["n"].alias("n")) for side in (0, 1)])))
+        cells = rows.select(*by, F.explode(F.filter(tails, lambda t: t["v"].isNotNull())).alias("t")).groupBy(*by, "t.c", "t.side", "t.v").agg(F.count("*").alias("m"), F.first("t.n").alias("n"))
+        # ranks count from the outer end of each tail; the upper one is turned round
+        cell = W.partitionBy(*by, "c", "side").orderBy(F.when(F.col("side") == 0, F.col("v")).otherwise(-F.col("v")))
+        upto = cells.withColumn("upto", F.sum("m").over(cell.rowsBetween(W.unboundedPreceding, 0)))
+        place = F.when(F.col("side") == 0, F.lit(low)).otherwise(F.lit(1 - high)) * (F.col("n") - 1)
+        upto = upto.withColumn("place", F.round(place, 9))
+        near = F.floor("place").cast("long")
+
+        def at(rank: Column) -> Column:
+            first = F.when(F.col("upto") >= rank, F.col("v"))
+            return F.when(F.max("side") == 0, F.min(first)).otherwise(F.max(first))
+
+        found = upto.groupBy(*by, "c", "side").agg(at(near + 1).alias("a"), at(F.least(near + 2, F.col("n"))).alias("b"), F.first("place").alias("place"))
+        part = F.col("place") - F.floor("place")
+        return found.select(*by, "c", "side", (F.col("a") + part * (F.col("b") - F.col("a"))).alias("v"))
+
+    found = materialize(picked(bounds), "quantiles")
+    done = found.filter("v is not null").groupBy(*[F.col(c).alias(f"_h{c}") for c in by]).agg(F.count("*").alias("_done"))
+    same = [F.col(f"_{c}").eqNullSafe(F.col(f"_h{c}")) for c in by]
+    due = 2 * F.size(F.filter("_b", lambda b: b["n"] > 0))
+    again = bounds.join(done, same, "left").filter(F.coalesce("_done", F.lit(0)) < due).select(*bounds.columns)
+    if not again.isEmpty():
+        whole = again.withColumn("_b", F.transform("_b", lambda b: F.struct(b["n"].alias("n"), F.lit(float("inf")).alias("low"), F.lit(float("-inf")).alias("high"))))
+        found = found.filter("v is not null").unionByName(materialize(picked(whole), "quantiles")).groupBy(*by, "c", "side").agg(F.first("v").alias("v"))
+    q = [F.array(*[F.max(F.when((F.col("c") == i) & (F.col("side") == side), F.col("v"))) for side in (0, 1)]).alias(f"_q_{c}") for i, c in enumerate(columns)]
+    return found.groupBy(*by).agg(*q)
 
-    def q(c: str) -> Column:
-        levels = F.array(F.lit(low), F.lit(high))
-        return F.percentile(c, levels) if accuracy is None else F.percentile_approx(c, levels, accuracy)
 
-    bounds = df.groupBy(*by).agg(*[q(c).alias(f"_q_{c}") for c in columns])
+def winsorize_by(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("ym",), low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> DataFrame:
+    """Clip to the quantiles of the non-missing values of each group.
+
+    Quantiles are exact and linearly interpolated, by ``tail_quantiles``, and ``df`` is written
+    once for its passes; with ``accuracy`` mergeable sketches of bounded size give them in one pass.
+    """
+    if accuracy is None:
+        df = materialize(df, "unclipped")
+        bounds = tail_quantiles(df, columns, by, low, high)
+    else:
+        bounds = df.groupBy(*by).agg(*[F.percentile_approx(c, F.array(F.lit(low), F.lit(high)), accuracy).alias(f"_q_{c}") for c in columns])
     clip = {c: F.when(F.col(c).isNotNull(), F.greatest(F.get(f"_q_{c}", F.lit(0)), F.least(F.get(f"_q_{c}", F.lit(1)), F.col(c)))) for c in columns}
     return _stats_join(df, bounds, by).withColumns(clip).drop(*[f"_q_{c}" for c in columns])
 
