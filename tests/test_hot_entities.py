@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import pit, rolling
+from tidemark.sources import tables
 
 START = datetime.date(2001, 1, 1)
 
@@ -85,3 +86,63 @@ def test_numbers_are_places_by_day(spark):
     for key in ("a", "b", None):
         own = sorted((r.date, r._i) for r in got if r.stock_id == key)
         assert [i for _, i in own] == list(range(len(own)))
+
+
+def test_runs_over_parts_equal_one_run(spark, market):
+    """Facts and days arrive in three parts; each run reads its own part and the state of before."""
+    left, one, two = market
+    sources = [pit.Source(one, "known", ("known", "fact"), "tie"), pit.Source(two, "since", ("since", "other"))]
+    left = left.filter("date is not null")
+    cuts = [START + datetime.timedelta(days=k) for k in (0, 800, 801, 9999)]
+    parts, state = [], None
+    for a, b in zip(cuts, cuts[1:]):
+        own = [pit.Source(s.df.filter((F.col(s.avail) >= F.lit(a)) & (F.col(s.avail) < F.lit(b))), s.avail, s.columns, s.tie) for s in sources]
+        panel, state = pit.advance_panel(left.filter((F.col("date") >= F.lit(a)) & (F.col("date") < F.lit(b))), own, state)
+        state = spark.createDataFrame(state.collect(), state.schema)
+        parts.append(panel)
+    got = parts[0].union(parts[1]).union(parts[2])
+    key = ["stock_id", "date", "v"]
+    assert got.orderBy(*key).collect() == pit.asof_join_all(left, sources).orderBy(*key).collect()
+    assert state.count() == one.union(two.selectExpr("stock_id", "since", "other", "null")).filter("stock_id is not null and known is not null").select("stock_id").distinct().count()
+
+
+def test_a_late_fact_counts_only_if_it_is_the_later_one(spark):
+    left = spark.createDataFrame([("a", START + datetime.timedelta(days=50), 1.0)], "stock_id string, date date, v double")
+    facts = spark.createDataFrame([("a", START + datetime.timedelta(days=k), float(k)) for k in (10, 20)], "stock_id string, known date, fact double")
+    source = [pit.Source(facts.filter("fact = 20"), "known", ("known", "fact"))]
+    _, state = pit.advance_panel(left.limit(0), source)
+    late = [pit.Source(facts.filter("fact = 10"), "known", ("known", "fact"))]
+    panel, state = pit.advance_panel(left, late, state)
+    assert panel.first().fact == 20.0 and state.count() == 1
+
+
+def test_a_table_in_buckets_needs_no_shuffle(spark, tmp_path):
+    rows = [(f"e{i % 7}", START + datetime.timedelta(days=i), 0.1 * i, 1.0 * i, 2.0 * i) for i in range(400)]
+    df = spark.createDataFrame(rows, "stock_id string, date date, ret double, amount double, close double")
+    read = tables.write_bucketed(df, "bucketed_test", str(tmp_path / "b"), buckets=4)
+    out = rolling.add_rolling(read)
+    snap = rolling.month_end_snapshot(out)
+    assert "Exchange" not in snap._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in rolling.add_rolling(df)._jdf.queryExecution().executedPlan().toString()
+    cols = ["stock_id", "date", "vol_21", "hi_252"]
+    for a, b in zip(out.select(*cols).orderBy("stock_id", "date").collect(), rolling.add_rolling(df).select(*cols).orderBy("stock_id", "date").collect(), strict=True):
+        assert tuple(a)[:2] == tuple(b)[:2] and tuple(a)[2:] == pytest.approx(tuple(b)[2:], nan_ok=True)
+    assert len(list((tmp_path / "b").glob("*.parquet"))) <= 4
+    spark.sql("drop table bucketed_test")
+
+
+def test_a_year_is_many_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(f"e{i}", START, float(i)) for i in range(200)], "stock_id string, date date, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or such small tasks are joined
+    tables.write_by_year(df, str(tmp_path / "y"), tasks=8)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 < len(list((tmp_path / "y" / "year=2001").glob("*.parquet"))) <= 8
+    tables.write_by_year(df.drop("stock_id"), str(tmp_path / "z"), rows_per_file=10)
+    assert len(list((tmp_path / "z" / "year=2001").glob("*.parquet"))) >= 20
+
+
+def test_first_value_of_an_item_by_sequence(spark):
+    rows = [("a", datetime.date(2020, 3, 31), "EPS", v, n) for v, n in ((None, 1), (5.0, 2), (3.0, 3))]
+    df = spark.createDataFrame(rows, "stock_id string, date date, type string, value double, n int")
+    assert pit.statement_to_wide(df, "f", ["EPS"], seq="n").first().f_EPS == 5.0
+    assert pit.statement_to_wide(df, "f", ["EPS"]).first().f_EPS == 3.0

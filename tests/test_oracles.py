@@ -41,5 +41,5 @@ def test_query(spark, duck, name):
 
 
 def test_rows_only(spark):
-    for name in ("composite", "score_ridge", "deflated_sharpe"):
+    for name in ("composite", "score_ridge"):
         assert registry.queries()[name](spark, SF).count() > 0

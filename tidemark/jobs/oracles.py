@@ -322,10 +322,14 @@ ORACLES = {
     "panel_holdings": _with("panel", f"SELECT stock_id, date, {_r('foreign_ratio', 4)} FROM panel"),
     "top_factors": _with("snap", f"SELECT es.factor, {_r('ic_mean_train icir_train t_train icir_test t_test', 5)}, " + ", ".join(f"rnd((SELECT icir_{p} FROM eg WHERE eg.factor = es.factor AND eg.\"group\" = '{g}'), 5) + 0.0::double AS \"icir_{p}_{g}\"" for g in _TOPG for p in ("train", "test")) + " FROM es ORDER BY abs(es.icir_train) DESC NULLS LAST, es.factor LIMIT 10",
         **_library(factors.CLASSIC, "snap"), w=_clip("fl", [*_CLASSIC_NAMES, "fwd_ret_1m"], 'stock_id, ym, "group"'), **_split(_cells("w", _CLASSIC_NAMES))),
+    "candidates_report": _with("snap", f"SELECT es.factor, {_r('ic_mean_train icir_train t_train icir_test t_test', 5)}, " + ", ".join(f"rnd((SELECT icir_{p} FROM eg WHERE eg.factor = es.factor AND eg.\"group\" = '{g}'), 5) + 0.0::double AS \"icir_{p}_{g}\"" for g in _TOPG for p in ("train", "test")) + " FROM es ORDER BY abs(es.icir_train) DESC NULLS LAST, es.factor LIMIT 20",
+        **_library(factors.LIBRARY, "snap"), w=_clip("fl", [*_LIB_NAMES, "fwd_ret_1m"], 'stock_id, ym, "group"'), **_split(_cells("w", _LIB_NAMES))),
     "composite_pair": _with("pm", f"SELECT stock_id, ym, {_r('score')} FROM co", z=_CP, **_ROOT),
     "composite_performance": _with("pm", f"SELECT leg, {_r(_PERF_COLS)}, months FROM pf", z=_CP, **_ROOT, **_port("co"), rr=f"SELECT ym, 'long' AS leg, {_legs()} FROM ret", **_perf("rr", '"long"', "leg")),
     "weight_sweep": _with("pm", f'SELECT cost, q, weighting, ym, rnd("long", 6) + 0.0::double AS "long", {_r("benchmark turnover")}, nhold FROM rr', sc="SELECT *, mom_1m AS score, CASE weighting WHEN 'equal' THEN 1.0::double WHEN 'mom_3m' THEN mom_3m ELSE mom_1m END AS wv FROM (SELECT *, unnest([0.05, 0.1]::double[]) AS q FROM pm), (SELECT unnest(['equal', 'mom_3m', 'score']) AS weighting)",
         **_port("sc", "q, weighting", "q", "wv"), rr="SELECT q, weighting, ym, 0.004::double AS cost, gain - 0.004::double * turnover AS \"long\", benchmark, turnover, nhold FROM ret"),
+    "sweep_periods": _with("pm", f"SELECT q, weighting, period, {_r('vol sharpe max_dd win_rate')}, rnd(ln(1 + cagr), 6) + 0.0::double AS log_growth, months FROM pf", sc="SELECT *, mom_1m AS score, CASE weighting WHEN 'equal' THEN 1.0::double WHEN 'mom_3m' THEN mom_3m ELSE mom_1m END AS wv FROM (SELECT *, unnest([0.05, 0.1, 0.2]::double[]) AS q FROM pm), (SELECT unnest(['equal', 'mom_3m', 'score']) AS weighting)",
+        **_port("sc", "q, weighting", "q", "wv"), rr='SELECT q, weighting, ym, gain - 0.004::double * turnover AS "long" FROM ret', pp=f"{_PART2} FROM rr", **_perf("pp", '"long"', "q, weighting, period")),
     "factor_weights": _with("pm", f"SELECT weighting, {_r(_PERF_COLS)}, months FROM pf", sc="SELECT *, mom_1m AS score, CASE weighting WHEN 'equal' THEN 1.0::double " + " ".join(f"WHEN '{n}' THEN {n}" for n in PARTS) + " END AS wv FROM pm, (SELECT unnest(['equal', " + ", ".join(f"'{n}'" for n in PARTS) + "]) AS weighting)",
         **_port("sc", "weighting", weight="wv"), rr='SELECT weighting, ym, gain - 0.004::double * turnover AS "long" FROM ret', **_perf("rr", '"long"', "weighting")),
     "stump_scores": _with("pm", f"SELECT stock_id, ym, {_r('s_gbt s_neutral', 7)} FROM ss", **_STUMP),
@@ -367,6 +371,7 @@ ORACLES = {
     "factor_survivors": _with("snap", f"SELECT factor, {_r('ic_mean_train icir_train t_train icir_test t_test', 5)} FROM es", **_library(factors.LIBRARY, "snap"), w=_clip("fl", [*_LIB_NAMES, "fwd_ret_1m"], 'stock_id, ym, "group"'), **_split(_cells("w", _LIB_NAMES))),
     "winsorize": _with("pm", f"SELECT stock_id, ym, {_r('mom_1m liq_amt')} FROM w", w=_clip("pm", ["mom_1m", "liq_amt"], "stock_id, ym")),
     "zscore_coverage": _with("pm", f'SELECT stock_id, ym, "group", {_r("mom_1m mom_3m discount")} FROM z', z=_z("pm", ("mom_1m", "mom_3m", "discount"), 0.6)),
+    "zscore_by_month": _with("pm", f"SELECT stock_id, ym, {_r('mom_1m mom_3m discount')} FROM z", z=_z("pm", ("mom_1m", "mom_3m", "discount"), 0.0).replace('PARTITION BY ym, "group"', "PARTITION BY ym")),
     "demean_label": _with("pm", 'SELECT stock_id, ym, rnd(fwd_ret_1m - avg(fwd_ret_1m) OVER (PARTITION BY ym, "group"), 6) + 0.0::double AS y FROM pm'),
     "pct_rank": _with("pm", "SELECT stock_id, ym, rnd((rank() OVER (PARTITION BY ym ORDER BY volume) + (count(*) OVER (PARTITION BY ym, volume) - 1) / 2.0::double) / count(volume) OVER (PARTITION BY ym), 6) AS volume_pct FROM pm"),
     "feature_coverage": _with("pm", " UNION ALL ".join(f"SELECT '{n}' AS feature, rnd(avg(({n} IS NOT NULL)::int), 6) AS coverage FROM pm" for n in PARTS)),
@@ -434,4 +439,6 @@ ORACLES = {
 ORACLES["asof_ranges"] = ORACLES["asof_revenue"]
 ORACLES = {k: _expand(v) for k, v in ORACLES.items()}
 #: Other ways to the same rows.
-ORACLES |= {"asof_panel_spans": ORACLES["asof_panel"], "rolling_blocks": ORACLES["rolling_windows"]}
+ORACLES |= {"asof_panel_spans": ORACLES["asof_panel"], "incremental_panel": ORACLES["asof_panel"], "rolling_blocks": ORACLES["rolling_windows"], "panel_table": ORACLES["rolling_windows"], "landing_keyed": ORACLES["landing_merge"]}
+_TEXT = {"f1": "(mom_1m - discount)", "f2": "(neg(mom_1m) / abs(liq_amt))", "f3": "log((volume * 2))", "f4": "(sqrt(mom_3m) + liq_amt)"}
+ORACLES["formula_report"] = "SELECT name, CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEXT.items()) + f" END AS formula, fitness FROM ({ORACLES['formula_fitness']})"

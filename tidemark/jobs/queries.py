@@ -88,13 +88,25 @@ def ic_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def landing_merge(spark: SparkSession, d: str) -> DataFrame:
-    """The universe written as landing files by market, read back with the key from the file's folder."""
+    """The universe written as landing files and merged."""
     path = new_path(spark, "landing")
     u = universe.build_universe(market.info(spark, d), market.GROUP_RULES, pattern=market.LISTED)
     u.repartition(4, "stock_id").write.parquet(path)
     return tables.merge_landing(spark, path, "stock_id string, stock_name string, industry_category string, `group` string, type string")
 
 
+def landing_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """A landing file per group of the universe, named after it; the group is read from the files' names."""
+    path = new_path(spark, "landing")
+    universe.build_universe(market.info(spark, d), market.GROUP_RULES, pattern=market.LISTED).repartition("group").write.partitionBy("group").parquet(f"{path}/parts")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for at in files.globStatus(folder(f"{path}/parts/group=*/*.parquet")):  # a file per group
+        name = at.getPath().getParent().getName().removeprefix("group=")
+        files.rename(at.getPath(), folder(f"{path}/{name}.parquet"))
+    return tables.merge_landing(spark, f"{path}/*.parquet", "stock_id string, stock_name string, industry_category string, type string", "group")
+
+
 def pending_keys(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers without any line shipped on an early day."""
     early = market.lines(spark, d).filter(F.col("date") < F.lit("1995-01-10").cast("date"))
@@ -193,6 +205,20 @@ def asof_panel_spans(spark: SparkSession, d: str) -> DataFrame:
     return _round(pit.build_panel(_base(spark, d), _sources(spark, d), span="year").select("stock_id", "date", *cols), 4)
 
 
+def incremental_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel in two runs: the second reads new days, new facts and the state that the first left."""
+    cut = F.lit(TRAIN_END).cast("date")
+    base, sources = materialize(_base(spark, d), "base"), _sources(spark, d)
+    parts, state = [], None
+    for late in (False, True):
+        own = [pit.Source(s.df.filter((F.col(s.avail) > cut) == late), s.avail, s.columns, s.tie) for s in sources]
+        panel, state = pit.advance_panel(base.filter((F.col("date") > cut) == late), own, state)
+        state = materialize(state, "state")
+        parts.append(panel)
+    cols = ("close", "ret", "month_revenue", "f_Revenue", "f_EPS", "f_avail", "b_TotalAssets", "b_CapitalStock", "c_CashFlowsFromOperatingActivities", "inst_foreign_net", "lending_vol", "margin_balance", "per", "div_yield")
+    return _round(parts[0].unionByName(parts[1]).select("stock_id", "date", *cols), 4)
+
+
 def panel_holdings(spark: SparkSession, d: str) -> DataFrame:
     """The holding ratio at its place in the panel, as known on each day."""
     return _round(_panel(spark, d).select("stock_id", "date", "foreign_ratio"), 4)
@@ -210,6 +236,13 @@ def rolling_windows(spark: SparkSession, d: str) -> DataFrame:
     return _round(rolling.add_rolling(_base(spark, d)).select("stock_id", "date", "vol_21", "vol_63", "vol_126", "amt_21", "hi_252"))
 
 
+def panel_table(spark: SparkSession, d: str) -> DataFrame:
+    """The price base written in buckets of entities; rolling windows over what is read need no shuffle."""
+    path = new_path(spark, "panel")
+    base = tables.write_bucketed(_base(spark, d), f"panel_{path.split('-')[-1].split('/')[0]}", path, buckets=8)
+    return _round(rolling.add_rolling(base).select("stock_id", "date", "vol_21", "vol_63", "vol_126", "amt_21", "hi_252"))
+
+
 def rolling_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Rolling windows with each entity's rows dealt in blocks, and the rows that windows reach back to copied."""
     base = materialize(_base(spark, d).select("stock_id", "date", "ret", "amount", "close"), "base")
@@ -255,6 +288,12 @@ def zscore_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _round(xsection.zscore_within(_parts(spark, d), ["mom_1m", "mom_3m", "discount"], least_share=0.6).select("stock_id", "ym", "group", "mom_1m", "mom_3m", "discount"))
 
 
+def zscore_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Scores against the whole month, with no share of values asked for."""
+    cols = ("mom_1m", "mom_3m", "discount")
+    return _round(xsection.zscore_within(_parts(spark, d), cols, by=("ym",)).select("stock_id", "ym", *cols))
+
+
 def demean_label(spark: SparkSession, d: str) -> DataFrame:
     return _round(xsection.demean_within(_parts(spark, d), "fwd_ret_1m", "y").select("stock_id", "ym", "y"))
 
@@ -301,6 +340,15 @@ def top_factors(spark: SparkSession, d: str) -> DataFrame:
     return _round(ic.top_factors(ic.eval_split(cells, TRAIN_END), ic.eval_split_groups(cells, TRAIN_END), REGIONS, 10), 5)
 
 
+def candidates_report(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty best of the library's factors with each region's ratios, written as CSV and read back."""
+    names = [f.name for f in factors.LIBRARY]
+    cells = materialize(ic.ic_by_cell(xsection.winsorize_by(factors.add_factors(_snapshot(spark, d)).select("stock_id", "ym", "group", "fwd_ret_1m", *names), [*names, "fwd_ret_1m"]), names), "cells")
+    report, path = _round(ic.top_factors(ic.eval_split(cells, TRAIN_END), ic.eval_split_groups(cells, TRAIN_END), REGIONS, 20), 5), new_path(spark, "report")
+    tables.write_report(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
 def _normal(spark: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
     return xsection.zscore_within(_parts(spark, d).filter("fwd_ret_1m is not null"), names, least_share=0.6)
 
@@ -366,6 +414,13 @@ def factor_weights(spark: SparkSession, d: str) -> DataFrame:
     return _round(perf.perf(out, "long", ("weighting",)))
 
 
+def sweep_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Performance of every concentration and weighting in the training part, in the test part, and over all months."""
+    out = portfolio.weight_sweep(_scored(spark, d), [0.05, 0.1, 0.2], ["equal", "mom_3m", "score"])
+    good = perf.perf(perf.with_periods(out, TRAIN_END), "long", ("q", "weighting", "period"))
+    return _round(_logged(good))
+
+
 def strategy_returns(spark: SparkSession, d: str) -> DataFrame:
     return _round(portfolio.strategy_returns(_parts(spark, d), PART_FACTORS))
 
@@ -637,6 +692,12 @@ def formula_fitness(spark: SparkSession, d: str) -> DataFrame:
     return _round(formula.formula_fitness(_parts(spark, d), FORMULAS))
 
 
+def formula_report(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas as text, with their fitness."""
+    text = F.create_map(*[F.lit(x) for name, tree in FORMULAS.items() for x in (name, formula.render(tree))])
+    return formula_fitness(spark, d).select("name", text[F.col("name")].alias("formula"), "fitness")
+
+
 def formula_split(spark: SparkSession, d: str) -> DataFrame:
     return _round(formula.formula_split_eval(_parts(spark, d), FORMULAS, TRAIN_END))
 

@@ -31,16 +31,21 @@ def statement_deadline(period_end: Column) -> Column:
     )
 
 
-def statement_to_wide(long: DataFrame, prefix: str, items: Sequence[str], drop_shares: bool = False, avail: str = "avail") -> DataFrame:
+def statement_to_wide(long: DataFrame, prefix: str, items: Sequence[str], drop_shares: bool = False, avail: str = "avail", seq: str | None = None) -> DataFrame:
     """One row per entity and period with a column per item: ``prefix_item``, ``prefix_period_end``, ``prefix_avail``.
 
     Types ``-`` are dropped, with ``drop_shares`` those ending in ``_per`` too. Of several
-    non-null values of an item the smallest counts. Only the named items are aggregated.
+    non-null values of an item the first by ``seq`` counts, without one the smallest. Only the named items are aggregated.
     """
+
+    def value(item: str) -> Column:
+        own = F.when(F.col("type") == item, F.col("value"))
+        return F.min(own) if seq is None else F.min_by(own, F.when(own.isNotNull(), F.col(seq)))
+
     rows = long.filter((F.col("type") != "-") & F.col("type").isin(*items))
     if drop_shares:
         rows = rows.filter(~F.col("type").endswith("_per"))
-    wide = rows.groupBy("stock_id", F.col("date").alias(f"{prefix}_period_end")).agg(*[F.min(F.when(F.col("type") == i, F.col("value"))).alias(f"{prefix}_{i}") for i in items])
+    wide = rows.groupBy("stock_id", F.col("date").alias(f"{prefix}_period_end")).agg(*[value(i).alias(f"{prefix}_{i}") for i in items])
     return wide.withColumn(f"{prefix}_{avail}", statement_deadline(F.col(f"{prefix}_period_end")))
 
 
@@ -127,12 +132,15 @@ def asof_join_all(left: DataFrame, sources: Sequence[Source], by: str = "stock_i
     return _told(_tagged(left, sources, by, on).withColumns(last).filter("_side = 1"), sources)
 
 
+def _order() -> Column:
+    """What ``max_by`` finds the last fact of a source by; where it is null (rows of others) it passes over a row."""
+    return F.struct("_at", F.col("_tie").isNotNull().alias("known"), F.coalesce("_tie", F.lit("")).alias("tie"))
+
+
 def _asof_spans(rows: DataFrame, sources: Sequence[Source], span: str) -> DataFrame:
     rows = materialize(rows.withColumn("_span", F.date_trunc(span, "_at").cast("date")), "facts")
     names = [f"_s{i}" for i in range(len(sources))]
-    # the last row by (day, tie) of each source; max_by passes over rows whose order is null, which are other sources' and the left's
-    order = F.struct("_at", F.col("_tie").isNotNull().alias("known"), F.coalesce("_tie", F.lit("")).alias("tie"))
-    ends = rows.filter("_by is not null and _span is not null").groupBy("_by", "_span").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in names])
+    ends = rows.filter("_by is not null and _span is not null").groupBy("_by", "_span").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), _order())).alias(c) for c in names])
     earlier = W.partitionBy("_by").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(F.col("_by").alias("_c"), F.col("_span").alias("_cs"), *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c{c}") for c in names])
     past = W.partitionBy("_by", "_span").orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
@@ -141,6 +149,28 @@ def _asof_spans(rows: DataFrame, sources: Sequence[Source], span: str) -> DataFr
     return _told(met.withColumns({c: F.coalesce(F.col(c), F.col(f"_c{c}")) for c in names}), sources)
 
 
+def advance_panel(left: DataFrame, sources: Sequence[Source], state: DataFrame | None = None, by: str = "stock_id", on: str = "date") -> tuple[DataFrame, DataFrame]:
+    """New days aligned from the facts that came with them and the last facts of before; and the last facts now.
+
+    ``state`` is what the call before returned (write it): a row per entity with each source's last
+    fact, its day and tie. So a call reads the new rows and that table, no older ones, and calls over consecutive
+    parts give the rows of one call over all. A fact that arrives late counts from the next call on, if it is
+    later than the one that is known. Both results come from one written table.
+    """
+    new = _tagged(left, sources, by, on)
+    if state is not None:
+        for i in range(len(sources)):
+            known = state.filter(f"_s{i} is not null").select("_by", F.col(f"_s{i}.at").alias("_at"), F.col(f"_s{i}.tie").alias("_tie"), F.col(f"_s{i}.fact").alias(f"_s{i}"), F.lit(0).alias("_side"))
+            new = new.unionByName(known, allowMissingColumns=True)
+    rows = materialize(new, "facts")
+    names = [f"_s{i}" for i in range(len(sources))]
+    past = W.partitionBy("_by").orderBy("_at", "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    panel = _told(rows.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in names}).filter("_side = 1"), sources)
+    facts = rows.filter("_side = 0 and _by is not null")
+    last = [F.max_by(F.struct(F.col(c).alias("fact"), F.col("_at").alias("at"), F.col("_tie").alias("tie")), F.when(F.col(c).isNotNull(), _order())).alias(c) for c in names]
+    return panel, facts.groupBy("_by").agg(*last)
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, columns: Sequence[str], tie: str | None = None, span: str | None = None) -> DataFrame:
     return asof_join_all(left, [Source(right, right_on, tuple(columns), tie)], by, left_on, span)
 

@@ -65,9 +65,21 @@ def pending_keys(universe: DataFrame, landed: DataFrame, key: str, limit: int |
     return left if limit is None else left.orderBy(key).limit(limit)
 
 
-def write_by_year(df: DataFrame, path: str, date: str = "date") -> None:
-    """Parquet partitioned by the year of ``date``, rows of a year together."""
-    df.withColumn("year", F.year(date)).repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+def write_by_year(df: DataFrame, path: str, date: str = "date", key: str = "stock_id", tasks: int = 16, rows_per_file: int = 5_000_000) -> None:
+    """Parquet partitioned by the year of ``date``; a year is ``tasks`` tasks, dealt by ``key`` (by the whole row if there is none), its files bounded."""
+    by = [key] if key in df.columns else df.columns
+    dealt = df.withColumn("year", F.year(date)).repartition("year", F.pmod(F.xxhash64(*by), F.lit(tasks)))
+    dealt.sortWithinPartitions("year", *by[:1], date).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("year").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "stock_id", order: str = "date", buckets: int = 64) -> DataFrame:
+    """The table written in buckets of ``key``, each one file sorted by ``key`` and ``order``, and read back.
+
+    Rows are dealt by the buckets' own hash, so a task writes one file. Windows and joins by
+    ``key`` over what is read shuffle no more. Buckets are to be as many as keep a file to about a GB.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key, order).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def write_report(df: DataFrame, path: str) -> None:
