@@ -2,8 +2,10 @@
 
 Two tables make an archive: ``payloads`` holds the bytes of each distinct payload once, under
 its SHA-256, and ``headers`` holds the exact head of every record (WARC and HTTP header lines)
-with the digest of its payload. Joining the two gives back the records, byte for byte; the
-digests are computed anew on reading and a mismatch stops the job.
+with the digest of its payload. Joining the two gives back the records, byte for byte. Payloads
+are packed by zstandard before they are shuffled or written, and unpacked after the join only: each record is
+rebuilt from its head and payload, both digests and the stated length are checked on it, and a
+mismatch stops the job.
 
 Of records with equal payloads of at least ``min_bytes``, that with the largest id is a
 response and the others are revisits that refer to it. Rows that repeat the largest id are
@@ -14,15 +16,20 @@ percent-coded in URLs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import materialize
 
 MIN_BYTES = 1000
+#: Level of packing, and unpacked bytes of a batch that is handed on.
+LEVEL, PIECE = 3, 1 << 24
 CRLF = "\r\n"
 HEADERS = "page_id long, sha256 string, record_type string, head string"
 
@@ -71,15 +78,41 @@ def records(pages: DataFrame, min_bytes: int = MIN_BYTES, date: str = "1970-01-0
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """sha256 and payload (bytes), one row per distinct payload; copies meet within tasks first."""
+    """sha256 and payload (packed bytes), one row per distinct payload; copies meet within tasks first."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.select(body.alias("payload")).withColumn("sha256", F.sha2("payload", 256)).groupBy("sha256").agg(F.first("payload").alias("payload"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            packed = [packer.compress(x.as_buffer()) for x in batch.column("payload")]
+            yield pa.RecordBatch.from_arrays([batch.column("sha256"), pa.array(packed, pa.binary())], names=["sha256", "payload"])
+
+    return pages.select(F.sha2(body, 256).alias("sha256"), body.alias("payload")).mapInArrow(pack, "sha256 string, payload binary").groupBy("sha256").agg(F.first("payload").alias("payload"))
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """Write the two tables below ``path``."""
-    records(pages, min_bytes).write.parquet(f"{path}/headers")
-    payloads(pages).write.parquet(f"{path}/payloads")
+    records(pages, min_bytes).write.option("compression", "zstd").parquet(f"{path}/headers")
+    payloads(pages).write.option("compression", "none").parquet(f"{path}/payloads")
+
+
+def rebuilt(head: str, record_type: str, sha256: str, packed: bytes | None) -> tuple[bytes, str]:
+    """A record's payload and its SHA-1, if head and payload agree in both digests and in length.
+
+    The stated length is that of the HTTP head, which follows the first empty line, and of a response's payload.
+    """
+    bad = ValueError(f"payload does not match its record {sha256}")
+    try:
+        payload = zstandard.ZstdDecompressor().decompress(packed, allow_extra_data=False)
+    except (zstandard.ZstdError, TypeError) as e:
+        raise bad from e
+    sha1 = hashlib.sha1(payload).hexdigest()
+    warc, _, http = head.partition(CRLF * 2)
+    record = http.encode() + (payload if record_type == "response" else b"")
+    stated = {line.partition(": ")[0]: line.partition(": ")[2] for line in warc.split(CRLF)}
+    if hashlib.sha256(payload).hexdigest() != sha256 or stated.get("WARC-Payload-Digest") != f"sha1:{sha1}" or stated.get("Content-Length") != str(len(record)):
+        raise bad
+    return payload, sha1
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -87,20 +120,36 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     payload_bytes, payload_digest.
 
     Both sides of the join are plain scans, so a payload that many records share is split
-    among tasks at run time.
+    among tasks at run time; it is unpacked once for neighbouring records.
     """
     head = spark.read.schema(HEADERS).parquet(f"{path}/headers")
     body = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    # digests are made next to the bytes, so a reader that needs no payload shuffles none
-    body = body.select(F.col("sha256").alias("_sha"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("_sha1"), (F.sha2("payload", 256) == F.col("sha256")).alias("_sound"))
-    df = head.join(body, F.col("sha256") == F.col("_sha"), "left")
-    bad = F.raise_error(F.concat(F.lit("payload does not match its record "), F.col("sha256")))
-    # the stated length: of the HTTP head, which follows the first empty line, and of a response's payload
-    body_bytes = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
-    http_bytes = F.octet_length("head") - F.octet_length(F.substring_index("head", CRLF * 2, 1)) - 4
-    stated = F.regexp_extract("head", "\r\nContent-Length: ([0-9]+)\r\n\r\n", 1).try_cast("long")
-    sound = F.col("_sound") & (stated == http_bytes + body_bytes) & F.col("_sha1").eqNullSafe(field("WARC-Payload-Digest", "sha1:([0-9a-f]+)"))
-    return df.withColumn("payload_digest", F.when(sound, F.col("_sha1")).otherwise(bad.cast("string"))).drop("_sha", "_sha1", "_sound")
+    joined = head.join(body.withColumnRenamed("sha256", "_sha"), F.col("sha256") == F.col("_sha"), "left").drop("_sha")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, known, size = [], None, 0
+            heads, kinds, digests = (batch.column(c).to_pylist() for c in ("head", "record_type", "sha256"))
+            at = 0
+            for i, (h, kind, sha) in enumerate(zip(heads, kinds, digests, strict=True)):
+                key = (kind, sha, h.partition(CRLF * 2)[2], field_of(h, "WARC-Payload-Digest"), field_of(h, "Content-Length"))
+                if known is None or known[0] != key:
+                    known = (key, rebuilt(h, kind, sha, batch.column("payload")[i].as_py()))
+                rows.append(known[1])
+                size += len(known[1][0])
+                if size > PIECE or i + 1 == batch.num_rows:  # what is unpacked may be many times as large
+                    part = batch.slice(at, i + 1 - at)
+                    cells = [pa.array([r[0] for r in rows], pa.binary()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())]
+                    yield pa.RecordBatch.from_arrays([part.column(c) for c in ("page_id", "sha256", "record_type", "head")] + cells, names=["page_id", "sha256", "record_type", "head", "payload", "payload_bytes", "payload_digest"])
+                    at, rows, size = i + 1, [], 0
+
+    return joined.mapInArrow(run, f"{HEADERS}, payload binary, payload_bytes long, payload_digest string")
+
+
+def field_of(head: str, name: str) -> str | None:
+    """A WARC header field's value out of a record's head."""
+    at = head.find(f"{CRLF}{name}: ")
+    return None if at < 0 else head[at + len(name) + 4 : head.find(CRLF, at + 2)]
 
 
 def field(name: str, pattern: str) -> Column:
@@ -110,7 +159,7 @@ def field(name: str, pattern: str) -> Column:
 
 
 def described(read: DataFrame) -> DataFrame:
-    """What the heads and payloads read back say of each record."""
+    """What the heads and payloads of rebuilt records say of each."""
     return read.select(
         field("WARC-Record-ID", "<urn:page:(-?[0-9]+)>").cast("long").alias("page_id"),
         "payload_bytes",
