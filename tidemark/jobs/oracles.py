@@ -440,5 +440,6 @@ ORACLES["asof_ranges"] = ORACLES["asof_revenue"]
 ORACLES = {k: _expand(v) for k, v in ORACLES.items()}
 #: Other ways to the same rows.
 ORACLES |= {"asof_panel_spans": ORACLES["asof_panel"], "incremental_panel": ORACLES["asof_panel"], "rolling_blocks": ORACLES["rolling_windows"], "panel_table": ORACLES["rolling_windows"], "landing_keyed": ORACLES["landing_merge"]}
+ORACLES |= {"profile_overview": ORACLES["table_overview"], "profile_coverage": ORACLES["coverage_report"], "profile_gaps": ORACLES["calendar_gaps"]}
 _TEXT = {"f1": "(mom_1m - discount)", "f2": "(neg(mom_1m) / abs(liq_amt))", "f3": "log((volume * 2))", "f4": "(sqrt(mom_3m) + liq_amt)"}
 ORACLES["formula_report"] = "SELECT name, CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEXT.items()) + f" END AS formula, fitness FROM ({ORACLES['formula_fitness']})"

@@ -640,6 +640,25 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.coverage_report(market.prices(spark, d))
 
 
+def _profiled(df: DataFrame) -> quality.Profile:
+    """The profile of days up to a cut, written, with that of later days merged into it."""
+    late = F.coalesce(F.col("date") > F.lit(TRAIN_END).cast("date"), F.lit(False))
+    return quality.profile(df.filter(~late)).written().merge(quality.profile(df.filter(late)))
+
+
+def profile_overview(spark: SparkSession, d: str) -> DataFrame:
+    """The overview of a table that grew, from two profiles."""
+    return _profiled(market.lines(spark, d).select("stock_id", "date", "l_quantity", "l_discount")).overview()
+
+
+def profile_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _profiled(market.prices(spark, d)).coverage()
+
+
+def profile_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return _profiled(market.prices(spark, d)).gaps()
+
+
 def price_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return _round(quality.price_anomalies(market.prices(spark, d)))
 
