@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -292,3 +293,45 @@ def test_katz_edges(spark, edge, empty, clashing):
     none = katz.score_texts(edge.withColumn("train", F.lit(False)))[0].collect()
     assert {(r.n_known, r.train_tokens, r.score) for r in none} == {(0, 0, 0.0)}
     assert katz.score_texts(empty.withColumn("train", F.lit(True)))[0].count() == 0
+
+
+def test_severity_equals_a_plain_sum_over_features(spark):
+    """Features by name: lower-case words, and the first 5, 6 and 7 letters of longer ones; each counts once a text."""
+
+    def named(text):
+        found = set()
+        for w in re.findall(r"[a-z0-9]+", text.lower()):
+            found |= {("word", w)} | {("head", w[:k]) for k in toxicity.HEADS if len(w) > k}
+        return found
+
+    rng = random.Random(5)
+    stock = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts = [" ".join(rng.choice([w, w.upper(), w + "!", f"({w})"]) for w in rng.choices(stock, k=rng.randrange(0, 40))) for _ in range(150)]
+    every = sorted(set().union(*map(named, texts)))
+    weight = {f: rng.gauss(0, 1) for f in rng.sample(every, len(every) // 3)}
+
+    def code(kind, name):
+        got = next(toxicity._present(pa.array([name if kind == "word" else name + "qz"])))[2]
+        return got[0] if kind == "word" else got[1 + sum(k < len(name) for k in toxicity.HEADS)]
+
+    pairs = sorted((int(code(*f)), w) for f, w in weight.items())
+    cuts = np.array([-1.0, 0.5, 2.0])
+    model = (np.array([p for p, _ in pairs], np.uint64), np.array([w for _, w in pairs]), cuts)
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    for i, text in enumerate([*texts, "", ""]):
+        score = sum(weight.get(f, 0.0) for f in named(text))
+        p = [1 / (1 + math.exp(c - score)) for c in cuts]
+        assert got[i].p_toxic == pytest.approx(p[0]) and got[i].severity == pytest.approx(sum(p)) and got[i].grade == sum(x >= 0.5 for x in p)
+
+
+def test_grades_are_quantiles_of_tell_tales_among_toxic_texts():
+    rng = np.random.default_rng(7)
+    tell = rng.random(30) < 0.5
+    texts = [rng.choice(30, rng.integers(0, 20), replace=False) for _ in range(200)]
+    toxic = rng.random(200) < 0.4
+    counts = [sum(bool(tell[k]) for k in x) for x in texts]
+    own = sorted(c for c, t in zip(counts, toxic) if t)
+    cuts = sorted({float(np.interp(q * (len(own) - 1), range(len(own)), own)) for q in (1 / 3, 2 / 3)})
+    want = [1 + sum(c > k for k in cuts) if t else 0 for c, t in zip(counts, toxic)]
+    assert toxicity.grades(texts, toxic, tell).tolist() == want and set(want) == {0, 1, 2, 3}

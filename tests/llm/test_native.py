@@ -248,3 +248,10 @@ def test_chat_keeps_maximal_conversations(spark):
 
 def test_prose_is_unlike_the_edges():
     assert brute_counts(PROSE)[0] > 50
+
+
+def test_long_and_odd_turns(spark):
+    long = "very long " * 200_000
+    rows = [("a", 0, "user", long), ("a", 1, "", "x"), ("b", 0, "user", long), ("b", 1, "", "x"), ("b", 2, None, ""), ("c", 0, "", ""), ("d", 0, None, None), ("d", 1, "user", "end")]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert set(got) == {"b", "c", "d"} and got["b"].n_turns == 3 and len(got["b"].text) > len(long)

@@ -290,3 +290,11 @@ def test_few_texts_of_common_words_are_aligned_and_none_is_lost(spark):
     want = {(i, j, s) for i, a in enumerate(x) for j, b in enumerate(q) if (s := decontam.align(a, b)) >= min(25, 0.4 * len(b))}
     assert {(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(docs, bench).collect()} == want
     print("looked at", pairs.count(), "aligned", aligned, "found", len(want))
+
+
+def test_rows_of_one_item_id_are_items_of_their_own(spark):
+    one, two = " ".join(f"one{k}" for k in range(20)), " ".join(f"two{k}" for k in range(30))
+    tests = spark.createDataFrame([(7, one), (7, two), (7, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, one, "en", "s", 0), (2, two, "en", "s", 0), (3, f"{one} {two}", "en", "s", 0)], SCHEMA)
+    got = sorted((r.doc_id, r.item_id, r.n_item_words, r.score) for r in decontam.contaminated(docs, tests).collect())
+    assert got == [(1, 7, 20, 20), (2, 7, 30, 30), (2, 7, 30, 30), (3, 7, 20, 20), (3, 7, 30, 30), (3, 7, 30, 30)]
