@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-#: Shuffle files go when the query that made them has ended; a written table needs them no more.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written. Shuffle files go when the query that made them has ended, since a written table
+#: needs them no more; and a batch that goes to Python holds so many bytes at most, as it lies in memory several times.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,12 +43,14 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """Write ``df`` once and return the written table; what follows never recomputes ``df``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    was = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
