@@ -89,12 +89,12 @@ def operand(name: str) -> Value:
     return frozenset([label]), RESTRICTS[label]
 
 
-def postfix(text: str) -> list[str] | None:
-    """The tokens of the expression that ``text`` begins with in postfix order; None if it is malformed or there is none."""
+def postfix(text: str, at: int = 0, stop: int | None = None) -> list[str] | None:
+    """The tokens in postfix order of the expression that begins ``at`` a place of ``text`` and ends before ``stop``; None if it is malformed or there is none."""
     out: list[str] = []
     stack: list[str] = []
-    wants, at = True, 0  # an operand (or an opening parenthesis) is due
-    while (m := _TOKEN.match(text, at)) is not None:
+    wants, stop = True, len(text) if stop is None else stop  # an operand (or an opening parenthesis) is due
+    while (m := _TOKEN.match(text, at, stop)) is not None:
         token = m[1]
         if token == "(":
             if not wants:
@@ -171,10 +171,13 @@ def scan(text: str) -> tuple:
             base.append((place, label))
     n_tags = malformed = 0
     low = raw.translate(_LOWER).decode("utf-8", "surrogatepass")
+    stop = 0  # the end of the line that the tag is on, sought once for all tags of a line
     for end, _ in tags.iter(low):
         n_tags += 1
-        stop = low.find("\n", end)
-        tokens = postfix(low[end + 1 : stop if stop >= 0 else len(low)])
+        if stop <= end:
+            stop = low.find("\n", end)
+            stop = len(low) if stop < 0 else stop
+        tokens = postfix(low, end + 1, stop)
         got, restricts = evaluate(tokens) if tokens else (frozenset(["unknown"]), RESTRICTS["unknown"])
         malformed += not tokens
         labels |= got
