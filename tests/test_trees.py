@@ -146,3 +146,32 @@ def test_ladder_has_every_model_and_trees_without_size(spark):
     a, b = ({tuple(r[c] for c in key): r for r in x.collect()} for x in (got, again))
     assert {k: r["s_gbt_neutral"] for k, r in a.items()} == {k: r["s_gbt_neutral"] for k, r in b.items()}
     assert any(r["s_gbt"] != b[k]["s_gbt"] for k, r in a.items())
+
+
+def same(one, two):
+    return len(one) == len(two) and all(np.array_equal(getattr(t, c), getattr(u, c)) for t, u in zip(one, two) for c in ("feature", "cut", "value", "gain"))
+
+
+def test_few_combinations_take_one_job_a_tree(spark, monkeypatch):
+    df = table(spark, rows(seed=11))
+    folds, variants = model.walk_forward_folds(df), {"x": FEATURES, "y": FEATURES[:1]}
+    by_level = trees._JOINT
+    monkeypatch.setattr(trees, "_JOINT", 0)
+    want = model.fit_trees(df, FEATURES, folds, variants, 100, whole=0, keep=2, **SMALL)
+    monkeypatch.setattr(trees, "_JOINT", by_level)
+    monkeypatch.setattr(trees, "_grow", None)  # what grows a tree by jobs for its levels
+    got = model.fit_trees(df, FEATURES, folds, variants, 100, whole=0, keep=2, **SMALL)
+    assert len(got.models) == len(want.models) == 4 and all(same(m.trees, k.trees) for m, k in zip(got.models, want.models))
+
+
+@pytest.mark.parametrize("columns, bins", [(0.5, 16), (1.0, 6)])
+def test_smaller_children_and_combinations_give_the_same_trees(monkeypatch, columns, bins):
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 16, (5, 3000)).astype(np.uint8)
+    y, ids = x[0] * (x[1] > 4) - 0.5 * x[2] + rng.normal(size=3000), rng.integers(0, 1 << 60, 3000)
+    s = trees.Settings(trees=5, depth=4, leaf_rows=10, leaves=11, columns=columns, bins=bins, rate=0.3)
+    grown = []
+    for joint in (0, 16**5):
+        monkeypatch.setattr(trees, "_JOINT", joint)
+        grown.append(trees._grow_whole(x % bins, y, ids, 0.0, np.arange(5), 0, bins, 2.0**20, s))
+    assert same(*grown) and any((t.feature >= 0).sum() > 5 for t in grown[0])
