@@ -90,3 +90,13 @@ def test_daily_return_of_zero_and_missing(spark):
     got = [r.ret for r in adjust.daily_return(df).orderBy("date").collect()]
     assert got == [None, -1.0, None, None, None]
     assert np.isfinite([g for g in got if g is not None]).all()
+
+
+def test_sources_of_one_table_pass_as_one_row(spark):
+    left = spark.createDataFrame([("a", day("2020-01-05")), ("a", day("2020-01-09")), ("b", day("2020-01-09"))], "stock_id string, date date")
+    facts = spark.createDataFrame([("a", day("2020-01-01"), 1, 10), ("a", day("2020-01-07"), 2, None), ("b", day("2020-01-02"), None, 30)], "stock_id string, avail date, x int, z int")
+    shared = [pit.Source(facts, "avail", ("x",)), pit.Source(facts, "avail", ("z",), where="z is not null")]
+    assert pit._tagged(left, shared, "stock_id", "date").count() == left.count() + facts.count()
+    for span in (None, "day"):
+        got = {tuple(r) for r in pit.build_panel(left, shared, span).collect()}
+        assert got == {("a", day("2020-01-05"), 1, 10), ("a", day("2020-01-09"), 2, 10), ("b", day("2020-01-09"), None, 30)}

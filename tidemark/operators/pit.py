@@ -91,21 +91,31 @@ def lending_volume(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Source:
-    """Facts of an as-of join: when they are known, what they bring, and what breaks ties of one day."""
+    """Facts of an as-of join: when they are known, what they bring, what breaks ties of one day, and (``where``) which rows are facts at all.
+
+    Sources that name the same table, day and tie pass the join as one row for all of them.
+    """
 
     df: DataFrame
     avail: str
     columns: tuple[str, ...]
     tie: str | None = None
+    where: str | None = None
 
 
 def _tagged(left: DataFrame, sources: Sequence[Source], by: str, on: str) -> DataFrame:
     """Left rows (``_left``, side 1) and the facts of all sources (``_s0``, ``_s1``, ..., side 0) with entity and day."""
     out = left.select(F.struct("*").alias("_left"), F.col(by).alias("_by"), F.col(on).cast("date").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_tie"))
+    shared: dict[tuple, list[int]] = {}
     for i, s in enumerate(sources):
+        shared.setdefault((id(s.df), s.avail, s.tie), []).append(i)
+    for own in shared.values():
+        s = sources[own[0]]
         tie = F.col(s.tie).cast("string") if s.tie else F.lit(None).cast("string")
         right = s.df.filter(F.col(s.avail).isNotNull() & F.col(by).isNotNull())
-        out = out.unionByName(right.select(F.struct(*s.columns).alias(f"_s{i}"), F.col(by).alias("_by"), F.col(s.avail).cast("date").alias("_at"), F.lit(0).alias("_side"), tie.alias("_tie")), allowMissingColumns=True)
+        facts = [(i, F.struct(*sources[i].columns), sources[i].where) for i in own]
+        told = [(fact if where is None else F.when(F.expr(where), fact)).alias(f"_s{i}") for i, fact, where in facts]
+        out = out.unionByName(right.select(*told, F.col(by).alias("_by"), F.col(s.avail).cast("date").alias("_at"), F.lit(0).alias("_side"), tie.alias("_tie")), allowMissingColumns=True)
     return out
 
 

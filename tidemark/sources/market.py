@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.scalars import to_number
+
 #: First match wins; here the keywords are region names.
 GROUP_RULES = (("africa", ("AFRICA",)), ("america", ("AMERICA",)), ("asia", ("ASIA",)), ("europe", ("EUROPE",)))
 #: Ids have four digits, or more from the 10,000th supplier on.
@@ -58,12 +60,51 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("stock_id", "date").agg(F.round(F.sum(EXT), 2).alias("before_price"), F.round(F.sum(F.col(EXT) * (1 - F.col(DISC))), 4).alias("after_price"))
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that prices, events and daily facts need of an entity's day, from one aggregate of the lines; write it, as several tables are projections of it."""
+    unit, event = F.col(EXT) / F.col(QTY), (F.round(DISC, 2) == 0.1) & (F.round(TAX, 2) == 0)
+    signed = F.when(F.col("l_linestatus") == "O", F.col(QTY)).when(F.col("l_linestatus") == "F", -F.col(QTY)).otherwise(0.0)
+
+    def quantity(test: Column) -> Column:
+        return F.sum(F.when(test, F.col(QTY)).otherwise(0))
+
+    return lines(spark, sf_dir).groupBy("stock_id", "date").agg(
+        F.min_by(unit, F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("open"), F.max(unit).alias("max"), F.min(unit).alias("min"), (F.round(F.sum(EXT), 2) / F.sum(QTY)).alias("close"),
+        F.sum(QTY).alias("Trading_Volume"), F.round(F.sum(EXT), 2).alias("Trading_money"),
+        F.round(F.sum(F.when(event, F.col(EXT))), 2).alias("before_price"), F.round(F.sum(F.when(event, F.col(EXT) * (1 - F.col(DISC)))), 4).alias("after_price"),
+        *[F.coalesce(F.sum(F.when(F.col("l_returnflag") == flag, signed)), F.lit(0.0)).alias(f"net_{flag}") for flag in "AN"], F.coalesce(F.sum(F.when(~F.coalesce(F.col("l_returnflag").isin("A", "N"), F.lit(False)), signed)), F.lit(0.0)).alias("net_R"),
+        F.sum(F.when(F.round(TAX, 2) == 0, to_number(F.col(QTY), 0.0))).alias("lent"), quantity(F.col("l_linestatus") == "O").alias("O"), quantity(F.col("l_linestatus") == "F").alias("F"),
+        F.round(F.sum(DISC), 2).alias("d"), F.round(F.sum(TAX), 2).alias("t"), quantity(F.col("l_returnflag") == "R").alias("r"),
+    )
+
+
+def day_prices(days: DataFrame) -> DataFrame:
+    return days.select("stock_id", "date", "open", "max", "min", "close", "Trading_Volume", "Trading_money")
+
+
+def day_events(days: DataFrame) -> DataFrame:
+    return days.filter("before_price is not null").select("stock_id", "date", "before_price", "after_price")
+
+
+def day_facts(days: DataFrame) -> DataFrame:
+    """The columns of flows (net, by category), lending, margin, holdings and valuation, a row per entity and day; as numbers, since text of so many rows takes time to make and to read."""
+    past = W.partitionBy("stock_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    c = F.col
+    return days.select(
+        "stock_id", "date", c("net_A").alias("foreign"), c("net_N").alias("trust"), c("net_R").alias("dealer"), c("lent").alias("volume"),
+        F.sum("O").over(past).alias("MarginPurchaseTodayBalance"), F.sum("F").over(past).alias("ShortSaleTodayBalance"),
+        F.when(c("r") > 0, F.round(100 * c("r") / c("Trading_Volume"), 4)).alias("ForeignInvestmentSharesRatio"),
+        (c("d") * 100 - 5).alias("PER"), (c("t") * 10).alias("PBR"), F.when(c("d") > 0, c("d")).alias("dividend_yield"),
+    )
+
+
 def revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lines(spark, sf_dir).groupBy("stock_id", F.year("date").alias("revenue_year"), F.month("date").alias("revenue_month"))
     return df.agg(F.round(F.sum(F.col(EXT) * (1 - F.col(DISC))), 4).alias("month_revenue"))
 
 
-def _quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all statements need of an entity's quarter; write it to make several of them."""
     net, fee = F.col(EXT) * (1 - F.col(DISC)), F.col(EXT) * (1 - F.col(DISC) - F.col(TAX))
     end = F.last_day(F.add_months(F.trunc("date", "quarter"), 2))
 
@@ -88,24 +129,24 @@ BALANCE = ("TotalAssets", "Equity", "Liabilities", "CapitalStock", "CurrentAsset
 CASH = ("CashFlowsFromOperatingActivities", "PropertyAndPlantAndEquipment")
 
 
-def financials(spark: SparkSession, sf_dir: str) -> DataFrame:
+def financials(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
     c = F.col
-    return _stack(_quarterly(spark, sf_dir), {"Revenue": c("ext"), "GrossProfit": c("net"), "OperatingIncome": c("fee"), "PreTaxIncome": c("pre"), "NetIncome": c("pre") * 0.8, "IncomeAfterTaxes": c("pre") * 0.8, "EquityAttributableToOwnersOfParent": c("net") * 0.9, "EPS": c("pre") * 0.8 / c("qty"), "-": c("ext"), "Revenue_per": c("ext") * 0 + 100})
+    return _stack(quarterly(spark, sf_dir) if quarters is None else quarters, {"Revenue": c("ext"), "GrossProfit": c("net"), "OperatingIncome": c("fee"), "PreTaxIncome": c("pre"), "NetIncome": c("pre") * 0.8, "IncomeAfterTaxes": c("pre") * 0.8, "EquityAttributableToOwnersOfParent": c("net") * 0.9, "EPS": c("pre") * 0.8 / c("qty"), "-": c("ext"), "Revenue_per": c("ext") * 0 + 100})
 
 
-def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def balance(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
     past = W.partitionBy("stock_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
 
     def run(x: str) -> Column:
         return F.round(F.sum(x).over(past), 4)
 
-    q = _quarterly(spark, sf_dir).select("stock_id", "date", run("ext").alias("a"), run("net").alias("e"), run("qty").alias("k"), run("open").alias("ca"), run("closed").alias("cl"), run("flag_R").alias("r"), run("flag_A").alias("ar"), run("flag_N").alias("n"), run("tax").alias("t"), run("first").alias("i"))
+    q = (quarterly(spark, sf_dir) if quarters is None else quarters).select("stock_id", "date", run("ext").alias("a"), run("net").alias("e"), run("qty").alias("k"), run("open").alias("ca"), run("closed").alias("cl"), run("flag_R").alias("r"), run("flag_A").alias("ar"), run("flag_N").alias("n"), run("tax").alias("t"), run("first").alias("i"))
     c = F.col
     return _stack(q, {"TotalAssets": c("a"), "Equity": c("e"), "Liabilities": c("a") - c("e"), "CapitalStock": c("k") * 10, "CurrentAssets": c("ca"), "CurrentLiabilities": c("cl"), "EquityAttributableToOwnersOfParent": c("e") * 0.9, "Inventories": c("r"), "AccountsReceivableNet": c("ar"), "CashAndCashEquivalents": c("n"), "PropertyPlantAndEquipment": c("t"), "IntangibleAssets": c("i"), "RetainedEarnings": c("e") * 0.3})
 
 
-def cashflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stack(_quarterly(spark, sf_dir), {"CashFlowsFromOperatingActivities": F.col("cash"), "PropertyAndPlantAndEquipment": -F.col("tax")})
+def cashflow(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
+    return _stack(quarterly(spark, sf_dir) if quarters is None else quarters, {"CashFlowsFromOperatingActivities": F.col("cash"), "PropertyAndPlantAndEquipment": -F.col("tax")})
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
