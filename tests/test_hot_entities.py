@@ -2,7 +2,9 @@
 
 import datetime
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +148,19 @@ def test_first_value_of_an_item_by_sequence(spark):
     df = spark.createDataFrame(rows, "stock_id string, date date, type string, value double, n int")
     assert pit.statement_to_wide(df, "f", ["EPS"], seq="n").first().f_EPS == 5.0
     assert pit.statement_to_wide(df, "f", ["EPS"]).first().f_EPS == 3.0
+
+
+def test_daily_windows_cost_a_tile_and_equal_pandas(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, datetime.date(2015, 1, 1) + datetime.timedelta(days=i), *(None if rng.random() < 0.1 else v for v in ((0.1 if s == "flat" else float(rng.normal()) * (1e8 if i == 50 else 1)), 5.0, float(rng.integers(0, 999))))) for s in ("flat", "odd") for i in range(400)]
+    out = rolling.add_rolling(spark.createDataFrame(rows, "stock_id string, date date, ret double, amount double, close double"))
+    reach = [int(n) for n in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+), currentrow", out._jdf.queryExecution().optimizedPlan().toString(), re.I)]
+    assert reach and max(reach) < rolling.TILE
+    got = out.orderBy("stock_id", "date").toPandas()
+    for _, own in got.groupby("stock_id"):
+        for n, least in ((21, 12), (63, 40), (126, 80)):
+            want = [w.std() if w.count() >= least else np.nan for w in (own["ret"].iloc[max(0, i - n + 1) : i + 1] for i in range(len(own)))]
+            np.testing.assert_allclose(own[f"vol_{n}"].to_numpy(float), want, rtol=1e-9, atol=1e-15)
+        np.testing.assert_array_equal(own["hi_252"].to_numpy(float), own["close"].rolling(252, min_periods=120).max().to_numpy())
+        np.testing.assert_allclose(own["amt_21"].to_numpy(float), own["amount"].rolling(21, min_periods=10).mean().to_numpy())
+    assert set(got[got["stock_id"] == "flat"]["vol_126"].dropna()) == {0.0}

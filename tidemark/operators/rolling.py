@@ -21,9 +21,51 @@ def rolling(agg: Callable[[Column], Column], column: str, n: int, least: int, ke
 LONGEST = 252
 
 
-def _daily(key: str | Sequence[str]) -> dict[str, Column]:
-    spec = {f"vol_{n}": rolling(F.stddev_samp, "ret", n, least, key) for n, least in ((21, 12), (63, 40), (126, 80))}
-    return spec | {"amt_21": rolling(F.avg, "amount", 21, 10, key), "hi_252": rolling(F.max, "close", LONGEST, 120, key)}
+#: Rows of a tile: all daily windows are so many rows or a multiple of that.
+TILE = 21
+
+
+def _merged(parts: Sequence[tuple[Column, Column, Column]], known: Column) -> tuple[Column, Column]:
+    """Mean and squares about it of the rows of several parts, from each one's count, mean and squares; 0 where there are none.
+
+    The mean is added up about a part's own, so that a series that doesn't vary has squares of exactly 0.
+    """
+    own = F.coalesce(*[F.when(n > 0, m) for n, m, _ in parts[:-1]], parts[-1][1])
+    mean = own + sum((n * (m - own) for n, m, _ in parts[1:]), parts[0][0] * (parts[0][1] - own)) / F.greatest(known, F.lit(1.0))
+    return mean, sum((q + n * (m - F.col("_mean")) * (m - F.col("_mean")) for n, m, q in parts), F.lit(0.0))
+
+
+def _daily(daily: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """The daily windows from tiles of ``TILE`` rows, lagged by whole tiles, and running counts: the longest windows cost no more than a tile.
+
+    Nothing is ever null between, which keeps the generated code short enough to be compiled.
+    """
+    c, zero = F.col, F.lit(0.0)
+    order = W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("date")
+    tile, past = order.rowsBetween(-(TILE - 1), 0), order.rowsBetween(W.unboundedPreceding, 0)
+    spread = F.var_pop("ret").over(tile)
+    mean = F.when(spread == 0, F.max(c("ret").cast("double")).over(tile)).otherwise(F.avg("ret").over(tile))  # an average of equal values may miss them by a bit
+    sums = {"_m0": F.coalesce(mean, zero), "_v0": F.coalesce(spread, zero), "_amt": F.avg("amount").over(tile), "_h0": F.max("close").over(tile)}
+    df = daily.withColumns(sums | {f"_{x}0": F.count(x).over(past).cast("double") for x in ("ret", "amount", "close")})
+
+    def before(x: str, rows: int) -> Column:
+        return F.lag(f"_{x}0", rows, 0.0).over(order)
+
+    lagged = {f"_{x}{i}": before(x, i * TILE) for x in "mv" for i in (1, 2)} | {f"_ret{i}": before("ret", i * TILE) for i in (1, 2, 3, 6)}
+    df = df.withColumns(lagged | {"_amount1": before("amount", TILE), "_close12": before("close", LONGEST)} | {f"_h{i}": F.lag("_h0", i * TILE).over(order) for i in range(1, LONGEST // TILE)})
+    n = [c("_ret0") - c("_ret1"), c("_ret1") - c("_ret2"), c("_ret2") - c("_ret3")]
+    mean, squares = _merged([(n[i], c(f"_m{i}"), n[i] * c(f"_v{i}")) for i in range(3)], c("_ret0") - c("_ret3"))
+    df = df.withColumn("_mean", mean).withColumn("_s0", squares).withColumn("_a0", c("_mean"))
+    df = df.withColumns({"_a3": before("a", 3 * TILE), "_s3": before("s", 3 * TILE)})
+    mean, squares = _merged([(c("_ret0") - c("_ret3"), c("_a0"), c("_s0")), (c("_ret3") - c("_ret6"), c("_a3"), c("_s3"))], c("_ret0") - c("_ret6"))
+    df = df.withColumn("_mean", mean).withColumn("_s6", squares)
+
+    def deviation(known: Column, least: int, squares: Column) -> Column:
+        return F.when(known >= least, F.sqrt(squares / (known - 1)))
+
+    spans = {"vol_21": (n[0], 12, n[0] * c("_v0")), "vol_63": (c("_ret0") - c("_ret3"), 40, c("_s0")), "vol_126": (c("_ret0") - c("_ret6"), 80, c("_s6"))}
+    out = {k: deviation(*own) for k, own in spans.items()} | {"amt_21": F.when(c("_amount0") - c("_amount1") >= 10, c("_amt")), "hi_252": F.when(c("_close0") - c("_close12") >= 120, F.greatest(*[c(f"_h{i}") for i in range(LONGEST // TILE)]))}
+    return df.select(*[c(f"`{x}`") for x in daily.columns if x not in out], *[v.alias(k) for k, v in out.items()])
 
 
 def add_rolling(daily: DataFrame, block: int | None = None, span: str = "year") -> DataFrame:
@@ -33,9 +75,9 @@ def add_rolling(daily: DataFrame, block: int | None = None, span: str = "year")
     windows reach back to, so that an entity with most of all rows is many tasks.
     """
     if block is None:
-        return daily.withColumns(_daily("stock_id"))
+        return _daily(daily, "stock_id")
     dealt = with_halo(numbered(daily, "stock_id", "date", span), "stock_id", block, LONGEST - 1)
-    return dealt.withColumns(_daily(["stock_id", "_block"])).filter("not _halo").drop("_block", "_halo", "_i")
+    return _daily(dealt, ["stock_id", "_block"]).filter("not _halo").drop("_block", "_halo", "_i")
 
 
 def numbered(df: DataFrame, key: str, order: str, span: str = "year") -> DataFrame:
