@@ -48,6 +48,22 @@ def test_constant_columns_and_small_cells_give_no_ic(spark):
     assert ic.ic_by_cell(df, ["x"]).count() == 0
 
 
+def test_rank_ic_in_memory_and_by_windows(spark):
+    pdf = frame(6, 60).round({"x": 0})
+    pdf.loc[pdf["ym"] == months(6)[2], "z"] = np.inf
+    df = load(spark, pdf)
+
+    def found(own):
+        return {(r.factor, r.ym, r.group): (r.n, pytest.approx(r.ic)) for r in own.collect()}
+
+    by_group = ic.ic_by_cell(df, ["x", "z"])
+    plan = by_group._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Expand" not in plan  # rows are not repeated for factors
+    want = found(ic._ic_by_windows(df, ["x", "z"], "fwd_ret_1m", 8))
+    assert len(want) == 22 and found(by_group) == want
+    assert found(ic.ic_by_cell(df.filter("`group` = 'A' or stock_id < 's31'"), ["x", "z"], in_memory=80)) == found(ic._ic_by_windows(df.filter("`group` = 'A' or stock_id < 's31'"), ["x", "z"], "fwd_ret_1m", 8))
+
+
 def test_winsorize_equals_pandas_and_keeps_missing(spark):
     pdf = frame(3)
     got = xsection.winsorize_by(load(spark, pdf), ["x"]).toPandas().set_index(["ym", "stock_id"])["x"]
