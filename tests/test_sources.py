@@ -77,3 +77,8 @@ def test_long_supplier_ids_stay_apart(spark, tmp_path):
     want = {"0001", "0012", "0123", "1000", "10000", "10001", "100002"}
     assert {r.stock_id for r in market.info(spark, str(tmp_path)).collect()} == want
     assert sorted(r.stock_id for r in queries.universe_classify(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_the_panels_days_are_hashed_not_sorted(spark):
+    plan = queries._days(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
