@@ -175,3 +175,53 @@ def test_smaller_children_and_combinations_give_the_same_trees(monkeypatch, colu
         monkeypatch.setattr(trees, "_JOINT", joint)
         grown.append(trees._grow_whole(x % bins, y, ids, 0.0, np.arange(5), 0, bins, 2.0**20, s))
     assert same(*grown) and any((t.feature >= 0).sum() > 5 for t in grown[0])
+
+
+def grid(columns, bins):
+    """The bins of every combination of the columns, of three features."""
+    x = np.zeros((3, bins ** len(columns)), np.uint8)
+    x[columns] = np.indices((bins,) * len(columns)).reshape(len(columns), -1)
+    return x
+
+
+def test_passes_read_one_table_that_is_never_written_again(spark, monkeypatch):
+    df = table(spark, rows(seed=17))
+    folds, variants, written = model.walk_forward_folds(df), {"x": FEATURES, "y": FEATURES[:2]}, []
+
+    def materialize(df, name, *more):
+        written.append(name)
+        return keep(df, name, *more)
+
+    keep = trees.materialize
+    monkeypatch.setattr(trees, "materialize", materialize)
+    got = model.fit_trees(df, FEATURES, folds, variants, 100, whole=0, keep=2, **SMALL)
+    assert written == ["binned"]
+    monkeypatch.setattr(trees, "_TABLES", 0)  # predictions lie in the table, which is written every second tree
+    want = model.fit_trees(df.repartition(3), FEATURES, folds, variants, 100, whole=0, keep=2, **SMALL)
+    assert written == ["binned", "binned", "told", "told"]
+    one = model.fit_trees(df, FEATURES, folds, variants, 100, **SMALL)
+    assert all(same(a.trees, b.trees) and same(a.trees, c.trees) for a, b, c in zip(got.models, want.models, one.models, strict=True))
+
+
+def test_trees_added_up_say_what_each_says(spark):
+    df = table(spark, rows(seed=19))
+    forest = model.fit_trees(df, FEATURES, model.walk_forward_folds(df), None, 100, **(SMALL | {"trees": 12, "depth": 4}))
+    bins = max(len(c) for c in forest.cuts) + 1
+    for m in forest.models:
+        found = trees._by_columns(m.trees, bins, 1 << 28)
+        assert () not in found and sum(len(own) for own in found.values()) == 12
+        for c, own in found.items():
+            said = [t.value[t.leaf(grid(list(c), bins))] for t in own]
+            for order in (said, said[::-1]):
+                assert np.array_equal(trees._summed_values(own, c, bins, forest.unit), sum(order))
+        assert trees._by_columns(m.trees, bins, 0) == {(): m.trees}
+
+
+def test_scores_by_sums_of_trees_equal_scores_by_each_tree(spark, monkeypatch):
+    df = table(spark, rows(seed=23))
+    forest = model.fit_trees(df, FEATURES, model.walk_forward_folds(df), None, 100, **SMALL)
+    key, seen = ["stock_id", "ym"], []
+    for most in (trees._TABLES, 0):
+        monkeypatch.setattr(trees, "_TABLES", most)
+        seen.append({tuple(r[c] for c in key): r["s"] for r in trees.score(df, forest, {"gbt": "s"}).collect()})
+    assert seen[0] == seen[1] and len(set(seen[0].values())) > 20
