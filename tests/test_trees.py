@@ -225,3 +225,44 @@ def test_scores_by_sums_of_trees_equal_scores_by_each_tree(spark, monkeypatch):
         monkeypatch.setattr(trees, "_TABLES", most)
         seen.append({tuple(r[c] for c in key): r["s"] for r in trees.score(df, forest, {"gbt": "s"}).collect()})
     assert seen[0] == seen[1] and len(set(seen[0].values())) > 20
+
+
+def test_tasks_get_few_small_blocks_of_like_rows(spark, monkeypatch):
+    df, seen, most = table(spark, rows(per_month=400, seed=29)), [], []
+    real = trees._joint_sums
+
+    def sums(binned, *more):
+        if not seen:
+            seen.extend(binned.collect())
+        most.append(int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+        return real(binned, *more)
+
+    monkeypatch.setattr(trees, "_joint_sums", sums)
+    monkeypatch.setattr(trees, "_BLOCK", 1024 * 23)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        trees.fit(df, FEATURES, model.walk_forward_folds(df), {"x": FEATURES}, 100, settings=trees.Settings(**(SMALL | {"whole": 0, "trees": 1})))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert most and max(most) <= 1 << 22 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    blocks = [np.frombuffer(r["x"], np.uint8).reshape(3, -1)[0] for r in seen]
+    assert len(blocks) > 8 and sum(len(np.unique(b)) for b in blocks) < len(blocks) + 4 * 16
+
+
+def test_sums_of_trees_are_kept_for_the_next_pass(monkeypatch):
+    rng, s = np.random.default_rng(31), trees.Settings(unit=2.0**-40, depth=2, trees=9, bins=4, columns=1.0)
+    m = trees.Model("x", month(0), month(0), month(0), np.arange(2))
+    for _ in range(9):
+        value = np.rint(rng.normal(size=7) / s.unit) * s.unit
+        m.trees.append(trees.Tree(np.array([0, 1, 1, -1, -1, -1, -1]), np.array([1, 2, 0, 0, 0, 0, 0]), value, np.zeros(7)))
+    added, real = [], trees._summed_values
+    monkeypatch.setattr(trees, "_summed_values", lambda own, *more: added.append(len(own)) or real(own, *more))
+
+    def values(n, fit):
+        kept = trees.Model("x", month(0), month(0), month(0), np.arange(2), 0.0, m.trees[:n])
+        return trees._Pass([kept], 0, 4, 1.0, s, fit).values()[0][0, 1]
+
+    got = [values(n, "f") for n in (4, 9, 9, 6)]
+    assert added == [4, 5, 6]
+    assert all(np.array_equal(a, values(n, "")) for a, n in zip(got, (4, 9, 9, 6), strict=True))
