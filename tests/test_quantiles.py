@@ -54,3 +54,24 @@ def test_no_map_of_values_and_no_window_of_a_month(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "Window" not in plan
     assert out.agg(F.min("x"), F.max("x")).first() == (pytest.approx(0.99), pytest.approx(98.01))
+
+
+def test_many_columns_are_done_by_numpy_to_the_same_values(spark, monkeypatch):
+    rng, columns = np.random.default_rng(5), [f"c{i}" for i in range(10)]
+    rows = [(None if k % 40 == 7 else f"m{k % 3 if k < 900 else 3}", "ab"[k % 2], k, *(None if i < 9 and rng.random() < 0.3 else 0.5 if i == 9 else float(v) for i, v in enumerate(rng.normal(size=10).round(1)))) for k in range(903)]
+    df = spark.createDataFrame(rows, "ym string, `group` string, k int, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    assert len(columns) >= xsection.WIDE
+
+    def run():
+        return [out.orderBy("k").collect() for out in (xsection.winsorize_by(df, columns), xsection.zscore_within(df, columns, least_share=0.6))]
+
+    want = []
+    with monkeypatch.context() as m:
+        m.setattr(xsection, "IN_TASK", 0)  # groups that no task holds
+        want = run()
+    monkeypatch.setattr(xsection, "tail_quantiles", None)
+    monkeypatch.setattr(xsection, "_stats_join", lambda df, stats, by, real=xsection._stats_join: real(df, stats, by) if list(by) == ["ym"] else None)
+    got = run()
+    assert got[0] == want[0]
+    for a, b in zip(got[1], want[1], strict=True):
+        assert tuple(a)[:3] == tuple(b)[:3] and list(a)[3:] == pytest.approx(list(b)[3:], abs=1e-12)
